@@ -162,7 +162,7 @@ def _summed(df: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def fit(train: DataFrame) -> Model | None:
+def fit(rows: DataFrame) -> Model | None:
     """Fit on rows (stats, y in 0/1). None if there are no rows of both kinds."""
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
@@ -170,7 +170,7 @@ def fit(train: DataFrame) -> Model | None:
         y = batch["y"].to_numpy(zero_copy_only=False).astype(float)
         return np.vstack([np.full(N_STATS, float(len(x))), x.sum(0), np.square(np.round(x * 1024) / 1024).sum(0), np.full(N_STATS, y.sum())])
 
-    n, total, squares, positives = _summed(train, moments, (4, N_STATS))
+    n, total, squares, positives = _summed(rows, moments, (4, N_STATS))
     if not 0 < positives[0] < n[0]:
         return None
     mean = total / n
@@ -183,7 +183,7 @@ def fit(train: DataFrame) -> Model | None:
         return np.column_stack([z.T @ z, z.T @ y])
 
     d = N_FEATURES + 1
-    sums = _summed(train, normal, (d, d + 1))
+    sums = _summed(rows, normal, (d, d + 1))
     gram, right = sums[:, :d] / QUANTUM**2, sums[:, d] / QUANTUM
     weights = np.linalg.solve(gram + RIDGE * n[0] * np.eye(d) / d, right)
 
@@ -196,7 +196,7 @@ def fit(train: DataFrame) -> Model | None:
         y = batch["y"].to_numpy(zero_copy_only=False).astype(float)
         return np.vstack([np.bincount(bins, minlength=SCORE_BINS), np.bincount(bins, y, minlength=SCORE_BINS)])
 
-    counts, ones = _summed(train, histogram, (2, SCORE_BINS))
+    counts, ones = _summed(rows, histogram, (2, SCORE_BINS))
     return Model(mean, scale, weights, inner, isotonic(counts, ones))
 
 
@@ -213,37 +213,61 @@ def isotonic(counts: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(counts)), full, levels)
 
 
-def score(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``stats``.
+@dataclass(frozen=True)
+class Constant:
+    """The score where nothing can be learned."""
+
+    level: float
+
+    def score(self, stats: np.ndarray) -> np.ndarray:
+        return np.full(len(stats), self.level)
+
 
-    Learns from labelled rows that aren't held out; null labels and labels of unknown documents are
+def train(stats: DataFrame, labels: DataFrame) -> Model | Constant:
+    """Learns from labelled rows that aren't held out; null labels and labels of unknown documents are
     ignored, and of repeated labels of a document the largest counts. With labels of one kind only,
     or none, every score is that kind's share (0.5 without labels).
     """
     y = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("y"))
-    train = stats.join(y, "doc_id").filter(~held_out(F.col("doc_id"))).select("stats", F.col("y").cast("int").alias("y"))
-    train = materialize(train, workspace(stats.sparkSession, "train"))
-    model = fit(train)
-    if model is None:
-        share = train.agg(F.avg("y")).first()[0]
-        scored = stats.withColumn("score", F.lit(0.5 if share is None else float(share)))
-    else:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                scores = model.score(_matrix(batch)) if batch.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores)], ["doc_id", "score"])
-
-        scored = stats.mapInArrow(run, "doc_id bigint, score double")
-    return scored.select(
+    rows = stats.join(y, "doc_id").filter(~held_out(F.col("doc_id"))).select("stats", F.col("y").cast("int").alias("y"))
+    rows = materialize(rows, workspace(stats.sparkSession, "train"))
+    model = fit(rows)
+    if model is not None:
+        return model
+    share = rows.agg(F.avg("y")).first()[0]
+    return Constant(0.5 if share is None else float(share))
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, by its whole text.
+
+    Null and empty texts have zero statistics and are scored like others; repeated rows are scored
+    alike; an empty table gives no rows.
+    """
+    stats = materialize(measure(docs), workspace(docs.sparkSession, "stats"))
+    model = train(stats, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(_matrix(batch)), pa.float64())], ["doc_id", "score"])
+
+    return stats.mapInArrow(run, "doc_id bigint, score double").select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``score`` of every document; repeated rows are scored alike, an empty table gives no rows."""
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score at least THRESHOLD; no shuffle of texts."""
     stats = materialize(measure(docs), workspace(docs.sparkSession, "stats"))
-    return score(stats, labels)
+    model = train(stats, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield part.filter(pa.array(model.score(statistics(part["text"])) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
