@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, shuffle_parts, workspace
+from quillon.llm.common import discard, materialize, shuffle_parts, workspace
 from quillon.llm.components import connected_components
 from quillon.llm.exchange import counts_for, merged, pack, repeated, rows_of, undump, with_answers
 from quillon.llm.wordhash import prefix_sums, range_hashes, words
@@ -98,7 +98,9 @@ def shingle_table(docs: DataFrame, join: Join, path: str) -> DataFrame:
                     out.append((doc_id, len(s), key, s.tobytes() if passed else None))
                 yield rows_of(_SETS, out)
 
-    return materialize(with_answers(packed, back).mapInArrow(run, _SETS_SQL), f"{path}/sets")
+    sets = materialize(with_answers(packed, back).mapInArrow(run, _SETS_SQL), f"{path}/sets")
+    discard(docs.sparkSession, f"{path}/packed")
+    return sets
 
 
 # --- prefixes ------------------------------------------------------------------------------------
@@ -156,7 +158,9 @@ def prefix_table(sets: DataFrame, join: Join, path: str) -> DataFrame:
                 if out:
                     yield rows_of(_KEPT, out)
 
-    return materialize(with_answers(packed, back).mapInArrow(run, _KEPT_SQL), f"{path}/prefixes")
+    kept = materialize(with_answers(packed, back).mapInArrow(run, _KEPT_SQL), f"{path}/prefixes")
+    discard(sets.sparkSession, f"{path}/packed_sets")
+    return kept
 
 
 # --- candidates ----------------------------------------------------------------------------------
@@ -307,7 +311,13 @@ def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     comps = connected_components(links).select(F.col("node").alias("doc_id"), F.col("label").alias("comp"))
     fresh = candidates(kept, comps, join).join(tried, ["a", "b"], "left_anti")
     more = materialize(linked(fresh, kept, join), f"{at}/more")
-    final = connected_components(links.unionByName(more)).select(F.col("node").alias("rep"), "label")
+    # what the second try links are components of the first
+    of = lambda c: comps.select(F.col("doc_id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    lifted = lifted.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    joined = connected_components(lifted).select(F.col("node").alias("comp"), "label")
+    nodes = comps.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("doc_id")).select("doc_id", F.col("doc_id").alias("comp"))).distinct()
+    final = nodes.join(joined, "comp", "left").groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.coalesce("label", "comp")).alias("label"))
 
     groups = reps.select("set_key", F.col("doc_id").alias("rep")).join(final, "rep", "left")
     groups = materialize(groups.select("set_key", F.coalesce("label", "rep").alias("component")), f"{at}/groups")
