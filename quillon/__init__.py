@@ -1,0 +1 @@
+"""A Spark-native research engine for financial time series."""
