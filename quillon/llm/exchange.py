@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import materialize, shuffle_parts
 
 #: Uncompressed size of a packed batch; a larger document makes a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
 PACKED = "batch string, body binary"
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -37,6 +37,15 @@ def undump(body: bytes) -> pa.RecordBatch:
         return read.read_next_batch()
 
 
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dicts, one at a time; memory that Arrow holds on to is given back between batches."""
+    for rows in batches:
+        for i in range(rows.num_rows):
+            yield {c: rows.column(c)[i].as_py() for c in rows.schema.names}
+        del rows
+        pa.default_memory_pool().release_unused()
+
+
 def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -60,6 +69,8 @@ def pack(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 part = part.take(pa.array(np.arange(part.num_rows)))
                 yield rows_of(schema, [(uuid.uuid4().hex, dump(part))])
                 first = last
+            del batch, part
+            pa.default_memory_pool().release_unused()
 
     return materialize(docs.select("doc_id", text).mapInArrow(run, PACKED), path)
 
@@ -85,25 +96,21 @@ def repeated(packed: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray])
     n = max(shuffle_parts(packed.sparkSession), 8)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for name, body in zip(rows["batch"].to_pylist(), rows["body"], strict=True):
-                keys, counts = np.unique(keys_of(undump(body.as_py())), return_counts=True)
-                edges = np.searchsorted(by_bucket(keys, n), np.arange(n + 1))
-                counts = counts.astype(np.int32)
-                yield rows_of(
-                    _SENT,
-                    [(b, name, keys[i:j].tobytes(), counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j],
-                )
+        for r in each_row(batches):
+            keys, counts = np.unique(keys_of(undump(r["body"])), return_counts=True)
+            edges = np.searchsorted(by_bucket(keys, n), np.arange(n + 1))
+            counts = counts.astype(np.int32)
+            parts = enumerate(zip(edges, edges[1:], strict=False))
+            yield rows_of(_SENT, [(b, r["batch"], keys[i:j].tobytes(), counts[i:j].tobytes()) for b, (i, j) in parts if i < j])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, np.ndarray, np.ndarray]] = []
         bucket = None
-        for rows in batches:
-            for b, name, keys, counts in zip(*(rows[c].to_pylist() for c in ("bucket", "batch", "keys", "counts")), strict=True):
-                if b != bucket:
-                    yield from settle(held)
-                    held, bucket = [], b
-                held.append((name, np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int32)))
+        for r in each_row(batches):
+            if r["bucket"] != bucket:
+                yield from settle(held)
+                held, bucket = [], r["bucket"]
+            held.append((r["batch"], np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int32)))
         yield from settle(held)
 
     def settle(held: list[tuple[str, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:

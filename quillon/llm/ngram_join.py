@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import discard, materialize, shuffle_parts, workspace
 from quillon.llm.components import connected_components
-from quillon.llm.exchange import counts_for, merged, pack, repeated, rows_of, undump, with_answers
+from quillon.llm.exchange import counts_for, each_row, merged, pack, repeated, rows_of, undump, with_answers
 from quillon.llm.wordhash import prefix_sums, range_hashes, words
 
 SKETCH_BITS = 1024
@@ -86,17 +86,16 @@ def shingle_table(docs: DataFrame, join: Join, path: str) -> DataFrame:
     back = repeated(packed, lambda b: np.concatenate([np.zeros(0, np.uint64), *(_screen_prefix(s, join) for s in shingle_sets(b["text"], k))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for r in rows.to_pylist():
-                batch, known = undump(r["body"]), merged(r["answers"])[0]
-                out = []
-                for doc_id, s in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["text"], k), strict=True):
-                    _, least = _screen_matches(len(s), join)
-                    prefix = _screen_prefix(s, join)
-                    passed = len(s) and len(known) and (known[np.minimum(np.searchsorted(known, prefix), len(known) - 1)] == prefix).sum() >= least
-                    key = np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(s), len(s)], np.uint64).tobytes() if passed else None
-                    out.append((doc_id, len(s), key, s.tobytes() if passed else None))
-                yield rows_of(_SETS, out)
+        for r in each_row(batches):
+            batch, known = undump(r["body"]), merged(r["answers"])[0]
+            out = []
+            for doc_id, s in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["text"], k), strict=True):
+                _, least = _screen_matches(len(s), join)
+                prefix = _screen_prefix(s, join)
+                passed = len(s) and len(known) and (known[np.minimum(np.searchsorted(known, prefix), len(known) - 1)] == prefix).sum() >= least
+                key = np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(s), len(s)], np.uint64).tobytes() if passed else None
+                out.append((doc_id, len(s), key, s.tobytes() if passed else None))
+            yield rows_of(_SETS, out)
 
     sets = materialize(with_answers(packed, back).mapInArrow(run, _SETS_SQL), f"{path}/sets")
     discard(docs.sparkSession, f"{path}/packed")
@@ -144,19 +143,18 @@ def prefix_table(sets: DataFrame, join: Join, path: str) -> DataFrame:
     back = repeated(packed, lambda b: np.concatenate([np.zeros(0, np.uint64), *split(b)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for r in rows.to_pylist():
-                batch, known = undump(r["body"]), merged(r["answers"])
-                out = []
-                for doc_id, s in zip(batch["doc_id"].to_pylist(), split(batch), strict=True):
-                    counts = counts_for(s, known)
-                    if (counts > 1).sum() < join.need(len(s)):
-                        continue
-                    m, at = adaptive_prefix(s, counts, join)
-                    at = at[counts[at] > 1]
-                    out.append((doc_id, len(s), m, sketch(s).tobytes(), s.tobytes(), s[at].view(np.int64), counts[at]))
-                if out:
-                    yield rows_of(_KEPT, out)
+        for r in each_row(batches):
+            batch, known = undump(r["body"]), merged(r["answers"])
+            out = []
+            for doc_id, s in zip(batch["doc_id"].to_pylist(), split(batch), strict=True):
+                counts = counts_for(s, known)
+                if (counts > 1).sum() < join.need(len(s)):
+                    continue
+                m, at = adaptive_prefix(s, counts, join)
+                at = at[counts[at] > 1]
+                out.append((doc_id, len(s), m, sketch(s).tobytes(), s.tobytes(), s[at].view(np.int64), counts[at]))
+            if out:
+                yield rows_of(_KEPT, out)
 
     kept = materialize(with_answers(packed, back).mapInArrow(run, _KEPT_SQL), f"{path}/prefixes")
     discard(sets.sparkSession, f"{path}/packed_sets")

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import shuffle_parts, workspace
-from quillon.llm.exchange import by_bucket, counts_for, dump, merged, pack, repeated, rows_of, undump, with_answers
+from quillon.llm.exchange import by_bucket, counts_for, dump, each_row, merged, pack, repeated, rows_of, undump, with_answers
 from quillon.llm.wordhash import Words, prefix_sums, range_hashes, words
 
 SEED = 8
 #: Seeds with more occurrences send single windows instead of passages.
 HOT = 16_384
 #: Words of distinct passages in one automaton, if a seed alone hasn't more.
-SHARD_WORDS = 100_000
+SHARD_WORDS = 50_000
 #: The largest reference that is broadcast, in words.
 MAX_REFERENCE_WORDS = 2_000_000
 
@@ -233,14 +233,15 @@ def trim(values: np.ndarray, offsets: np.ndarray, key: np.ndarray, core: np.ndar
 
 def shard_spans(parts: list[tuple[str, pa.RecordBatch]], least: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(batch, firsts, lasts) of the words to remove, from the passages of all batches in a bucket."""
-    table = pa.Table.from_batches([p for _, p in parts]).combine_chunks()
+    names = [name for name, _ in parts]
     source = np.repeat(np.arange(len(parts)), [p.num_rows for _, p in parts])
-    key = table["key"].to_numpy()
-    core, core_words = table["core"].to_numpy().astype(np.int64), table["core_words"].to_numpy().astype(np.int64)
-    flat = lambda c: pa.concat_arrays([p[c].flatten() for _, p in parts]).to_numpy()
-    values, starts = flat("words"), flat("starts")
-    lengths = np.concatenate([p["words"].value_lengths().to_numpy() for _, p in parts]).astype(np.int64)
-    times = np.concatenate([p["starts"].value_lengths().to_numpy() for _, p in parts]).astype(np.int64)
+    join = lambda get: np.concatenate([get(p).to_numpy() for _, p in parts])
+    key = join(lambda p: p["key"])
+    core, core_words = join(lambda p: p["core"]).astype(np.int64), join(lambda p: p["core_words"]).astype(np.int64)
+    lengths = join(lambda p: p["words"].value_lengths()).astype(np.int64)
+    times = join(lambda p: p["starts"].value_lengths()).astype(np.int64)
+    values, starts = join(lambda p: p["words"].flatten()), join(lambda p: p["starts"].flatten())
+    parts.clear()
     offsets, at = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(times)])
     first, last = trim(values, offsets, key, core, core_words, times)
     use = np.flatnonzero(last - first >= least)
@@ -279,10 +280,10 @@ def shard_spans(parts: list[tuple[str, pa.RecordBatch]], least: int) -> Iterator
         return
     firsts, lasts, owner = np.concatenate(firsts), np.concatenate(lasts), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(len(parts) + 1))
+    cuts = np.searchsorted(owner[order], np.arange(len(names) + 1))
     for s, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
         if i < j:
-            yield parts[s][0], firsts[order[i:j]], lasts[order[i:j]]
+            yield names[s], firsts[order[i:j]], lasts[order[i:j]]
 
 
 # --- results -------------------------------------------------------------------------------------
@@ -341,18 +342,17 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, digest: bool = False,
     back = repeated(packed, lambda b: _seed_keys(b, min_words))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for r in rows.to_pylist():
-                if not r["answers"]:
-                    continue
-                found = passages(undump(r["body"]), merged(r["answers"]), min_words, hot)
-                if found is None:
-                    continue
-                bucket = by_bucket(found["key"].to_numpy(), n)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-                out = [(b, r["batch"], dump(found.take(pa.array(order[i:j])))) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
-                yield rows_of(_SENT, out)
+        for r in each_row(batches):
+            if not r["answers"]:
+                continue
+            found = passages(undump(r["body"]), merged(r["answers"]), min_words, hot)
+            if found is None:
+                continue
+            bucket = by_bucket(found["key"].to_numpy(), n)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+            out = [(b, r["batch"], dump(found.take(pa.array(order[i:j])))) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+            yield rows_of(_SENT, out)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, pa.RecordBatch]] = []
@@ -364,19 +364,17 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, digest: bool = False,
                 if out:
                     yield rows_of(_SPANS, out)
 
-        for rows in batches:
-            for r in rows.to_pylist():
-                if r["bucket"] != bucket:
-                    yield from settle()
-                    held, bucket = [], r["bucket"]
-                held.append((r["batch"], undump(r["body"])))
+        for r in each_row(batches):
+            if r["bucket"] != bucket:
+                yield from settle()
+                held, bucket = [], r["bucket"]
+            held.append((r["batch"], undump(r["body"])))
         yield from settle()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for r in rows.to_pylist():
-                get = lambda c, r=r: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[c], np.int64) for x in r["answers"] or [])])
-                yield _results(undump(r["body"]), get("firsts"), get("lasts"), digest)
+        for r in each_row(batches):
+            get = lambda c, r=r: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[c], np.int64) for x in r["answers"] or [])])
+            yield _results(undump(r["body"]), get("firsts"), get("lasts"), digest)
 
     sent = with_answers(packed, back).mapInArrow(send, "bucket int, batch string, body binary")
     dealt = sent.repartition(n, "bucket").sortWithinPartitions("bucket")
