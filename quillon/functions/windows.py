@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("symbol").orderBy("ts")
+
+def by_time() -> WindowSpec:
+    """Rows of a symbol in the order of time."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def last_rows(n: int) -> WindowSpec:
-    return BY_TIME.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def rolling(agg: Callable[[Column], Column], x: Column, n: int, min_periods: int | None = None) -> Column:
@@ -50,11 +53,11 @@ def zscore(x: Column, n: int = 100) -> Column:
 
 
 def ffill(x: Column) -> Column:
-    return F.last(x, ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(x, ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def bfill(x: Column) -> Column:
-    return F.first(x, ignorenulls=True).over(BY_TIME.rowsBetween(0, Window.unboundedFollowing))
+    return F.first(x, ignorenulls=True).over(by_time().rowsBetween(0, Window.unboundedFollowing))
 
 
 def pct_rank(x: Column, n: int, min_periods: int) -> Column:
@@ -76,17 +79,17 @@ def full_pct_rank(x: Column) -> Column:
 
 def changed(x: Column) -> Column:
     """1 where x differs from the row before, and on the first row."""
-    before = F.lag(x).over(BY_TIME)
+    before = F.lag(x).over(by_time())
     return F.when(before.isNull() | (x != before), 1).otherwise(0)
 
 
 def cumulative(x: Column) -> Column:
-    return F.sum(x).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum(x).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def row_no() -> Column:
     """Number of a row within its symbol, from 0."""
-    return F.row_number().over(BY_TIME) - 1
+    return F.row_number().over(by_time()) - 1
 
 
 def position_in_run(run: str) -> Column:

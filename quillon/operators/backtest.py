@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.windows import BY_TIME, bfill, ffill, row_no
+from quillon.functions.windows import by_time, bfill, ffill, row_no
 from quillon.operators import recursions as R
 from quillon.operators.labels import band_join
 from quillon.params import BacktestConfig
@@ -114,11 +114,11 @@ def equity_curve(ledger: DataFrame, bars: DataFrame, cfg: BacktestConfig) -> Dat
     """
     marks = ledger.select("symbol", F.col("exit_n").alias("n"), "equity_after")
     df = bars.select("symbol", "n", "ts").join(marks, ["symbol", "n"], "left")
-    past = F.last("equity_after", ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
-    future = F.first("equity_after", ignorenulls=True).over(BY_TIME.rowsBetween(1, Window.unboundedFollowing))
+    past = F.last("equity_after", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
+    future = F.first("equity_after", ignorenulls=True).over(by_time().rowsBetween(1, Window.unboundedFollowing))
     value = F.coalesce(future, past) if cfg.equity_stamp == "reference" else past
     df = df.withColumn("equity", F.coalesce(value, F.lit(cfg.starting_equity)))
-    change = F.col("equity") / F.lag("equity").over(BY_TIME) - 1
+    change = F.col("equity") / F.lag("equity").over(by_time()) - 1
     return df.select("symbol", "ts", "equity", F.coalesce(change, F.lit(0.0)).alias("ret"))
 
 
@@ -126,9 +126,9 @@ def performance(curve: DataFrame, ledger: DataFrame, cfg: BacktestConfig) -> Dat
     """One row per symbol with a trade: n_trades, sharpe, sortino, max_drawdown, cagr, calmar, win_rate,
     profit_factor, avg_trade_ret and, by mode, *_n, *_win, *_mean_ret. All but n_trades are NULL where
     returns don't vary; profit_factor is NULL without losses."""
-    grown = F.exp(F.sum(F.log1p("ret")).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    grown = F.exp(F.sum(F.log1p("ret")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     df = curve.withColumn("__eq", grown)
-    df = df.withColumn("__dd", F.col("__eq") / F.max("__eq").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    df = df.withColumn("__dd", F.col("__eq") / F.max("__eq").over(by_time().rowsBetween(Window.unboundedPreceding, 0)) - 1)
     by_bar = df.groupBy("symbol").agg(
         F.avg("ret").alias("mean"),
         F.stddev_samp("ret").alias("sd"),
@@ -171,7 +171,7 @@ def performance(curve: DataFrame, ledger: DataFrame, cfg: BacktestConfig) -> Dat
 
 def default_atr(bars: DataFrame) -> DataFrame:
     """(symbol, ts, atr_frac) where no ATR is given: 14-bar exponential mean of absolute log returns."""
-    r = F.coalesce(F.abs(F.ln("close") - F.lag(F.ln(F.col("close"))).over(BY_TIME)), F.lit(0.0))
+    r = F.coalesce(F.abs(F.ln("close") - F.lag(F.ln(F.col("close"))).over(by_time())), F.lit(0.0))
     df = bars.select("symbol", "ts", r.alias("__r"))
     return R.per_symbol(df, lambda p: {"atr_frac": R.ewm_mean(p["__r"], 2 / 15)}, {"atr_frac": "double"}).drop("__r")
 

@@ -6,15 +6,13 @@ exchange and sort; the recursions behind exponential averages are kernels (see r
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.windows import (
-    BY_TIME,
+    by_time,
     bfill,
     changed,
     clip,
@@ -31,12 +29,13 @@ from quillon.functions.windows import (
 )
 from quillon.operators import recursions as R
 from quillon.params import FeatureParams
+from quillon.storage import stage
 
 FIB_LEVELS = (0.236, 0.382, 0.5, 0.618, 0.786)
 
 
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(BY_TIME)
+    return F.lag(x, n).over(by_time())
 
 
 def log_return(x: str = "close") -> Column:
@@ -149,39 +148,16 @@ def directional_inputs(bars: DataFrame) -> DataFrame:
     return df.withColumns({"__plus": move("__u", "__d"), "__minus": move("__d", "__u")}).drop("__u", "__d")
 
 
-def adx_kernel(p: pd.DataFrame, n: int) -> dict[str, np.ndarray]:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        span = R.wilder(p["__tr"], n)
-        span = np.where(span == 0, np.nan, span)
-        plus, minus = (100 * R.wilder(p[c], n) / span for c in ("__plus", "__minus"))
-        both = np.where(plus + minus == 0, np.nan, plus + minus)
-        # where the index is unknown it counts as 0, so the average starts at 0 on the first row
-        adx = R.wilder(np.nan_to_num(100 * np.abs(plus - minus) / both), n)
-    return {"adx": adx, "plus_di": plus, "minus_di": minus, "adx_norm": np.clip(adx / 100, 0, 1), "di_spread": plus - minus}
-
-
 ADX_COLUMNS = dict.fromkeys(("adx", "plus_di", "minus_di", "adx_norm", "di_spread"), "double")
 
 
 def add_adx(bars: DataFrame, n: int = 14) -> DataFrame:
-    return R.per_symbol(directional_inputs(bars), lambda p: adx_kernel(p, n), ADX_COLUMNS).drop("__tr", "__plus", "__minus")
-
-
-def rsi_kernel(change: pd.Series, n: int) -> np.ndarray:
-    """NULL while there are no losses at all."""
-    gain, loss = R.wilder(change.clip(lower=0), n), R.wilder(-change.clip(upper=0), n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 100 - 100 / (1 + gain / np.where(loss == 0, np.nan, loss))
+    return R.per_symbol(directional_inputs(bars), lambda p: R.adx_kernel(p, n), ADX_COLUMNS).drop("__tr", "__plus", "__minus")
 
 
 def add_rsi(bars: DataFrame, n: int = 14, name: str = "rsi_14") -> DataFrame:
     df = bars.withColumn("__ch", F.col("close") - lag("close"))
-    return R.per_symbol(df, lambda p: {name: rsi_kernel(p["__ch"], n)}, {name: "double"}).drop("__ch")
-
-
-def macd_kernel(close: pd.Series, fast: int, slow: int, signal: int) -> dict[str, np.ndarray]:
-    macd = R.ema(close, fast) - R.ema(close, slow)
-    return {"__macd": macd, "__sig": R.ema(macd, signal)}
+    return R.per_symbol(df, lambda p: {name: R.rsi_kernel(p["__ch"], n)}, {name: "double"}).drop("__ch")
 
 
 def macd_columns(df: DataFrame) -> DataFrame:
@@ -200,7 +176,7 @@ def macd_columns(df: DataFrame) -> DataFrame:
 
 def add_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     added = {"__macd": "double", "__sig": "double"}
-    return macd_columns(R.per_symbol(bars, lambda p: macd_kernel(p["close"], fast, slow, signal), added))
+    return macd_columns(R.per_symbol(bars, lambda p: R.macd_kernel(p["close"], fast, slow, signal), added))
 
 
 def add_frac_diff(bars: DataFrame, d: float = 0.4, threshold: float = 1e-5, name: str = "ffd") -> DataFrame:
@@ -327,29 +303,10 @@ def add_elliott(bars: DataFrame, pivots: DataFrame, at: str = "ts") -> DataFrame
 
 def add_hurst(bars: DataFrame, window: int = 256, max_lag: int = 64) -> DataFrame:
     """Slope of log deviation of lagged differences against log lag, over the ``window`` rows before each
-    row; all frames share one window. Lags without deviation are left out and the rest renumbered."""
+    row. Lags without deviation are left out and the rest renumbered."""
     if window < 2 * max_lag:
         raise ValueError("the window must hold at least twice the largest lag")
-    close = F.col("close")
-    # lags and frames in two steps, so that each step is one window operator
-    df = bars.withColumns({f"__d{k}": close - lag("close", k) for k in range(2, max_lag)})
-    frame = lambda k: BY_TIME.rowsBetween(-(window - k), -1)
-    df = df.withColumn("__t", F.array(*(F.stddev_pop(f"__d{k}").over(frame(k)) for k in range(2, max_lag))))
-    df = df.withColumn("__row", F.row_number().over(BY_TIME)).drop(*(f"__d{k}" for k in range(2, max_lag)))
-    taus = F.filter("__t", lambda t: t > 0)
-    points = F.transform(taus, lambda t, i: F.struct(F.ln(i + 2.0).alias("x"), F.ln(t).alias("y")))
-    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "x", "y", "xx", "xy")))
-    sums = F.aggregate(
-        points,
-        zero,
-        lambda a, p: F.struct(
-            (a["n"] + 1).alias("n"), (a["x"] + p["x"]).alias("x"), (a["y"] + p["y"]).alias("y"), (a["xx"] + p["x"] * p["x"]).alias("xx"), (a["xy"] + p["x"] * p["y"]).alias("xy")
-        ),
-    )
-    df = df.withColumn("__s", sums)
-    s = {c: F.col(f"__s.{c}") for c in ("n", "x", "y", "xx", "xy")}
-    slope = ratio(s["n"] * s["xy"] - s["x"] * s["y"], s["n"] * s["xx"] - s["x"] * s["x"])
-    return df.withColumn("hurst", F.when(F.col("__row") > window, F.when(s["n"] >= 5, slope).otherwise(0.5))).drop("__t", "__row", "__s")
+    return R.per_symbol(bars, lambda p: {"hurst": R.rolling_hurst(p["close"], window, max_lag)}, {"hurst": "double"})
 
 
 def add_vol_regime(df: DataFrame, n: int = 64) -> DataFrame:
@@ -360,55 +317,8 @@ def add_vol_regime(df: DataFrame, n: int = 64) -> DataFrame:
     return filled.withColumn("regime", F.when(q <= 0.33, 0.0).when(q <= 0.66, 1.0).when(q <= 1.01, 2.0)).drop("__v", "__q")
 
 
-def gaussian_regimes(returns: np.ndarray, n_states: int = 3, rounds: int = 50, seed: int = 42) -> np.ndarray:
-    """Most likely states of a hidden Markov model with diagonal Gaussians on (r, |r|), fitted by
-    expectation maximisation from quantiles of |r|; states are numbered by volatility."""
-    r = np.nan_to_num(np.asarray(returns, float))
-    x = np.column_stack([r, np.abs(r)])
-    n, k = len(x), n_states
-    if n < 10 * k or not x.std():
-        return np.zeros(n)
-    cuts = np.quantile(x[:, 1], np.linspace(0, 1, k + 1)[1:-1])
-    start = np.searchsorted(cuts, x[:, 1])
-    mean = np.array([x[start == s].mean(0) if (start == s).any() else x.mean(0) for s in range(k)])
-    var = np.array([x[start == s].var(0) if (start == s).any() else x.var(0) for s in range(k)]) + 1e-12
-    move, first = np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), np.full(k, 1 / k)
-
-    def likelihood() -> np.ndarray:
-        return -0.5 * (((x[:, None] - mean) ** 2) / var + np.log(2 * np.pi * var)).sum(2)
-
-    for _ in range(rounds):
-        logs = likelihood()
-        shift = logs.max(1, keepdims=True)
-        b = np.exp(logs - shift)
-        alpha, beta, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
-        for t in range(n):
-            a = first * b[0] if t == 0 else (alpha[t - 1] @ move) * b[t]
-            scale[t] = a.sum() or 1e-300
-            alpha[t] = a / scale[t]
-        for t in range(n - 2, -1, -1):
-            beta[t] = move @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-        gamma = alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        joint = move * (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None]))
-        move, first = joint / joint.sum(1, keepdims=True), gamma[0]
-        weight = gamma.sum(0)[:, None]
-        mean = gamma.T @ x / weight
-        var = np.maximum(gamma.T @ x**2 / weight - mean**2, 1e-12)
-    logs, steps = likelihood(), np.log(move + 1e-300)
-    best, back = np.log(first + 1e-300) + logs[0], np.zeros((n, k), int)
-    for t in range(1, n):
-        options = best[:, None] + steps
-        back[t], best = options.argmax(0), options.max(0) + logs[t]
-    path = np.empty(n, int)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return np.argsort(np.argsort(var[:, 0]))[path].astype(float)
-
-
 def add_hmm_regime(df: DataFrame, n_states: int = 3) -> DataFrame:
-    return R.per_symbol(df, lambda p: {"regime": gaussian_regimes(p["log_ret"], n_states)}, {"regime": "double"})
+    return R.per_symbol(df, lambda p: {"regime": R.gaussian_regimes(p["log_ret"], n_states)}, {"regime": "double"})
 
 
 # --- the matrix ----------------------------------------------------------------------------------
@@ -431,7 +341,8 @@ MATRIX = (
 def feature_matrix(bars: DataFrame, params: FeatureParams | None = None, pivot_time: str = "ts", hmm: bool = False) -> DataFrame:
     """symbol, ts and the columns of MATRIX for every bar; NULL while there isn't enough history.
 
-    One kernel pass makes all recursions of prices, a second the Hawkes intensity, a third the pivots.
+    One kernel pass makes all recursions of prices, and is written once; a second makes the Hawkes
+    intensity, a third the pivots.
     ``pivot_time`` "ts" looks ahead, as the extreme is known later; "confirmed" doesn't.
     """
     p = params or FeatureParams()
@@ -439,20 +350,21 @@ def feature_matrix(bars: DataFrame, params: FeatureParams | None = None, pivot_t
     def kernel(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         close = pdf["close"]
         return (
-            {"ffd": R.frac_diff(close, p.frac_d), "atr_14": R.wilder(pdf["__tr"], 14), "rsi": rsi_kernel(close.diff(), p.rsi_n)}
+            {"ffd": R.frac_diff(close, p.frac_d), "atr_14": R.wilder(pdf["__tr"], 14), "rsi": R.rsi_kernel(close.diff(), p.rsi_n)}
+            | {"hurst": R.rolling_hurst(close)}
             | {f"ema{n}": R.ema(close, n) for n in (20, 50, 200)}
-            | macd_kernel(close, p.macd_fast, p.macd_slow, p.macd_signal)
-            | adx_kernel(pdf, p.adx_n)
+            | R.macd_kernel(close, p.macd_fast, p.macd_slow, p.macd_signal)
+            | R.adx_kernel(pdf, p.adx_n)
         )
 
-    added = dict.fromkeys(("ffd", "atr_14", "rsi", "ema20", "ema50", "ema200", "__macd", "__sig"), "double") | ADX_COLUMNS
-    df = R.per_symbol(directional_inputs(bars), kernel, added).drop("__tr", "__plus", "__minus")
+    added = dict.fromkeys(("ffd", "atr_14", "rsi", "hurst", "ema20", "ema50", "ema200", "__macd", "__sig"), "double") | ADX_COLUMNS
+    df = stage(R.per_symbol(directional_inputs(bars), kernel, added).drop("__tr", "__plus", "__minus"), "recursions")
     pivots = zigzag_pivots(df, p.zigzag_atr_mult)
     df = add_returns(macd_columns(df)).withColumn("atr_pct", ratio(F.col("atr_14"), F.col("close")))
     df = add_donchian(add_stochastic(df, p.stoch_k, p.stoch_d, p.stoch_smooth), p.donch_n)
     df = add_bollinger(add_ema_stack(df), p.bb_n, p.bb_k)
     df = add_regime_score(df, p.adx_trend_th, p.adx_range_th)
-    df = add_hurst(add_elliott(add_fibonacci(df, pivots, at=pivot_time), pivots, at=pivot_time))
+    df = add_elliott(add_fibonacci(df, pivots, at=pivot_time), pivots, at=pivot_time)
     df = add_hmm_regime(df, p.regime_states) if hmm else add_vol_regime(df)
     df = add_hawkes(df, p.hawkes_decay).withColumn("regime", ffill(F.col("regime")))
     finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).alias(c)
@@ -473,24 +385,10 @@ def min_stationary_d(bars: DataFrame, level: float = 0.05, grid: tuple[float, ..
             x = x[~np.isnan(x)]
             if len(x) < 100:
                 continue
-            statistic = adf_statistic(x)
+            statistic = R.adf_statistic(x)
             if statistic < critical:
                 found = (d, statistic)
                 break
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "d": [found[0]], "statistic": [found[1]]})
 
     return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, d double, statistic double")
-
-
-def adf_statistic(x: np.ndarray) -> float:
-    """t statistic of the level in a regression of changes on level, last change and constant."""
-    change = np.diff(x)
-    design = np.column_stack([x[1:-1], change[:-1], np.ones(len(change) - 1)])
-    target = change[1:]
-    inverse = np.linalg.pinv(design.T @ design)
-    beta = inverse @ design.T @ target
-    rest = target - design @ beta
-    variance = rest @ rest / max(len(target) - 3, 1)
-    return float(beta[0] / math.sqrt(max(variance * inverse[0, 0], 1e-300)))
-
-

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.windows import BY_TIME, bfill, ffill, rolling, row_no
+from quillon.functions.windows import by_time, bfill, ffill, rolling, row_no
 from quillon.operators import recursions as R
 from quillon.operators.features import log_return
 
@@ -68,8 +68,8 @@ def daily_volatility(bars: DataFrame, span: int = 100) -> DataFrame:
 
 def vertical_barriers(bars: DataFrame, events: DataFrame, n: int = 48) -> DataFrame:
     """(symbol, ts, t1): the bar n rows after each event, or the last one."""
-    last = F.last("ts").over(BY_TIME.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ends = bars.select("symbol", "ts", F.coalesce(F.lead("ts", n).over(BY_TIME), last).alias("t1"))
+    last = F.last("ts").over(by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = bars.select("symbol", "ts", F.coalesce(F.lead("ts", n).over(by_time()), last).alias("t1"))
     return events.select("symbol", "ts").join(ends, ["symbol", "ts"])
 
 
@@ -99,7 +99,7 @@ def triple_barrier(
     numbered = bars.select("symbol", "ts", "close", row_no().alias("n"))
     if "side" not in events.columns:
         events = events.withColumn("side", F.lit(1.0))
-    carried = F.last("target_vol", ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    carried = F.last("target_vol", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     events = events.withColumn("__tv", F.greatest(F.coalesce(carried, F.lit(min_target)), F.lit(min_target)))
     starts = events.join(numbered, ["symbol", "ts"]).select(
         "symbol",

@@ -7,6 +7,7 @@ one symbol's rows in memory.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 
 import numpy as np
@@ -146,3 +147,113 @@ def zigzag(high, low, close, reversal) -> list[tuple[int, int, float, int]]:
                 found.setdefault(row, (row, i, best, leg))
                 open_legs, best, row = {-leg}, behind, i
     return list(found.values())
+
+
+# --- kernels of features -------------------------------------------------------------------------
+
+
+def adx_kernel(p: pd.DataFrame, n: int) -> dict[str, np.ndarray]:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        span = wilder(p["__tr"], n)
+        span = np.where(span == 0, np.nan, span)
+        plus, minus = (100 * wilder(p[c], n) / span for c in ("__plus", "__minus"))
+        both = np.where(plus + minus == 0, np.nan, plus + minus)
+        # where the index is unknown it counts as 0, so the average starts at 0 on the first row
+        adx = wilder(np.nan_to_num(100 * np.abs(plus - minus) / both), n)
+    return {"adx": adx, "plus_di": plus, "minus_di": minus, "adx_norm": np.clip(adx / 100, 0, 1), "di_spread": plus - minus}
+
+
+def rsi_kernel(change: pd.Series, n: int) -> np.ndarray:
+    """NULL while there are no losses at all."""
+    gain, loss = wilder(change.clip(lower=0), n), wilder(-change.clip(upper=0), n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 100 - 100 / (1 + gain / np.where(loss == 0, np.nan, loss))
+
+
+def macd_kernel(close: pd.Series, fast: int, slow: int, signal: int) -> dict[str, np.ndarray]:
+    macd = ema(close, fast) - ema(close, slow)
+    return {"__macd": macd, "__sig": ema(macd, signal)}
+
+
+def gaussian_regimes(returns: np.ndarray, n_states: int = 3, rounds: int = 50, seed: int = 42) -> np.ndarray:
+    """Most likely states of a hidden Markov model with diagonal Gaussians on (r, |r|), fitted by
+    expectation maximisation from quantiles of |r|; states are numbered by volatility."""
+    r = np.nan_to_num(np.asarray(returns, float))
+    x = np.column_stack([r, np.abs(r)])
+    n, k = len(x), n_states
+    if n < 10 * k or not x.std():
+        return np.zeros(n)
+    cuts = np.quantile(x[:, 1], np.linspace(0, 1, k + 1)[1:-1])
+    start = np.searchsorted(cuts, x[:, 1])
+    mean = np.array([x[start == s].mean(0) if (start == s).any() else x.mean(0) for s in range(k)])
+    var = np.array([x[start == s].var(0) if (start == s).any() else x.var(0) for s in range(k)]) + 1e-12
+    move, first = np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), np.full(k, 1 / k)
+
+    def likelihood() -> np.ndarray:
+        return -0.5 * (((x[:, None] - mean) ** 2) / var + np.log(2 * np.pi * var)).sum(2)
+
+    for _ in range(rounds):
+        logs = likelihood()
+        shift = logs.max(1, keepdims=True)
+        b = np.exp(logs - shift)
+        alpha, beta, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
+        for t in range(n):
+            a = first * b[0] if t == 0 else (alpha[t - 1] @ move) * b[t]
+            scale[t] = a.sum() or 1e-300
+            alpha[t] = a / scale[t]
+        for t in range(n - 2, -1, -1):
+            beta[t] = move @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+        gamma = alpha * beta
+        gamma /= gamma.sum(1, keepdims=True)
+        joint = move * (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None]))
+        move, first = joint / joint.sum(1, keepdims=True), gamma[0]
+        weight = gamma.sum(0)[:, None]
+        mean = gamma.T @ x / weight
+        var = np.maximum(gamma.T @ x**2 / weight - mean**2, 1e-12)
+    logs, steps = likelihood(), np.log(move + 1e-300)
+    best, back = np.log(first + 1e-300) + logs[0], np.zeros((n, k), int)
+    for t in range(1, n):
+        options = best[:, None] + steps
+        back[t], best = options.argmax(0), options.max(0) + logs[t]
+    path = np.empty(n, int)
+    path[-1] = best.argmax()
+    for t in range(n - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return np.argsort(np.argsort(var[:, 0]))[path].astype(float)
+
+
+def adf_statistic(x: np.ndarray) -> float:
+    """t statistic of the level in a regression of changes on level, last change and constant."""
+    change = np.diff(x)
+    design = np.column_stack([x[1:-1], change[:-1], np.ones(len(change) - 1)])
+    target = change[1:]
+    inverse = np.linalg.pinv(design.T @ design)
+    beta = inverse @ design.T @ target
+    rest = target - design @ beta
+    variance = rest @ rest / max(len(target) - 3, 1)
+    return float(beta[0] / math.sqrt(max(variance * inverse[0, 0], 1e-300)))
+
+
+
+
+def rolling_hurst(close, window: int = 256, max_lag: int = 64) -> np.ndarray:
+    """For each row the slope of log deviation against log lag of the ``window`` values before it."""
+    x = np.asarray(close, float)
+    out = np.full(len(x), np.nan)
+    lags = np.arange(2, max_lag)
+    for begin in range(window, len(x), 4096):
+        rows = np.arange(begin, min(begin + 4096, len(x)))
+        part = x[begin - window : rows[-1]]
+        taus = np.empty((len(rows), len(lags)))
+        for j, k in enumerate(lags):
+            taus[:, j] = np.lib.stride_tricks.sliding_window_view(part[k:] - part[:-k], window - k).std(axis=1)
+        good = taus > 0
+        number = np.cumsum(good, axis=1)
+        n = number[:, -1]
+        log_lag = np.where(good, np.log(number + 1.0), 0.0)
+        log_tau = np.log(np.where(good, taus, 1.0))
+        sx, sy = log_lag.sum(1), log_tau.sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = (n * (log_lag * log_tau).sum(1) - sx * sy) / (n * (log_lag**2).sum(1) - sx**2)
+        out[rows] = np.where(n >= 5, slope, 0.5)
+    return out

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.windows import BY_TIME, cumulative
+from quillon.functions.windows import by_time, cumulative
 from quillon.params import DriftConfig, RiskLimits
 
 
@@ -20,9 +20,9 @@ def breakers(equity: DataFrame, limits: RiskLimits | None = None, start: float |
     """
     lim = limits or RiskLimits()
     df = equity.withColumn("__day", F.to_date("ts"))
-    first = F.first("equity").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)) if start is None else F.lit(float(start))
-    before = F.coalesce(F.lag("equity").over(BY_TIME), first)
-    so_far = F.max("equity").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("equity").over(by_time().rowsBetween(Window.unboundedPreceding, 0)) if start is None else F.lit(float(start))
+    before = F.coalesce(F.lag("equity").over(by_time()), first)
+    so_far = F.max("equity").over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     today = Window.partitionBy("symbol", "__day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"__pnl": F.col("equity") - before, "peak": so_far if start is None else F.greatest(so_far, F.lit(float(start)))})
     df = df.withColumn("daily_return", F.sum("__pnl").over(today) / F.greatest("peak", F.lit(1e-9)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.windows import BY_TIME, clip, holds
+from quillon.functions.windows import by_time, clip, holds
 from quillon.operators import recursions as R
 from quillon.params import PrimaryParams
 
@@ -53,7 +53,7 @@ def range_signal(df: DataFrame, p: PrimaryParams | None = None) -> DataFrame:
     p = p or PrimaryParams()
     df = df.withColumns({"__b": _value(df, "bb_pct_b"), "__rsi": _value(df, "rsi")})
     df = df.withColumns(
-        {"__b1": F.coalesce(F.lag("__b").over(BY_TIME), F.lit(0.5)), "__turn": F.coalesce(F.col("__rsi") - F.lag("__rsi").over(BY_TIME), F.lit(0.0))}
+        {"__b1": F.coalesce(F.lag("__b").over(by_time()), F.lit(0.5)), "__turn": F.coalesce(F.col("__rsi") - F.lag("__rsi").over(by_time()), F.lit(0.0))}
     )
     b, b1, rsi, z, slope = F.col("__b"), F.col("__b1"), F.col("__rsi"), _value(df, "bb_z"), _value(df, "macd_hist_slope")
     calm = (_value(df, "is_range") > 0) & (_value(df, "adx") < p.range_max_adx) & (_value(df, "bb_width_pctl", 0.5) <= 0.55)
@@ -98,7 +98,7 @@ def primary_signals(features: DataFrame, p: PrimaryParams | None = None) -> Data
 
 def onsets(signals: DataFrame, side: str = "primary_side") -> DataFrame:
     """Rows where a side begins: not 0 and not that of the row before."""
-    before = F.coalesce(F.lag(side).over(BY_TIME), F.lit(0))
+    before = F.coalesce(F.lag(side).over(by_time()), F.lit(0))
     return signals.withColumn("__new", holds((F.col(side) != 0) & (F.col(side) != before))).filter("__new").drop("__new")
 
 

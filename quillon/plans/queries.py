@@ -81,17 +81,17 @@ def q01_bar_scan_pruned(spark: SparkSession, d: str) -> DataFrame:
     return B.lineitem_ticks(spark, d).filter((F.col("symbol") == "A") & (F.col("ts") >= since)).select("symbol", "ts", "price")
 
 
-@query(f"{BARS}, n AS (SELECT *, ts < TIMESTAMP '1995-01-01' AS o, ts >= TIMESTAMP '1994-01-01' AS w FROM bars) SELECT symbol, ts, CASE WHEN w THEN round(close, 4) ELSE round(close + 1, 4) END AS close FROM n WHERE o OR w")
+@query(f"{BARS}, n AS (SELECT *, ts < TIMESTAMP '1995-01-01' AS o, ts >= TIMESTAMP '1994-01-01' AS w FROM bars) SELECT symbol, ts, CASE WHEN w THEN close ELSE close + 1 END AS close FROM n WHERE o OR w")
 def q02_cache_merge_dedupe(spark: SparkSession, d: str) -> DataFrame:
     bars = daily(spark, d)
     old = bars.filter(F.col("ts") < F.lit("1995-01-01").cast("timestamp_ntz")).withColumn("close", F.col("close") + 1)
     new = bars.filter(F.col("ts") >= F.lit("1994-01-01").cast("timestamp_ntz"))
-    return rounded(B.merge_bars(old, new), 4, "close")
+    return B.merge_bars(old, new).select("symbol", "ts", "close")
 
 
-@query(f"{BARS} SELECT symbol, ts, {r(4, 'open', 'high', 'low', 'close', 'volume', 'turnover')} FROM bars")
+@query(f"{BARS} SELECT symbol, ts, open, high, low, close, volume, turnover FROM bars")
 def q03_ohlcv_time_bars(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(daily(spark, d), 4, "open", "high", "low", "close", "volume", "turnover")
+    return daily(spark, d)
 
 
 @query(f"{EVENT_BARS} SELECT symbol, ts, {r(4, 'open', 'high', 'low', 'close', 'volume')} FROM bars")
@@ -242,7 +242,7 @@ def q25_frac_diff(spark: SparkSession, d: str) -> DataFrame:
 
 def _regime_inputs(bars: DataFrame) -> DataFrame:
     """Stand-ins that both engines can compute."""
-    w = W.BY_TIME
+    w = W.by_time()
     df = bars.withColumns({"n": F.row_number().over(w), "bb_width": (F.col("high") - F.col("low")) / F.col("close"), "mid": F.avg("close").over(W.last_rows(200))})
     df = df.withColumn("trend_align", F.when(F.floor(F.col("n") / 60) % 3 == 0, 1.0).when(F.floor(F.col("n") / 60) % 3 == 1, -2.0 / 3).otherwise(0.0))
     return df.withColumns({"adx": (F.col("n") % 45).cast("double"), "atr_pct": F.abs(F.col("close") - F.col("mid")) / F.col("mid")})
@@ -269,22 +269,22 @@ def q27_regime_score_pct_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q28_zigzag(spark: SparkSession, d: str) -> DataFrame:
-    return features.zigzag_pivots(features.add_atr(vwap(spark, d)), 3.0)
+    return features.zigzag_pivots(features.add_atr(hourly(spark, d)), 1.0)
 
 
 def _extremes(bars: DataFrame) -> DataFrame:
-    around = W.BY_TIME.rowsBetween(-2, 2)
+    around = W.by_time().rowsBetween(-2, 2)
     kind = F.when(F.col("high") == F.max("high").over(around), 1).when(F.col("low") == F.min("low").over(around), -1)
-    df = bars.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn("k1", F.lag("kind").over(W.BY_TIME))
+    df = bars.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn("k1", F.lag("kind").over(W.by_time()))
     df = df.filter("k1 IS NULL OR kind <> k1")
     return df.select("symbol", "ts", F.col("ts").alias("confirmed"), F.when(F.col("kind") == 1, F.col("high")).otherwise(F.col("low")).alias("price"), "kind")
 
 
-_AT = """at AS (SELECT b.*, p.* EXCLUDE (symbol, ts) FROM bars b ASOF LEFT JOIN pl p ON b.symbol = p.symbol AND b.ts >= p.ts)"""
+_AT = """ao AS (SELECT b.*, p.* EXCLUDE (symbol, ts) FROM bars b ASOF LEFT JOIN pl p ON b.symbol = p.symbol AND b.ts >= p.ts)"""
 
 
 @query(f"""{BARS}, {PIVOTS}, pl AS (SELECT symbol, ts, price AS p1, lag(price) OVER {LAG} AS p0 FROM piv), {_AT},
-a AS (SELECT *, greatest(high - low, 1e-9) AS a, p1 - p0 AS rng FROM at),
+a AS (SELECT *, greatest(high - low, 1.0) AS a, p1 - p0 AS rng FROM ao),
 lv AS (SELECT symbol, ts, min_by(lvl, {{'d': d, 'l': lvl}}) AS lvl, min(d) AS d FROM (
   SELECT symbol, ts, lvl, abs(p1 - lvl * rng - close) / a AS d FROM (SELECT *, unnest([0.236, 0.382, 0.5, 0.618, 0.786]::DOUBLE[]) AS lvl FROM a WHERE rng <> 0)) GROUP BY ALL)
 SELECT a.symbol, a.ts, round(coalesce(d, 999), 5) AS fib_nearest_dist_atr, coalesce(lvl, 0.5::DOUBLE) AS fib_nearest_level,
@@ -292,12 +292,12 @@ SELECT a.symbol, a.ts, round(coalesce(d, 999), 5) AS fib_nearest_dist_atr, coale
 FROM a LEFT JOIN lv ON a.symbol = lv.symbol AND a.ts = lv.ts""")
 def q29_fibonacci(spark: SparkSession, d: str) -> DataFrame:
     bars = daily(spark, d)
-    df = features.add_fibonacci(bars.withColumn("span", F.col("high") - F.col("low")), _extremes(bars), atr="span")
+    df = features.add_fibonacci(bars.withColumn("span", F.greatest(F.col("high") - F.col("low"), F.lit(1.0))), _extremes(bars), atr="span")
     return df.select("symbol", "ts", F.round("fib_nearest_dist_atr", 5).alias("fib_nearest_dist_atr"), "fib_nearest_level", "fib_in_golden_zone")
 
 
 @query(f"""{BARS}, {PIVOTS}, pl AS (SELECT symbol, ts, row_number() OVER {LAG} AS j, price AS p5, {', '.join(f'lag(price, {5 - i}) OVER {LAG} AS p{i}' for i in range(5))}, lag(kind, 5) OVER {LAG} AS k0 FROM piv), {_AT},
-a AS (SELECT symbol, ts, j, p0, p3, CASE WHEN k0 = -1 THEN 1 ELSE -1 END AS dr, p1 - p0 AS a1, p1 - p2 AS a2, p3 - p2 AS a3, p3 - p4 AS a4, p5 - p4 AS a5 FROM at),
+a AS (SELECT symbol, ts, j, p0, p3, CASE WHEN k0 = -1 THEN 1 ELSE -1 END AS dr, p1 - p0 AS a1, p1 - p2 AS a2, p3 - p2 AS a3, p3 - p4 AS a4, p5 - p4 AS a5 FROM ao),
 b AS (SELECT *, a1 * dr AS w1, a2 * dr AS w2, a3 * dr AS w3, a4 * dr AS w4, a5 * dr AS w5 FROM a),
 c AS (SELECT *, CASE WHEN least(w1, w2, w3, w4, w5) > 0 AND p0 IS NOT NULL THEN (CAST(w2 / w1 BETWEEN 0.382 AND 0.786 AS INT) + CAST(w3 >= 1.618 * w1 AS INT) + CAST(w3 >= w1 AND w3 >= w5 AS INT)
   + CAST((p3 - dr * w4 - p0 - dr * w1) * dr > 0 AS INT) + CAST(w5 / w1 BETWEEN 0.382 AND 1.618 AS INT)) / 5.0::DOUBLE ELSE 0.0 END AS conf FROM b)
@@ -338,13 +338,13 @@ def q33_feature_matrix(spark: SparkSession, d: str) -> DataFrame:
 e AS (SELECT symbol, n, turnover AS cum, 0 AS id, turnover >= thr AS done FROM s WHERE n = 1
   UNION ALL SELECT s.symbol, s.n, CASE WHEN e.done THEN s.turnover ELSE e.cum + s.turnover END, e.id + CAST(e.done AS INT), CASE WHEN e.done THEN s.turnover ELSE e.cum + s.turnover END >= s.thr
   FROM e JOIN s ON s.symbol = e.symbol AND s.n = e.n + 1)
-SELECT symbol, max(ts) AS ts, round(arg_min(open, n), 4) AS open, round(max(high), 4) AS high, round(min(low), 4) AS low, round(arg_max(close, n), 4) AS close, round(sum(volume), 2) AS volume
+SELECT symbol, max(ts) AS ts, arg_min(open, n) AS open, max(high) AS high, min(low) AS low, arg_max(close, n) AS close, round(sum(volume), 2) AS volume
 FROM e JOIN s USING (symbol, n) GROUP BY symbol, id HAVING bool_or(done)""")
 def q40_dollar_bars(spark: SparkSession, d: str) -> DataFrame:
     bars = daily(spark, d)
     limits = bars.groupBy("symbol").agg((5 * F.median("turnover")).alias("threshold"))
     df = labels.dollar_bars(bars, limits)
-    return df.select("symbol", "ts", *(F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")), F.round("volume", 2).alias("volume"))
+    return df.select("symbol", "ts", "open", "high", "low", "close", F.round("volume", 2).alias("volume"))
 
 
 def _sides(bars: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def q42_cusum_events(spark: SparkSession, d: str) -> DataFrame:
 
 def _label_events(bars: DataFrame) -> DataFrame:
     """Every fifth bar, with 20-bar deviation over mean as target."""
-    df = bars.withColumns({"n": F.row_number().over(W.BY_TIME), "m": W.rolling(F.avg, F.col("close"), 20), "s": W.rolling(F.stddev_samp, F.col("close"), 20)})
+    df = bars.withColumns({"n": F.row_number().over(W.by_time()), "m": W.rolling(F.avg, F.col("close"), 20), "s": W.rolling(F.stddev_samp, F.col("close"), 20)})
     return df.filter("n % 5 = 0 AND s IS NOT NULL").select("symbol", "ts", (F.col("s") / F.col("m")).alias("target_vol"))
 
 
@@ -510,7 +510,7 @@ def q54_cost_adjusted_rr_gate(spark: SparkSession, d: str) -> DataFrame:
     return df.select("symbol", "e", "mode", "hold", F.round("pt_frac", 8).alias("pt_frac"), F.round("sl_frac", 8).alias("sl_frac"))
 
 
-_RESOLVE = f"""pp AS (SELECT p.*, b.n, side * (b.close / c0 - 1) AS r FROM pn p JOIN nb b ON b.symbol = p.symbol AND b.n BETWEEN e AND e + hold),
+_RESOLVE = f"""pp AS (SELECT p.*, b.n, p.side * (b.close / c0 - 1) AS r FROM pn p JOIN nb b ON b.symbol = p.symbol AND b.n BETWEEN e AND e + hold),
 pk AS (SELECT *, greatest(max(r) OVER (PARTITION BY symbol, e ORDER BY n), 0) AS peak FROM pp),
 ph AS (SELECT *, CASE WHEN n = e THEN NULL WHEN r >= pt THEN 1 WHEN r <= -sl THEN 2 WHEN mode = 1 AND peak > atr * 0.8 AND r <= peak - 2 * atr AND peak - 2 * atr > 0 THEN 3 END AS w FROM pk),
 px AS (SELECT symbol, e, coalesce(min(n) FILTER (w IS NOT NULL), max(n)) AS x FROM ph GROUP BY ALL),
@@ -525,7 +525,7 @@ def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"{VWAP}, {_CAND}, {_RESOLVE} SELECT symbol, e, exit_n, barrier, round(gross, 8) AS gross_ret FROM rs")
 def q55_barrier_resolution_trailing(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d)[1].select("symbol", "e", "exit_n", "barrier", F.round("gross_ret", 8).alias("gross_ret"))
+    return _resolved(spark, d)[1].select("symbol", F.col("e").cast("bigint").alias("e"), F.col("exit_n").cast("bigint").alias("exit_n"), "barrier", F.round("gross_ret", 8).alias("gross_ret"))
 
 
 _SINGLE = f"""{numbered('tq', 'e, exit_n', '(SELECT *, e AS ts FROM rs)')},
@@ -653,16 +653,16 @@ c AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS combo_id FROM range(
 z AS (SELECT c.combo_id, x.symbol, x.row_no, x.t OR y.t AS t, x.o OR y.o AS o FROM c JOIN st x ON x.k = i JOIN st y ON y.k = j AND y.symbol = x.symbol AND y.row_no = x.row_no)
 SELECT symbol, combo_id, CASE WHEN t THEN 'test' ELSE 'train' END AS role, count(*) AS n, CAST(sum(row_no) AS BIGINT) AS row_sum FROM z WHERE t OR NOT o GROUP BY ALL""")
 def q63_purged_folds_cpcv(spark: SparkSession, d: str) -> DataFrame:
-    bars = daily(spark, d).select("symbol", "ts", W.row_no().cast("bigint").alias("row_no"), F.lead("ts", 10).over(W.BY_TIME).alias("event_end"))
+    bars = daily(spark, d).select("symbol", "ts", W.row_no().cast("bigint").alias("row_no"), F.lead("ts", 10).over(W.by_time()).alias("event_end"))
     roles = validation.cpcv_roles(bars)
     return roles.groupBy("symbol", F.col("combo_id").cast("bigint").alias("combo_id"), "role").agg(F.count(F.lit(1)).alias("n"), F.sum("row_no").alias("row_sum"))
 
 
-@query(f"{BARS}, {PIVOTS}, pl AS (SELECT symbol, ts, price, kind FROM piv), {_AT} SELECT symbol, ts, round(price, 4) AS price, kind FROM at")
+@query(f"{BARS}, {PIVOTS}, pl AS (SELECT symbol, ts, price, kind FROM piv), {_AT} SELECT symbol, ts, price, kind FROM ao")
 def q64_asof_latest_pivot(spark: SparkSession, d: str) -> DataFrame:
     bars = daily(spark, d)
     last = F.col("__p")[0]
-    return features.as_of_pivots(bars, _extremes(bars), 1).select("symbol", "ts", F.round(last["price"], 4).alias("price"), last["kind"].alias("kind"))
+    return features.as_of_pivots(bars, _extremes(bars), 1).select("symbol", "ts", last["price"].alias("price"), last["kind"].alias("kind"))
 
 
 @query(f"""{EVENT_BARS}, a AS (SELECT b.symbol, b.ts, b.close / p.close - 1 AS x FROM bars b ASOF LEFT JOIN bars p ON b.symbol = p.symbol AND b.ts - INTERVAL 1 DAY > p.ts),
@@ -710,8 +710,8 @@ def q70_grid_group_means(spark: SparkSession, d: str) -> DataFrame:
     return research.viability(_cells(spark, d))
 
 
-@query(f"""{_CELLS} SELECT count(*) AS cells, CAST(sum(n_trades) AS BIGINT) AS trades, count_if(equity_pct > 0) AS profitable, count_if(profit_factor > 1.2) AS pf_ok, count_if(sharpe > 0.8) AS sharpe_ok,
-  count_if(max_dd > -0.3) AS mdd_ok, round(avg(sharpe), 6) AS mean_sharpe, round(median(sharpe), 6) AS median_sharpe FROM ce""")
+@query(f"""{_CELLS} SELECT count(*) AS cells, CAST(sum(n_trades) AS BIGINT) AS trades, CAST(count_if(equity_pct > 0) AS BIGINT) AS profitable, CAST(count_if(profit_factor > 1.2) AS BIGINT) AS pf_ok, CAST(count_if(sharpe > 0.8) AS BIGINT) AS sharpe_ok,
+  CAST(count_if(max_dd > -0.3) AS BIGINT) AS mdd_ok, round(avg(sharpe), 6) AS mean_sharpe, round(median(sharpe), 6) AS median_sharpe FROM ce""")
 def q71_health_counts(spark: SparkSession, d: str) -> DataFrame:
     return research.health(_cells(spark, d))
 

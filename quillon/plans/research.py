@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions.windows import bfill, ffill, row_no
 from quillon.operators import backtest, features, labels, meta, signals, validation
 from quillon.params import BacktestConfig, FeatureParams, MetaParams, PrimaryParams, apply_overrides
+from quillon.storage import stage
 
 
 @dataclass(frozen=True)
@@ -26,15 +27,15 @@ class Settings:
 
 def signal_table(bars: DataFrame, s: Settings) -> DataFrame:
     """Complete feature rows with the primary signal; rows without full history or with a gap are left out."""
-    matrix = features.feature_matrix(bars, s.features).na.drop(subset=list(features.MATRIX))
-    return signals.primary_signals(matrix, s.primary)
+    matrix = stage(features.feature_matrix(bars, s.features), "features").na.drop(subset=list(features.MATRIX))
+    return stage(signals.primary_signals(matrix, s.primary), "signals")
 
 
 def backtest_plan(bars: DataFrame, s: Settings | None = None, model: meta.MetaModel | None = None) -> dict[str, DataFrame]:
     """Features, signals, CUSUM events, optionally the meta filter, and the backtest; ATR and mode of the
     signals are used throughout."""
     s = s or Settings()
-    table = signal_table(bars, s).cache()
+    table = signal_table(bars, s)
     sides = table.select("symbol", "ts", F.col("primary_side").alias("side"), F.col("primary_mode").alias("mode"))
     events = labels.cusum_events(table.select("symbol", "ts", "close"))
     proba = model.probabilities(table).select("symbol", "ts", "prob") if model else None
@@ -112,20 +113,17 @@ def objective(bars: DataFrame, point: dict[str, float], min_rows: int = 500, min
     rows, events or folds."""
     s = Settings().with_overrides(point)
     s = replace(s, backtest=replace(s.backtest, meta_threshold=0.0))
-    table = signal_table(bars, s).cache()
-    try:
-        if table.count() < min_rows:
-            return {"value": -10.0, "n_folds": 0}
-        events = labels.cusum_events(table.select("symbol", "ts", "close"))
-        if events.count() < min_events:
-            return {"value": -5.0, "n_folds": 0}
-        good = fold_scores(table, events, s.backtest).filter((F.col("n_events") >= min_fold_events) & (F.col("n_trades") >= min_trades) & F.col("sharpe").isNotNull())
-        got = good.agg(F.avg("sharpe").alias("mean"), F.stddev_pop("sharpe").alias("sd"), F.count(F.lit(1)).alias("n")).first()
-        if not got["n"]:
-            return {"value": -3.0, "n_folds": 0}
-        return {"value": got["mean"] - 0.5 * (got["sd"] + 1e-9), "mean_sharpe": got["mean"], "std_sharpe": got["sd"], "n_folds": got["n"]}
-    finally:
-        table.unpersist()
+    table = signal_table(bars, s)
+    if table.count() < min_rows:
+        return {"value": -10.0, "n_folds": 0}
+    events = stage(labels.cusum_events(table.select("symbol", "ts", "close")), "events")
+    if events.count() < min_events:
+        return {"value": -5.0, "n_folds": 0}
+    good = fold_scores(table, events, s.backtest).filter((F.col("n_events") >= min_fold_events) & (F.col("n_trades") >= min_trades) & F.col("sharpe").isNotNull())
+    got = good.agg(F.avg("sharpe").alias("mean"), F.stddev_pop("sharpe").alias("sd"), F.count(F.lit(1)).alias("n")).first()
+    if not got["n"]:
+        return {"value": -3.0, "n_folds": 0}
+    return {"value": got["mean"] - 0.5 * (got["sd"] + 1e-9), "mean_sharpe": got["mean"], "std_sharpe": got["sd"], "n_folds": got["n"]}
 
 
 TRIALS = "trial int, value double, mean_sharpe double, std_sharpe double, n_folds bigint, params string"
