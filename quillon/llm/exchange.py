@@ -37,13 +37,18 @@ def undump(body: bytes) -> pa.RecordBatch:
         return read.read_next_batch()
 
 
+def lean() -> None:
+    """Let this worker give freed Arrow memory back to the system at once."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows as dicts, one at a time; memory that Arrow holds on to is given back between batches."""
+    """Rows as dicts, one at a time."""
+    lean()
     for rows in batches:
         for i in range(rows.num_rows):
             yield {c: rows.column(c)[i].as_py() for c in rows.schema.names}
         del rows
-        pa.default_memory_pool().release_unused()
 
 
 def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -56,21 +61,26 @@ def pack(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = pa.schema([("batch", pa.string()), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            return rows_of(schema, [(uuid.uuid4().hex, dump(pa.Table.from_batches(held).combine_chunks().to_batches()[0]))])
+
         for batch in batches:
-            sizes = np.zeros(batch.num_rows, np.int64)
-            lengths = pa.compute.binary_length(batch[text].cast(pa.binary()) if pa.types.is_string(batch[text].type) else batch[text])
-            sizes[:] = lengths.fill_null(0).to_numpy(zero_copy_only=False)
-            upto, first = np.cumsum(sizes), 0
-            while first < batch.num_rows:
-                base = upto[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(upto, base + BATCH_BYTES, side="right")))
-                part = batch.slice(first, last - first)
-                # a slice drags its parent's buffers along unless it is copied
-                part = part.take(pa.array(np.arange(part.num_rows)))
-                yield rows_of(schema, [(uuid.uuid4().hex, dump(part))])
-                first = last
-            del batch, part
-            pa.default_memory_pool().release_unused()
+            lengths = pa.compute.binary_length(batch[text]).fill_null(0).to_numpy(zero_copy_only=False)
+            first = 0
+            for i, n in enumerate(lengths.tolist()):
+                if size and size + n > BATCH_BYTES:
+                    # a slice drags its parent's buffers along unless it is copied
+                    held.append(batch.slice(first, i - first).take(pa.array(np.arange(i - first))))
+                    yield packed()
+                    held, size, first = [], 0, i
+                size += n
+            held.append(batch.slice(first).take(pa.array(np.arange(batch.num_rows - first))))
+        if sum(b.num_rows for b in held):
+            yield packed()
 
     return materialize(docs.select("doc_id", text).mapInArrow(run, PACKED), path)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shuffle_parts, workspace
+from quillon.llm.common import discard, materialize, shuffle_parts, small_batches, workspace
 from quillon.llm.exchange import by_bucket, counts_for, dump, each_row, merged, pack, repeated, rows_of, undump, with_answers
 from quillon.llm.wordhash import Words, prefix_sums, range_hashes, words
 
@@ -338,7 +338,9 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, digest: bool = False,
     spark = docs.sparkSession
     n = max(shuffle_parts(spark), 8)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = pack(narrow, f"{workspace(spark, 'substring')}/packed")
+    at = workspace(spark, "substring")
+    with small_batches(spark):
+        packed = pack(narrow, f"{at}/packed")
     back = repeated(packed, lambda b: _seed_keys(b, min_words))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +381,10 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, digest: bool = False,
     sent = with_answers(packed, back).mapInArrow(send, "bucket int, batch string, body binary")
     dealt = sent.repartition(n, "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(answer, "batch string, firsts binary, lasts binary")
-    return with_answers(packed, found).mapInArrow(finish, _DIGEST_SQL if digest else _RESULT_SQL)
+    with small_batches(spark):
+        out = materialize(with_answers(packed, found).mapInArrow(finish, _DIGEST_SQL if digest else _RESULT_SQL), f"{at}/out")
+    discard(spark, f"{at}/packed")
+    return out
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, min_words: int = 13) -> DataFrame:
