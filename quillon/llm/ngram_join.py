@@ -11,8 +11,8 @@ need is the smallest overlap that a partner must have: longer prefixes ask for m
    lowers its estimated cost, the postings it meets plus the verifications left if m must match.
 4. Postings are dealt by shingle, long lists in blocks. Candidates must be of fitting size and pass a
    bound on their difference by parity sketches; then share enough prefix shingles; then the exact
-   similarity decides. First each text meets the head of its lists only, and what links is merged;
-   then texts of different components meet. So a group of copies is never expanded into all pairs,
+   similarity decides. First each text meets the heads of its lists only, and what links is merged,
+   a few times; then all texts of different components meet. So a group of copies is never expanded into all pairs,
    but no link between different components is missed.
 
 Shingles are 64-bit hashes; sizes, bounds and similarities are whole numbers.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, materialize, shuffle_parts, workspace
+from quillon.llm.common import discard, materialize, shuffle_parts, small_batches, workspace
 from quillon.llm.components import connected_components
 from quillon.llm.exchange import counts_for, each_row, merged, pack, repeated, rows_of, undump, with_answers
 from quillon.llm.wordhash import prefix_sums, range_hashes, words
@@ -37,6 +37,8 @@ SKETCH_BITS = 1024
 #: Postings of a list that meet in one task.
 BLOCK = 512
 LADDER = (1, 2, 4, 8, 16)
+#: First tries with heads of lists, before all texts of different components meet.
+HEAD_TURNS = 2
 
 
 @dataclass(frozen=True)
@@ -232,9 +234,10 @@ def _pairs(join: Join, heads_only: bool):
     return run
 
 
-def candidates(kept: DataFrame, comps: DataFrame | None, join: Join) -> DataFrame:
-    """(a, b) with a < b that share enough prefix shingles. Without ``comps`` (doc_id, comp): each text
-    with the head of its block of each list. With ``comps``: all texts of different components."""
+def candidates(kept: DataFrame, comps: DataFrame | None, join: Join, heads: int | None = None) -> DataFrame:
+    """(a, b) with a < b, of different components ``comps`` (doc_id, comp), that share enough prefix
+    shingles. With ``heads``, a seed, only each text with the head of its block of each list, one drawn
+    anew for every list: a first try that takes as many comparisons as there are postings."""
     spark = kept.sparkSession
     n = shuffle_parts(spark)
     if comps is None:
@@ -246,7 +249,7 @@ def candidates(kept: DataFrame, comps: DataFrame | None, join: Join) -> DataFram
     ).select(F.col("p.prefix").alias("list"), F.col("p.counts").alias("count"), "doc_id", "size", "m", "comp", "sketch")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     each = each.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    if comps is None:
+    if heads is not None:
         placed = each.withColumn("part", F.col("block")).withColumn("side", F.lit(2))
     else:
         # pairs of blocks (i <= j) as i * blocks + j; side 2: both texts come from one block
@@ -259,9 +262,10 @@ def candidates(kept: DataFrame, comps: DataFrame | None, join: Join) -> DataFram
         )
         placed = each.withColumn("p", F.explode(meet)).select("*", "p.part", "p.side")
     placed = placed.select("list", "part", "side", "doc_id", "size", "m", "comp", "sketch")
-    dealt = placed.repartition(n, "list", "part").sortWithinPartitions("list", "part", "size", "doc_id")
-    pairs = dealt.mapInArrow(_pairs(join, comps is None), _PAIR_SQL)
-    if comps is None:  # a head is a first try, so one match is enough
+    first = F.col("size") if heads is None else F.xxhash64("list", "doc_id", F.lit(heads))
+    dealt = placed.repartition(n, "list", "part").sortWithinPartitions("list", "part", first, "doc_id")
+    pairs = dealt.mapInArrow(_pairs(join, heads is not None), _PAIR_SQL)
+    if heads is not None:  # a head is a first try, so one match is enough
         return pairs.select("a", "b").distinct()
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("m").alias("m")).filter("shared >= m").select("a", "b")
 
@@ -285,6 +289,19 @@ def linked(pairs: DataFrame, kept: DataFrame, join: Join) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
+def merge_components(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(doc_id, comp) of ``comps`` and the further ``links`` (a, b)."""
+    if comps is None:
+        return connected_components(links).select(F.col("node").alias("doc_id"), F.col("label").alias("comp"))
+    of = lambda c: comps.select(F.col("doc_id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    lifted = materialize(lifted.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")), workspace(links.sparkSession, "lifted"))
+    onward = connected_components(lifted).select(F.col("node").alias("comp"), "label")
+    alone = lifted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(comps, "doc_id", "left_anti")
+    nodes = comps.select("doc_id", "comp").unionByName(alone.withColumn("comp", F.col("doc_id")))
+    return nodes.join(onward, "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id of those
     reachable by links, its own included).
@@ -297,25 +314,22 @@ def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     spark = docs.sparkSession
     at = workspace(spark, "ngram_join")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = shingle_table(narrow, join, at)
+    with small_batches(spark):
+        rows = shingle_table(narrow, join, at)
     some = rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     reps = materialize(
         some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by("shingles", "doc_id").alias("shingles")), f"{at}/reps"
     )
-    kept = prefix_table(reps.select("doc_id", "shingles"), join, at)
-
-    tried = materialize(candidates(kept, None, join), f"{at}/tried")
-    links = materialize(linked(tried, kept, join), f"{at}/links")
-    comps = connected_components(links).select(F.col("node").alias("doc_id"), F.col("label").alias("comp"))
-    fresh = candidates(kept, comps, join).join(tried, ["a", "b"], "left_anti")
-    more = materialize(linked(fresh, kept, join), f"{at}/more")
-    # what the second try links are components of the first
-    of = lambda c: comps.select(F.col("doc_id").alias(c), F.col("comp").alias(f"{c}_comp"))
-    lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    lifted = lifted.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-    joined = connected_components(lifted).select(F.col("node").alias("comp"), "label")
-    nodes = comps.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("doc_id")).select("doc_id", F.col("doc_id").alias("comp"))).distinct()
-    final = nodes.join(joined, "comp", "left").groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.coalesce("label", "comp")).alias("label"))
+    with small_batches(spark):
+        kept = prefix_table(reps.select("doc_id", "shingles"), join, at)
+
+    comps = None
+    for turn in (*range(HEAD_TURNS), None):
+        pairs = materialize(candidates(kept, comps, join, turn), f"{at}/pairs{turn}")
+        with small_batches(spark):
+            links = materialize(linked(pairs, kept, join), f"{at}/links{turn}")
+        comps = materialize(merge_components(comps, links), f"{at}/components{turn}")
+    final = comps.select(F.col("doc_id").alias("rep"), F.col("comp").alias("label"))
 
     groups = reps.select("set_key", F.col("doc_id").alias("rep")).join(final, "rep", "left")
     groups = materialize(groups.select("set_key", F.coalesce("label", "rep").alias("component")), f"{at}/groups")
