@@ -371,6 +371,12 @@ def feature_matrix(bars: DataFrame, params: FeatureParams | None = None, pivot_t
     return df.select("symbol", "ts", *(finite(c) for c in MATRIX))
 
 
+def with_parameter_names(matrix: DataFrame, params: FeatureParams | None = None) -> DataFrame:
+    """The matrix with the two columns whose names carry their parameter: ffd_{d} and rsi_{n}."""
+    p = params or FeatureParams()
+    return matrix.withColumnsRenamed({"ffd": f"ffd_{p.frac_d}", "rsi": f"rsi_{p.rsi_n}"})
+
+
 def min_stationary_d(bars: DataFrame, level: float = 0.05, grid: tuple[float, ...] = tuple(i / 10 for i in range(11))) -> DataFrame:
     """(symbol, d, statistic): the smallest d of the grid whose differenced close passes an augmented
     Dickey-Fuller test (constant, one lag) at ``level``; 1.0 and no statistic if none does."""

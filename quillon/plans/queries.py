@@ -99,6 +99,25 @@ def q04_event_hour_bars(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hourly(spark, d), 4, "open", "high", "low", "close", "volume")
 
 
+@query(f"{EVENT_BARS} SELECT symbol, ts, open, high, low, close, volume, turnover FROM bars")
+def q05_api_page_normaliser(spark: SparkSession, d: str) -> DataFrame:
+    """Bars as raw pages of 200 rows, newest first, and back."""
+    bars = hourly(spark, d).withColumn("page", F.floor((F.row_number().over(W.by_time()) - 1) / 200))
+    text = [F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), *(F.col(c).cast("string") for c in B.BAR_COLUMNS[2:])]
+    listed = F.sort_array(F.collect_list(F.struct("ts", F.array(*text).alias("r"))), asc=False)
+    pages = bars.groupBy("symbol", "page").agg(F.transform(listed, lambda x: x["r"]).alias("list"))
+    body = F.to_json(F.struct(F.lit(0).alias("retCode"), F.struct("list").alias("result")))
+    return B.parse_pages(pages.select("symbol", body.alias("page")))
+
+
+@query()
+def q06_synthetic_bars(spark: SparkSession, d: str) -> DataFrame:
+    one, *rest = (B.synthetic(spark, name, 500) for name in B.PROFILES)
+    for more in rest:
+        one = one.unionByName(more)
+    return one
+
+
 @query(f"""{BARS}, a AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY symbol),
 c AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS ts FROM a)
 SELECT symbol, round(greatest(median(coalesce(turnover, 0)) / 50, 100000.0), 4) AS threshold FROM c LEFT JOIN bars USING (symbol, ts) GROUP BY symbol""")
@@ -240,6 +259,16 @@ def q25_frac_diff(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.add_frac_diff(daily(spark, d), 0.8, 1e-3), 4, "ffd")
 
 
+@query()
+def q26_min_stationary_d(spark: SparkSession, d: str) -> DataFrame:
+    return features.min_stationary_d(daily(spark, d), grid=(0.0, 0.2, 0.4, 0.6, 0.8, 1.0))
+
+
+@query()
+def q34_hmm_regime(spark: SparkSession, d: str) -> DataFrame:
+    return features.add_hmm_regime(features.add_returns(vwap(spark, d))).select("symbol", "ts", "regime")
+
+
 def _regime_inputs(bars: DataFrame) -> DataFrame:
     """Stand-ins that both engines can compute."""
     w = W.by_time()
