@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all folders that ``workspace`` has named so far; results that read them must be done with."""
+    while _made:
+        discard(spark, _made.pop())
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

@@ -8,6 +8,8 @@ up the counts and answers each batch with the counts of those of its keys that o
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,8 +40,13 @@ def undump(body: bytes) -> pa.RecordBatch:
 
 
 def lean() -> None:
-    """Let this worker give freed Arrow memory back to the system at once."""
+    """Let this worker give freed memory back to the system at once, where the C library can be told."""
     pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        tune = ctypes.CDLL(None).mallopt
+        tune(-3, 256 << 10)  # M_MMAP_THRESHOLD: larger blocks are mapped, and unmapped when freed
+        tune(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        tune(-8, 2)  # M_ARENA_MAX
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

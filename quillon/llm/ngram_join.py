@@ -310,24 +310,25 @@ def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     are one text; rows that share a doc_id are taken as one document. Rows without a doc_id get no
     component. Whole texts count; an empty table gives no rows.
     """
-    join = join or Join()
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, join or Join())
+
+
+def _near_duplicates(docs: DataFrame, join: Join) -> DataFrame:
     spark = docs.sparkSession
     at = workspace(spark, "ngram_join")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with small_batches(spark):
-        rows = shingle_table(narrow, join, at)
+    rows = shingle_table(narrow, join, at)
     some = rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     reps = materialize(
         some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by("shingles", "doc_id").alias("shingles")), f"{at}/reps"
     )
-    with small_batches(spark):
-        kept = prefix_table(reps.select("doc_id", "shingles"), join, at)
+    kept = prefix_table(reps.select("doc_id", "shingles"), join, at)
 
     comps = None
     for turn in (*range(HEAD_TURNS), None):
         pairs = materialize(candidates(kept, comps, join, turn), f"{at}/pairs{turn}")
-        with small_batches(spark):
-            links = materialize(linked(pairs, kept, join), f"{at}/links{turn}")
+        links = materialize(linked(pairs, kept, join), f"{at}/links{turn}")
         comps = materialize(merge_components(comps, links), f"{at}/components{turn}")
     final = comps.select(F.col("doc_id").alias("rep"), F.col("comp").alias("label"))
 
