@@ -26,8 +26,8 @@ MAX_BLOCKS = 4096
 BINS_PER_SHARD = 4
 
 
-def pack(vectors: np.ndarray, n_bins: int) -> np.ndarray:
-    """Bin of each row of ``vectors`` (items by dimensions).
+def pack(vectors: np.ndarray, n_bins: int, weights: tuple[float, ...] | None = None) -> np.ndarray:
+    """Bin of each row of ``vectors`` (items by dimensions). ``weights``: of the dimensions in the product.
 
     Dimensions are scaled to sum to 1, so that a bin's capacity is 1/n_bins in each. Items go
     largest first; ties keep the items' order, and among equal products the lowest bin wins.
@@ -35,14 +35,19 @@ def pack(vectors: np.ndarray, n_bins: int) -> np.ndarray:
     total = vectors.sum(axis=0)
     scaled = vectors / np.where(total > 0, total, 1)
     residual = np.full((n_bins, vectors.shape[1]), 1.0 / n_bins)
+    wanted = scaled * (np.ones(vectors.shape[1]) if weights is None else np.asarray(weights))
     out = np.empty(len(vectors), np.int32)
     for i in np.argsort(-scaled.max(axis=1), kind="stable"):
-        best = int((residual @ scaled[i]).argmax())
+        best = int((residual @ wanted[i]).argmax())
         out[i] = best
         residual[best] -= scaled[i]
     return out
 
 
+#: Bytes count most: they are what shards must agree in; tokens and rows follow closely.
+WEIGHTS = (4.0, 1.0, 1.0)
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), tokens (blank-separated), CRC-32, text hash and salt."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -99,7 +104,7 @@ def assign(docs: DataFrame, n_shards: int) -> DataFrame:
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "digest", "piece"], ascending=[False, True, True], ignore_index=True)
-        pdf["bin"] = pack(pdf[["bytes", "tokens", "n_rows"]].to_numpy(float), bins)
+        pdf["bin"] = pack(pdf[["bytes", "tokens", "n_rows"]].to_numpy(float), bins, WEIGHTS)
         pdf["base"] = pdf.groupby("bin")["n_rows"].cumsum() - pdf["n_rows"]
         return pdf[["block", "digest", "piece", "bin", "base", "bytes", "tokens", "n_rows"]]
 
@@ -113,7 +118,7 @@ def assign(docs: DataFrame, n_shards: int) -> DataFrame:
     loads.columns = ["block", "bin", "bytes", "tokens", "n_rows"]
     loads = loads.sort_values(["block", "bin"], ignore_index=True)
     if n_blocks > 1:
-        loads["shard"] = pack(loads[["bytes", "tokens", "n_rows"]].to_numpy(float), n_shards)
+        loads["shard"] = pack(loads[["bytes", "tokens", "n_rows"]].to_numpy(float), n_shards, WEIGHTS)
     else:
         loads["shard"] = loads["bin"].astype("int32")
     loads["first"] = loads.groupby("shard")["n_rows"].cumsum() - loads["n_rows"]
