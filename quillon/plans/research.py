@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -94,8 +95,8 @@ def fold_scores(table: DataFrame, events: DataFrame, cfg: BacktestConfig, n_spli
     name = F.concat_ws("/", "symbol", F.lpad(F.col("combo_id").cast("string"), 2, "0"))
     own = tests.join(events, ["symbol", "ts"]).select(name.alias("symbol"), "ts")
     counts = own.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_events"))
-    combos = tests.select("symbol", "combo_id").distinct()
-    wide = table.select("symbol", "ts", "close", "atr_pct", "primary_side", "primary_mode").join(F.broadcast(combos), "symbol").withColumn("symbol", name)
+    combos = F.explode(F.array(*(F.lit(i) for i in range(math.comb(n_splits, n_test))))).alias("combo_id")
+    wide = table.select("symbol", "ts", "close", "atr_pct", "primary_side", "primary_mode", combos).withColumn("symbol", name)
     out = backtest.run_backtest(
         wide.select("symbol", "ts", "close"),
         own,
