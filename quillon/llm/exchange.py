@@ -2,7 +2,7 @@
 
 Documents are packed into batches of about BATCH_BYTES (compressed Arrow streams), written to the
 shared folder. Each batch sends its distinct 64-bit keys, with the number of its documents that have
-them, to buckets by key range: a key of a third of all documents is one entry a batch. A bucket adds
+them, to buckets by a hash of the key: a key of a third of all documents is one entry a batch. A bucket adds
 up the counts and answers each batch with the counts of those of its keys that occur at least twice.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, shuffle_parts
+from quillon.llm.wordhash import mix
 
 #: Uncompressed size of a packed batch; a larger document makes a batch of its own.
 BATCH_BYTES = 512 << 10
@@ -99,8 +100,8 @@ _BACK_SQL = "batch string, keys binary, counts binary"
 
 
 def by_bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of each key: equal ranges of the key space."""
-    return ((keys >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
+    """Bucket of each key. Keys are mixed again, as those of prefixes and seeds are the smallest hashes."""
+    return ((mix(keys) >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int32)
 
 
 def repeated(packed: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -115,8 +116,10 @@ def repeated(packed: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray])
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each_row(batches):
             keys, counts = np.unique(keys_of(undump(r["body"])), return_counts=True)
-            edges = np.searchsorted(by_bucket(keys, n), np.arange(n + 1))
-            counts = counts.astype(np.int32)
+            bucket = by_bucket(keys, n)
+            order = np.argsort(bucket, kind="stable")
+            keys, counts = keys[order], counts[order].astype(np.int32)
+            edges = np.searchsorted(bucket[order], np.arange(n + 1))
             parts = enumerate(zip(edges, edges[1:], strict=False))
             yield rows_of(_SENT, [(b, r["batch"], keys[i:j].tobytes(), counts[i:j].tobytes()) for b, (i, j) in parts if i < j])
 
