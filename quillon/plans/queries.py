@@ -402,10 +402,10 @@ def q42_cusum_events(spark: SparkSession, d: str) -> DataFrame:
     return labels.cusum_events(vwap(spark, d))
 
 
-def _label_events(bars: DataFrame) -> DataFrame:
-    """Every fifth bar, with 20-bar deviation over mean as target."""
+def _label_events(bars: DataFrame, each: int = 1) -> DataFrame:
+    """Every bar, or every ``each``-th, with 20-bar deviation over mean as target."""
     df = bars.withColumns({"n": F.row_number().over(W.by_time()), "m": W.rolling(F.avg, F.col("close"), 20), "s": W.rolling(F.stddev_samp, F.col("close"), 20)})
-    return df.filter("n % 5 = 0 AND s IS NOT NULL").select("symbol", "ts", (F.col("s") / F.col("m")).alias("target_vol"))
+    return df.filter((F.col("n") % each == 0) & F.col("s").isNotNull()).select("symbol", "ts", (F.col("s") / F.col("m")).alias("target_vol"))
 
 
 _LABELS = f"""nb AS MATERIALIZED (SELECT symbol, ts, close, row_number() OVER {LAG} AS n, {roll('avg', 'close', 20)} AS m, {roll('stddev_samp', 'close', 20)} AS s FROM bars),
@@ -417,16 +417,16 @@ lb AS MATERIALIZED (SELECT h.symbol, h.ts, p.at AS t1, p.r AS ret, bin, h.pt, h.
 
 
 @query(f"{VWAP}, {_LABELS} SELECT symbol, ts, t1, {r(6, 'ret', 'pt', 'sl')}, bin FROM lb")
-def q43_triple_barrier(spark: SparkSession, d: str) -> DataFrame:
+def q43_triple_barrier(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     bars = vwap(spark, d)
-    df = labels.triple_barrier(bars, _label_events(bars))
+    df = labels.triple_barrier(bars, _label_events(bars, 1 if whole else 5))
     return df.select("symbol", "ts", "t1", *(F.round(c, 6).alias(c) for c in ("ret", "pt", "sl")), "bin")
 
 
 @query(f"{VWAP}, {_LABELS} SELECT symbol, CAST(bin = 1 AS INT) AS y, count(*) AS n FROM lb GROUP BY ALL")
-def q44_meta_target(spark: SparkSession, d: str) -> DataFrame:
+def q44_meta_target(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     bars = vwap(spark, d)
-    df = labels.meta_target(labels.triple_barrier(bars, _label_events(bars)))
+    df = labels.meta_target(labels.triple_barrier(bars, _label_events(bars, 1 if whole else 5)))
     return df.groupBy("symbol", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -476,24 +476,26 @@ def q47_primary_signal_cooldown(spark: SparkSession, d: str) -> DataFrame:
 _META = ["trend_align", "rsi", "bb_z", "bb_pct_b", "atr_pct", "macd_hist_z"]
 
 
-def _meta_rows(spark: SparkSession, d: str) -> tuple[DataFrame, meta.MetaModel]:
+def _meta_rows(spark: SparkSession, d: str) -> DataFrame:
     bars = vwap(spark, d)
     y = labels.meta_target(labels.triple_barrier(bars, _label_events(bars))).select("symbol", "ts", "y")
-    inputs = _signal_inputs(spark, d)
-    model = meta.fit(inputs.join(y, ["symbol", "ts"]), _META, MetaParams(n_estimators=5, max_depth=3))
-    return inputs.join(y, ["symbol", "ts"]), model
+    return _signal_inputs(spark, d).join(y, ["symbol", "ts"])
+
+
+def _meta_fit(rows: DataFrame) -> meta.MetaModel:
+    return meta.fit(rows, _META, MetaParams(n_estimators=5, max_depth=3))
 
 
 @query()
 def q48_meta_fit_predict(spark: SparkSession, d: str) -> DataFrame:
-    rows, model = _meta_rows(spark, d)
-    return model.probabilities(rows).select("symbol", "ts", "y", "prob")
+    rows = _meta_rows(spark, d)
+    return _meta_fit(rows).probabilities(rows).select("symbol", "ts", "y", "prob")
 
 
 @query()
 def q49_meta_filter_signals(spark: SparkSession, d: str) -> DataFrame:
-    rows, model = _meta_rows(spark, d)
-    return model.filter_signals(rows.withColumn("side", F.when(F.col("trend_align") > 0, 1).otherwise(-1))).select("symbol", "ts", "side", "prob", "take")
+    rows = _meta_rows(spark, d)
+    return _meta_fit(rows).filter_signals(rows.withColumn("side", F.when(F.col("trend_align") > 0, 1).otherwise(-1))).select("symbol", "ts", "side", "prob", "take")
 
 
 @query(f"""{VWAP}, k AS (SELECT symbol, ts, close AS price, 0.3 + 0.4 * (volume % 10) / 9.0 AS p, 0.5 + (volume % 7) / 3.0 AS b, (high - low) / close AS vol FROM bars),
@@ -516,12 +518,16 @@ def q57_kelly_vol_target_size(spark: SparkSession, d: str) -> DataFrame:
 _CFG = BacktestConfig(bars_per_year=252)
 
 
-def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Numbered bars and, on every third of them, a side by the 20-bar mean, a mode and a scaled range as ATR."""
+def _candidates(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Numbered bars and, on every third of them, a side by the 20-bar mean, a mode (0 or 1) and a scaled
+    range as ATR; with ``whole`` on each bar that has a side, with all three modes."""
     bars = _sides(vwap(spark, d)).withColumn("n", W.row_no()).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     atr = F.greatest((F.col("high") - F.col("low")) / F.col("close") / 40, F.lit(1e-4))
-    rows = bars.filter("n % 3 = 0 AND primary_side <> 0 AND n < rows - 2")
-    return bars, rows.select("symbol", F.col("n").alias("e"), F.col("primary_side").alias("side"), (F.col("n") % 3 + F.col("n") % 2).cast("int").alias("mode"), atr.alias("atr_frac"))
+    rows = bars.filter("primary_side <> 0 AND n < rows - 2")
+    mode = F.col("n") % 3
+    if not whole:
+        rows, mode = rows.filter("n % 3 = 0"), mode + F.col("n") % 2
+    return bars, rows.select("symbol", F.col("n").alias("e"), F.col("primary_side").alias("side"), mode.cast("int").alias("mode"), atr.alias("atr_frac"))
 
 
 _RT = _CFG.round_trip
@@ -534,8 +540,8 @@ pn AS MATERIALIZED (SELECT *, pt1 * CASE WHEN pt1 < 0.003 THEN 0.003 / greatest(
 
 
 @query(f"{VWAP}, {_CAND} SELECT symbol, e, mode, hold, round(pt, 8) AS pt_frac, round(sl, 8) AS sl_frac FROM pn")
-def q54_cost_adjusted_rr_gate(spark: SparkSession, d: str) -> DataFrame:
-    df = backtest.barrier_plan(_candidates(spark, d)[1].withColumn("e", F.col("e").cast("bigint")), _CFG)
+def q54_cost_adjusted_rr_gate(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    df = backtest.barrier_plan(_candidates(spark, d, whole)[1].withColumn("e", F.col("e").cast("bigint")), _CFG)
     return df.select("symbol", "e", "mode", "hold", F.round("pt_frac", 8).alias("pt_frac"), F.round("sl_frac", 8).alias("sl_frac"))
 
 
@@ -547,14 +553,14 @@ rs AS MATERIALIZED (SELECT h.symbol, h.e, h.side, h.mode, h.atr, h.pt, h.sl, x A
   FROM ph h JOIN px ON px.symbol = h.symbol AND px.e = h.e AND px.x = h.n)"""
 
 
-def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    bars, rows = _candidates(spark, d)
+def _resolved(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    bars, rows = _candidates(spark, d, whole)
     return bars, backtest.resolve_barriers(backtest.barrier_plan(rows, _CFG), bars.select("symbol", "n", "close"), _CFG)
 
 
 @query(f"{VWAP}, {_CAND}, {_RESOLVE} SELECT symbol, e, exit_n, barrier, round(gross, 8) AS gross_ret FROM rs")
-def q55_barrier_resolution_trailing(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d)[1].select("symbol", F.col("e").cast("bigint").alias("e"), F.col("exit_n").cast("bigint").alias("exit_n"), "barrier", F.round("gross_ret", 8).alias("gross_ret"))
+def q55_barrier_resolution_trailing(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _resolved(spark, d, whole)[1].select("symbol", F.col("e").cast("bigint").alias("e"), F.col("exit_n").cast("bigint").alias("exit_n"), "barrier", F.round("gross_ret", 8).alias("gross_ret"))
 
 
 _SINGLE = f"""{numbered('tq', 'e, exit_n', '(SELECT *, e AS ts FROM rs)')},
@@ -564,15 +570,15 @@ td1 AS (SELECT t.*, a.ts AS t0, b.ts AS t9, gross - {_RT!r} - date_diff('hour',
 td AS MATERIALIZED (SELECT *, 10000 * exp(sum(ln(1 + size * net)) OVER (PARTITION BY symbol ORDER BY e)) AS eq FROM td1)"""
 
 
-def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    bars, rows = _resolved(spark, d)
+def _ledger(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    bars, rows = _resolved(spark, d, whole)
     numbered_bars = bars.select("symbol", "n", "ts", "close")
     return numbered_bars, backtest.trade_ledger(backtest.one_position(rows), numbered_bars, _CFG)
 
 
 @query(f"{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE} SELECT symbol, t0 AS entry_time, t9 AS exit_time, side, mode, barrier, round(net, 7) AS net_ret, round(size, 6) AS size_frac, round(eq, 2) AS equity_after FROM td")
-def q58_single_position_trades(spark: SparkSession, d: str) -> DataFrame:
-    df = _ledger(spark, d)[1]
+def q58_single_position_trades(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    df = _ledger(spark, d, whole)[1]
     return df.select("symbol", "entry_time", "exit_time", "side", "mode", "barrier", F.round("net_ret", 7).alias("net_ret"), F.round("size_frac", 6).alias("size_frac"), F.round("equity_after", 2).alias("equity_after"))
 
 
@@ -582,8 +588,8 @@ ec AS MATERIALIZED (SELECT symbol, ts, equity, coalesce(equity / {lag('equity')}
 
 
 @query(f"{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE}, {_CURVE} SELECT symbol, ts, round(equity, 2) AS equity, round(ret, 7) AS ret FROM ec")
-def q59_equity_curve(spark: SparkSession, d: str) -> DataFrame:
-    bars, ledger = _ledger(spark, d)
+def q59_equity_curve(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    bars, ledger = _ledger(spark, d, whole)
     df = backtest.equity_curve(ledger, bars, _CFG)
     return df.select("symbol", "ts", F.round("equity", 2).alias("equity"), F.round("ret", 7).alias("ret"))
 
@@ -594,8 +600,8 @@ b AS (SELECT symbol, count(*) AS n_trades, avg(CAST(net > 0 AS INT)) AS win, sum
 c AS (SELECT *, power(fin, 252.0 / n) - 1 AS cagr FROM a JOIN b USING (symbol))
 SELECT symbol, n_trades, round(m / s * sqrt(252.0), 5) AS sharpe, round(m / dn * sqrt(252.0), 5) AS sortino, round(dd, 6) AS max_drawdown, round(cagr, 6) AS cagr, round(cagr / abs(nullif(dd, 0)), 5) AS calmar,
   round(win, 6) AS win_rate, round(coalesce(gain, 0) / nullif(loss, 0), 5) AS profit_factor, round(mn, 7) AS avg_trade_ret FROM c""")
-def q50_performance_stats(spark: SparkSession, d: str) -> DataFrame:
-    bars, ledger = _ledger(spark, d)
+def q50_performance_stats(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    bars, ledger = _ledger(spark, d, whole)
     df = backtest.performance(backtest.equity_curve(ledger, bars, _CFG), ledger, _CFG)
     places = {"sharpe": 5, "sortino": 5, "max_drawdown": 6, "cagr": 6, "calmar": 5, "win_rate": 6, "profit_factor": 5, "avg_trade_ret": 7}
     return df.select("symbol", "n_trades", *(F.round(c, n).alias(c) for c, n in places.items()))
@@ -603,10 +609,10 @@ def q50_performance_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE} SELECT symbol, mode, count(*) AS n, round(avg(CAST(net > 0 AS INT)), 6) AS win, round(avg(net), 7) AS mean_ret,
   round(coalesce(sum(net) FILTER (net > 0), 0) / nullif(-sum(net) FILTER (net < 0), 0), 5) AS profit_factor FROM td GROUP BY ALL""")
-def q53_profit_factor_by_mode(spark: SparkSession, d: str) -> DataFrame:
+def q53_profit_factor_by_mode(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     net = F.col("net_ret")
     losses = -F.sum(F.when(net < 0, net))
-    return _ledger(spark, d)[1].groupBy("symbol", "mode").agg(
+    return _ledger(spark, d, whole)[1].groupBy("symbol", "mode").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg((net > 0).cast("double")), 6).alias("win"),
         F.round(F.avg(net), 7).alias("mean_ret"),
@@ -710,9 +716,10 @@ def q66_vertical_barrier(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"{BARS}, a AS (SELECT symbol, close, row_number() OVER {LAG} - 1 AS n FROM bars) SELECT x.symbol, x.n AS e, count(*) AS len, round(max(y.close), 4) AS top FROM a x JOIN a y ON y.symbol = x.symbol AND y.n BETWEEN x.n AND x.n + 24 WHERE x.n % 7 = 0 GROUP BY ALL")
-def q67_band_join_paths(spark: SparkSession, d: str) -> DataFrame:
+def q67_band_join_paths(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     bars = daily(spark, d).select("symbol", "close", W.row_no().alias("n"))
-    paths = labels.band_join(bars.filter("n % 7 = 0").select("symbol", F.col("n").alias("e")), bars, 24)
+    starts = bars if whole else bars.filter("n % 7 = 0")
+    paths = labels.band_join(starts.select("symbol", F.col("n").alias("e")), bars, 24)
     return paths.groupBy("symbol", F.col("e").cast("bigint").alias("e")).agg(F.count(F.lit(1)).alias("len"), F.round(F.max("close"), 4).alias("top"))
 
 
@@ -752,8 +759,8 @@ def q72_psr_dsr(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q73_mc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    # trades are few: one position at a time, hundreds at most for each symbol
-    net = _ledger(spark, d)[1].orderBy("symbol", "e").select("net_ret").toPandas()["net_ret"]
+    # trades are few: one position at a time, never more than a symbol has bars
+    net = _ledger(spark, d, whole=True)[1].orderBy("symbol", "e").select("net_ret").toPandas()["net_ret"]
     return validation.bootstrap(spark, net.to_numpy(), 500)
 
 
@@ -795,6 +802,27 @@ def q76_drift_ks_z(spark: SparkSession, d: str) -> DataFrame:
     return df.select("symbol", "rows", F.round("ks", 6).alias("ks"), F.round("z", 6).alias("z"))
 
 
+# --- whole jobs ----------------------------------------------------------------------------------
+
+
+def _whole(name: str, sampled: str, every: str) -> None:
+    """Registers ``name``_all: the query over every bar, and its SQL with ``every`` in place of ``sampled``."""
+    f = QUERIES[name]
+    QUERIES[f"{name}_all"] = lambda spark, d: f(spark, d, whole=True)
+    if sampled not in ORACLES[name]:
+        raise ValueError(f"the SQL of {name} has another sample")
+    ORACLES[f"{name}_all"] = ORACLES[name].replace(sampled, every)
+
+
+_ALL_LABELS = _LABELS.replace("n % 5 = 0 AND ", "")
+_ALL_CAND = _CAND.replace("n % 3 + n % 2", "n % 3").replace("n % 3 = 0 AND ", "")
+for _name in ("q43_triple_barrier", "q44_meta_target"):
+    _whole(_name, _LABELS, _ALL_LABELS)
+for _name in ("q50_performance_stats", "q53_profit_factor_by_mode", "q54_cost_adjusted_rr_gate", "q55_barrier_resolution_trailing", "q58_single_position_trades", "q59_equity_curve"):
+    _whole(_name, _CAND, _ALL_CAND)
+_whole("q67_band_join_paths", " WHERE x.n % 7 = 0", "")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Daily bars, 20-bar volatility targets, triple-barrier labels: counts and mean returns by label."""
     df = labels.triple_barrier(vwap(spark, d), _label_events(vwap(spark, d)))
