@@ -112,10 +112,8 @@ def q05_api_page_normaliser(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q06_synthetic_bars(spark: SparkSession, d: str) -> DataFrame:
-    one, *rest = (B.synthetic(spark, name, 500) for name in B.PROFILES)
-    for more in rest:
-        one = one.unionByName(more)
-    return one
+    """The robustness report's 60 series: 585,000 bars."""
+    return B.synthetic_cells(spark)
 
 
 @query(f"""{BARS}, a AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY symbol),
@@ -251,17 +249,25 @@ def q24_hawkes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.add_hawkes(bars, 0.1, events=W.flag(F.col("close") > 1.5 * F.col("c1"))), 6, "hawkes_intensity")
 
 
-_WEIGHTS = features.R.ffd_weights(0.8, 1e-3)
+def _frac_diff_sql(weights: np.ndarray) -> str:
+    n = len(weights)
+    return f"{BARS}, a AS (SELECT symbol, ts, list(close) OVER {frame(f'{n - 1} PRECEDING')} AS v FROM bars) SELECT symbol, ts, CASE WHEN len(v) = {n} THEN round(list_dot_product(v, {[float(w) for w in weights]}::DOUBLE[]), 4) END AS ffd FROM a"
 
 
-@query(f"{BARS}, a AS (SELECT symbol, ts, list(close) OVER {frame(f'{len(_WEIGHTS) - 1} PRECEDING')} AS v FROM bars) SELECT symbol, ts, CASE WHEN len(v) = {len(_WEIGHTS)} THEN round(list_dot_product(v, {[float(w) for w in _WEIGHTS]}::DOUBLE[]), 4) END AS ffd FROM a")
+@query(_frac_diff_sql(features.R.ffd_weights(0.8, 1e-3)))
 def q25_frac_diff(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.add_frac_diff(daily(spark, d), 0.8, 1e-3), 4, "ffd")
 
 
+@query(_frac_diff_sql(features.R.ffd_weights(0.4)))
+def q25_frac_diff_all(spark: SparkSession, d: str) -> DataFrame:
+    """The operator's own order and threshold: 1,458 weights."""
+    return rounded(features.add_frac_diff(daily(spark, d)), 4, "ffd")
+
+
 @query()
 def q26_min_stationary_d(spark: SparkSession, d: str) -> DataFrame:
-    return features.min_stationary_d(daily(spark, d), grid=(0.0, 0.2, 0.4, 0.6, 0.8, 1.0))
+    return features.min_stationary_d(daily(spark, d))
 
 
 @query()
@@ -476,6 +482,10 @@ def q47_primary_signal_cooldown(spark: SparkSession, d: str) -> DataFrame:
 _META = ["trend_align", "rsi", "bb_z", "bb_pct_b", "atr_pct", "macd_hist_z"]
 
 
+#: Trees of the reference's meta model; depth and the rest are MetaParams' defaults.
+TREES = 400
+
+
 def _meta_rows(spark: SparkSession, d: str) -> DataFrame:
     bars = vwap(spark, d)
     y = labels.meta_target(labels.triple_barrier(bars, _label_events(bars))).select("symbol", "ts", "y")
@@ -483,7 +493,7 @@ def _meta_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _meta_fit(rows: DataFrame) -> meta.MetaModel:
-    return meta.fit(rows, _META, MetaParams(n_estimators=5, max_depth=3))
+    return meta.fit(rows, _META, MetaParams(n_estimators=TREES))
 
 
 @query()
@@ -761,13 +771,13 @@ def q72_psr_dsr(spark: SparkSession, d: str) -> DataFrame:
 def q73_mc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     # trades are few: one position at a time, never more than a symbol has bars
     net = _ledger(spark, d, whole=True)[1].orderBy("symbol", "e").select("net_ret").toPandas()["net_ret"]
-    return validation.bootstrap(spark, net.to_numpy(), 500)
+    return validation.bootstrap(spark, net.to_numpy())
 
 
 @query()
 def q74_parameter_search(spark: SparkSession, d: str) -> DataFrame:
     bars = B.with_vwap_close(B.time_bars(B.lineitem_ticks(spark, d, "ALL"), "1 day"))
-    return research.search(spark, bars, 2, min_rows=20, min_events=5, min_fold_events=1, min_trades=1)
+    return research.search(spark, bars, 200)
 
 
 @query(f"{_CELLS}, t AS (SELECT o_orderkey AS trial, round(o_totalprice, 2) AS value FROM orders) SELECT trial, value FROM t ORDER BY value DESC, trial LIMIT 20")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -127,14 +128,18 @@ def objective(bars: DataFrame, point: dict[str, float], min_rows: int = 500, min
     return {"value": got["mean"] - 0.5 * (got["sd"] + 1e-9), "mean_sharpe": got["mean"], "std_sharpe": got["sd"], "n_folds": got["n"]}
 
 
+#: Trials under way at once; their jobs are small and wait for the driver most of the time.
+AT_ONCE = 6
 TRIALS = "trial int, value double, mean_sharpe double, std_sharpe double, n_folds bigint, params string"
 
 
 def search(spark: SparkSession, bars: DataFrame, n_trials: int, seed: int = 42, **limits: int) -> DataFrame:
-    """The trials (see TRIALS) of a seeded random search; each trial is a few distributed jobs."""
-    rows = []
-    for i, point in enumerate(draw(n_trials, seed)):
-        got = objective(bars, point, **limits)
+    """The trials (see TRIALS) of a seeded random search; each trial is a few distributed jobs, and a few
+    trials are under way at once."""
+    points, rows = draw(n_trials, seed), []
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        found = list(pool.map(lambda point: objective(bars, point, **limits), points))
+    for i, (point, got) in enumerate(zip(points, found, strict=True)):
         rows.append((i, float(got["value"]), got.get("mean_sharpe"), got.get("std_sharpe"), int(got["n_folds"]), json.dumps(point, sort_keys=True)))
     return spark.createDataFrame(rows, TRIALS)
 

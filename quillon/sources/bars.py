@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -160,14 +161,37 @@ PROFILES = {
 
 def synthetic(spark: SparkSession, profile: str, n_bars: int, minutes: int = 5, seed: int = 11) -> DataFrame:
     """A seeded regime-switching series as bars; its symbol is the profile's name."""
+    pdf = _synthetic(profile, n_bars, minutes, seed)
+    pdf.insert(0, "symbol", profile)
+    return spark.createDataFrame(pdf[BAR_COLUMNS], BARS)
+
+
+#: The robustness report's cells: bars by timeframe in minutes, each profile with each seed.
+CELL_BARS = {5: 18_000, 15: 12_000, 60: 6_000, 240: 3_000}
+CELL_SEEDS = (11, 23, 47)
+
+
+def synthetic_cells(spark: SparkSession) -> DataFrame:
+    """The series of all cells as bars, made by the workers; symbols are profile/minutes/seed."""
+    cells = [(p, m, s) for p in PROFILES for m in CELL_BARS for s in CELL_SEEDS]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for i in (i for batch in batches for i in batch["id"]):
+            profile, minutes, seed = cells[i]
+            pdf = _synthetic(profile, CELL_BARS[minutes], minutes, seed)
+            pdf.insert(0, "symbol", f"{profile}/{minutes}/{seed}")
+            yield pdf[BAR_COLUMNS]
+
+    return spark.range(len(cells)).mapInPandas(run, BARS)
+
+
+def _synthetic(profile: str, n_bars: int, minutes: int, seed: int) -> pd.DataFrame:
     daily, segments = PROFILES[profile]
     sd = daily / np.sqrt(24 * 60 / minutes)
     rng = np.random.default_rng(seed)
     edges = np.round(np.cumsum([0, *(s[0] for s in segments)]) / sum(s[0] for s in segments) * n_bars).astype(int)
     parts = [rng.normal(m * sd, v * sd, b - a) for (_, m, v), a, b in zip(segments, edges, edges[1:], strict=False)]
-    pdf = bars_from_returns(np.concatenate(parts), minutes, seed)
-    pdf.insert(0, "symbol", profile)
-    return spark.createDataFrame(pdf[BAR_COLUMNS], BARS)
+    return bars_from_returns(np.concatenate(parts), minutes, seed)
 
 
 def returns_of(bars: DataFrame) -> Column:

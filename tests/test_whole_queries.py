@@ -104,3 +104,45 @@ def test_whole_queries_match_their_oracles(run, name):
     keys = [c for c in SMALL if c in order]
     a, b = (x[order].sort_values(keys, ignore_index=True) for x in (got, want))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-6, atol=1e-6)
+
+
+def test_queries_call_their_operators_with_production_defaults(spark, monkeypatch):
+    calls = {}
+    note = lambda name: lambda *args, **kw: calls.setdefault(name, (args, kw))
+    monkeypatch.setattr(plans.validation, "bootstrap", note("bootstrap"))
+    monkeypatch.setattr(plans.research, "search", note("search"))
+    monkeypatch.setattr(plans.features, "min_stationary_d", note("grid"))
+    monkeypatch.setattr(plans.meta, "fit", note("fit"))
+    plans.q73_mc_bootstrap(spark, DATA)
+    plans.q74_parameter_search(spark, DATA)
+    plans.q26_min_stationary_d(spark, DATA)
+    plans._meta_fit(None)
+    assert len(calls["bootstrap"][0]) == 2 and not calls["bootstrap"][1]  # 2000 simulations
+    assert calls["search"][0][2:] == (200,) and not calls["search"][1]  # the operator's gates
+    assert len(calls["grid"][0]) == 1 and not calls["grid"][1]  # eleven values of d
+    p = calls["fit"][0][2]
+    assert (p.n_estimators, p.max_depth) == (400, plans.MetaParams().max_depth)
+
+
+def test_synthetic_bars_have_every_cell(spark):
+    got = plans.q06_synthetic_bars(spark, DATA).groupBy("symbol").count().toPandas().set_index("symbol")["count"]
+    assert len(got) == 60 and got.sum() == 585_000 and got["major/5/11"] == 18_000 and got["trending/240/47"] == 3_000
+
+
+def test_frac_diff_at_the_own_threshold_has_values(spark):
+    # the smallest tables have fewer bars than there are weights
+    larger = DATA.replace("sf0.001", "sf0.01")
+    got = entry.queries()["q25_frac_diff_all"](spark, larger).toPandas().sort_values(["symbol", "ts"])
+    bars = plans.daily(spark, larger).toPandas().sort_values(["symbol", "ts"])
+    w = plans.features.R.ffd_weights(0.4, 1e-5)
+    for s, g in bars.groupby("symbol"):
+        ffd = got.loc[got["symbol"] == s, "ffd"].to_numpy(float)
+        want = [g["close"].to_numpy()[i - len(w) + 1 : i + 1] @ w for i in range(len(w) - 1, len(g))]
+        assert np.isnan(ffd[: len(w) - 1]).all() and len(want) > 0
+        np.testing.assert_allclose(ffd[len(w) - 1 :], want, atol=1e-4)
+
+
+def test_search_keeps_the_order_of_trials(spark, monkeypatch):
+    monkeypatch.setattr(plans.research, "objective", lambda bars, point: {"value": point["frac_d"], "n_folds": 0})
+    got = plans.research.search(spark, None, 20).orderBy("trial").collect()
+    assert [r["value"] for r in got] == [p["frac_d"] for p in plans.research.draw(20)]
