@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import ascii_lower, materialize, shared_dir, workspace
@@ -41,21 +41,27 @@ class DigestIndex:
             return self.spark.table(self.name)
         return self.spark.createDataFrame([], INDEX_SCHEMA)
 
-    def append(self, groups: DataFrame) -> None:
-        """Add rows whose digests are not in the index yet."""
+    def _writer(self, groups: DataFrame) -> DataFrameWriter:
         # one writer task for each bucket, so a bucket gains one sorted file a batch
-        writer = (
+        return (
             groups.select("digest", "keep_id", "group_size")
             .repartition(self.buckets, "digest")
             .write.format("parquet")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
         )
-        if self.exists():
-            writer.mode("append").saveAsTable(self.name)
-        else:
-            path = f"{shared_dir(self.spark)}/{self.name}"
-            writer.option("path", path).mode("errorifexists").saveAsTable(self.name)
+
+    def create(self) -> None:
+        """Make the empty table."""
+        path = f"{shared_dir(self.spark)}/{self.name}"
+        none = self.spark.createDataFrame([], INDEX_SCHEMA)
+        self._writer(none).option("path", path).mode("errorifexists").saveAsTable(self.name)
+
+    def append(self, groups: DataFrame) -> None:
+        """Add rows whose digests are not in the index yet."""
+        if not self.exists():
+            self.create()
+        self._writer(groups).mode("append").saveAsTable(self.name)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -90,21 +96,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFra
     rows = materialize(digests(docs), workspace(spark, "digests"))
     groups = materialize(group_digests(rows), workspace(spark, "groups"))
     if not index.exists():
-        index.append(groups)
-        return rows, groups.withColumn("known", F.lit(False))
-    old = index.read().select("digest", F.col("keep_id").alias("old_keep"), F.lit(True).alias("known"))
-    seen = groups.hint("merge").join(old, "digest", "left")
-    seen = seen.select(
-        "digest",
-        F.when(F.col("known"), F.col("old_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
-        "group_size",
-        "salts",
-        F.coalesce("known", F.lit(False)).alias("known"),
-    )
-    seen = materialize(seen, workspace(spark, "seen"))
+        index.create()
     fresh = groups.hint("merge").join(index.read().select("digest"), "digest", "left_anti")
-    index.append(materialize(fresh, workspace(spark, "fresh")))
-    return rows, seen
+    fresh = materialize(fresh, workspace(spark, "fresh"))
+    index.append(fresh)
+    held = index.read().select("digest", F.col("keep_id").alias("held"))
+    new = fresh.select("digest", F.lit(False).alias("known"))
+    seen = groups.hint("merge").join(held, "digest").hint("merge").join(new, "digest", "left").select(
+        "digest", F.col("held").alias("keep_id"), "group_size", "salts", F.coalesce("known", F.lit(True)).alias("known")
+    )
+    return rows, materialize(seen, workspace(spark, "seen"))
 
 
 def decide(rows: DataFrame, groups: DataFrame) -> DataFrame:
