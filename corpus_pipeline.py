@@ -7,6 +7,7 @@ again as the next stage's docs. All stages but the last return the columns of do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.llm import exact_dedup, mixing, ngram_join, pieces, quality
 from quillon.llm.common import materialize, table, workspace
@@ -33,7 +34,14 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs)
+    """Token ids, the digest of the text that they decode to, and whether that is the text."""
+    coded = pieces.encode(docs, decode=True)
+    return coded.withColumns(
+        {
+            "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256),
+            "round_trip": F.col("decoded") == F.coalesce("text", F.lit("")),
+        }
+    ).drop("decoded")
 
 
 STAGES = [
@@ -41,7 +49,7 @@ STAGES = [
     ("exact dedup", exact_copies),
     ("n-gram Jaccard join", near_copies),
     ("source mixing", source_mixing),
-    ("SentencePiece encoding", sentencepiece),
+    ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
 #: SQL can't express the classifier; tests compare run() with a brute-force version.
