@@ -34,9 +34,9 @@ class Mapping:
     name: str
     paths: tuple[str, ...]
     turns: str | None
-    #: The layout of a JSON record as schema_of_variant prints it, without types.
-    json_shape: str | None = None
     json_type: str | None = None
+    #: Paths that a JSON record may lack.
+    optional: tuple[str, ...] = ()
 
 
 def _messages(field: str, role: str, text: str) -> str:
@@ -54,28 +54,25 @@ MAPPINGS = (
         "messages",
         ("messages[].content", "messages[].role"),
         _messages("messages", "role", "content"),
-        "OBJECT<messages: ARRAY<OBJECT<content, role>>>",
         "struct<messages: array<struct<role: string, content: string>>>",
     ),
     Mapping(
         "from and value",
         ("conversations[].from", "conversations[].value"),
         _messages("conversations", "`from`", "value"),
-        "OBJECT<conversations: ARRAY<OBJECT<from, value>>>",
         "struct<conversations: array<struct<`from`: string, value: string>>>",
     ),
     Mapping(
         "instruction",
         ("input", "instruction", "output"),
         _pairs(("user", "concat_ws('\\n\\n', {r}instruction, nullif({r}input, ''))"), ("assistant", "{r}output")),
-        "OBJECT<input, instruction, output>",
         "struct<instruction: string, input: string, output: string>",
+        ("input",),
     ),
     Mapping(
         "prompt and response",
         ("prompt", "response"),
         _pairs(("user", "{r}prompt"), ("assistant", "{r}response")),
-        "OBJECT<prompt, response>",
         "struct<prompt: string, response: string>",
     ),
 )
@@ -125,24 +122,57 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     return _exploded(df, F.expr(found.turns.format(r="")))
 
 
+def _holds(path: str, texts: bool) -> Column:
+    """Does the record __v have the field; with ``texts``, is it also plain (text, number, truth value or null)
+    wherever it occurs? For x[].y: is x a list of objects that each hold y?"""
+    outer, _, inner = path.rpartition("[].")
+    plain = "coalesce(schema_of_variant({x}) NOT RLIKE '^(OBJECT|ARRAY)', false)"
+    if not outer:
+        x = f"try_variant_get(__v, '$.{path}', 'variant')"
+        return F.expr(plain.format(x=x) if texts else f"{x} IS NOT NULL")
+    each = f"try_variant_get(__v, '$.{outer}', 'array<variant>')"
+    y = f"try_variant_get(x, '$.{inner}', 'variant')"
+    return F.expr(f"coalesce(forall({each}, x -> {plain.format(x=y)}), false)" if texts else f"try_variant_get(__v, '$.{outer}', 'variant') IS NOT NULL")
+
+
+def _matched(df: DataFrame, record: str) -> DataFrame:
+    """``df`` with __layout, the number of the one mapping whose fields the record has; NULL for none or several."""
+    df = df.withColumn("__v", F.try_parse_json(record))
+    fits = []
+    for m in _JSON:
+        fit, needed = F.lit(True), [p for p in m.paths if p not in m.optional]
+        for p in needed:
+            fit &= _holds(p, True)
+        for p in m.optional:
+            fit &= ~F.coalesce(_holds(p, False), F.lit(False)) | _holds(p, True)
+        fits.append(F.coalesce(fit, F.lit(False)))
+    found = F.filter(F.array(*(F.when(fit, F.lit(i)) for i, fit in enumerate(fits))), lambda i: i.isNotNull())
+    return df.withColumn("__found", found).withColumn("__layout", F.expr("IF(size(__found) = 1, __found[0], NULL)"))
+
+
+_JSON = [m for m in MAPPINGS if m.json_type]
+
+
 def canonical_json(df: DataFrame, record: str = "record") -> DataFrame:
     """The same for rows (conv_id, JSON record) whose layouts differ from row to row.
 
-    Each record's own fingerprint selects its mapping. Records that aren't JSON or fit no layout give
-    no turns.
+    Each record's known fields select its mapping; fields that no layout knows don't count, and those
+    that a mapping calls optional may be missing. Records that aren't JSON or fit no layout, or several,
+    give no turns; ``rejected_json`` returns them.
     """
-    plain = r": (STRING|VOID|BOOLEAN|BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
-    shaped = df.withColumn("__v", F.try_parse_json(record)).withColumn(
-        "__print", F.sha2(F.regexp_replace(F.schema_of_variant("__v"), plain, "").cast("binary"), 256)
-    )
-    turns, typed = F.lit(None), {}
-    for i, m in enumerate(m for m in MAPPINGS if m.json_shape):
-        mine = F.col("__print") == hashlib.sha256(m.json_shape.encode()).hexdigest()
+    shaped, turns, typed = _matched(df, record), F.lit(None), {}
+    for i, m in enumerate(_JSON):
+        mine = F.col("__layout") == i
         typed[f"__r{i}"] = F.from_json(F.when(mine, F.col(record)), m.json_type)
         turns = F.when(mine, F.expr(m.turns.format(r=f"__r{i}."))).otherwise(turns)
     return _exploded(shaped.withColumns(typed), turns)
 
 
+def rejected_json(df: DataFrame, record: str = "record") -> DataFrame:
+    """The rows of ``df`` that give ``canonical_json`` no layout."""
+    return _matched(df, record).filter("__layout IS NULL").select(*df.columns)
+
+
 # --- template ------------------------------------------------------------------------------------
 
 
