@@ -675,6 +675,14 @@ def q60_aligned_returns_join(spark: SparkSession, d: str) -> DataFrame:
     return one("A", "a").join(one("N", "n"), "ts")
 
 
+@query(f"{BARS}, {_RET} SELECT x.symbol, y.symbol AS other, x.ts, round(x.log_ret, 8) AS ret, round(y.log_ret, 8) AS other_ret FROM r x JOIN r y ON x.ts = y.ts AND x.symbol < y.symbol")
+def q60_aligned_returns_join_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of symbols."""
+    df = features.add_returns(daily(spark, d)).select("symbol", "ts", F.round("log_ret", 8).alias("ret"))
+    others = df.select(F.col("symbol").alias("other"), "ts", F.col("ret").alias("other_ret"))
+    return df.join(others, "ts").filter("symbol < other").select("symbol", "other", "ts", "ret", "other_ret")
+
+
 @query(f"""{BARS}, o AS (SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY ALL)
 SELECT symbol, ts, coalesce(price, 0.0) AS price FROM bars LEFT JOIN o USING (ts)""")
 def q61_reindex_left_join(spark: SparkSession, d: str) -> DataFrame:

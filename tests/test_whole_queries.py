@@ -12,7 +12,7 @@ from quillon.params import BacktestConfig
 from quillon.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
-SMALL = ("symbol", "ts", "entry_time", "e", "mode", "y")
+SMALL = ("symbol", "other", "ts", "entry_time", "e", "mode", "y")
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +146,10 @@ def test_search_keeps_the_order_of_trials(spark, monkeypatch):
     monkeypatch.setattr(plans.research, "objective", lambda bars, point: {"value": point["frac_d"], "n_folds": 0})
     got = plans.research.search(spark, None, 20).orderBy("trial").collect()
     assert [r["value"] for r in got] == [p["frac_d"] for p in plans.research.draw(20)]
+
+
+def test_every_pair_of_symbols_is_aligned(run, bars):
+    got = run("q60_aligned_returns_join_all")
+    pairs = [(a, b) for a in bars for b in bars if a < b]
+    assert len(pairs) == 3 and len(got) == sum(len(set(bars[a]["ts"]) & set(bars[b]["ts"])) for a, b in pairs)
+    assert set(zip(got["symbol"], got["other"], strict=True)) == set(pairs)
