@@ -8,12 +8,14 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
-_made: list[str] = []
+#: Folders and tables of this thread of work, for ``release``.
+_made: ContextVar[list[tuple[str, str | None]]] = ContextVar("made", default=[])  # noqa: B039
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,14 +40,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.get().append((path, None))
+    return path
+
+
+def drop_on_release(table: str, path: str) -> None:
+    """Let ``release`` drop an external table and its folder."""
+    _made.get().append((path, table))
 
 
 def release(spark: SparkSession) -> None:
-    """Remove all folders that ``workspace`` has named so far; results that read them must be done with."""
-    while _made:
-        discard(spark, _made.pop())
+    """Remove all folders and tables that this ``scratch`` block, or code outside of any, has made so
+    far; results that read them must be done with."""
+    made = _made.get()
+    while made:
+        path, table = made.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        discard(spark, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is made inside the block is removed at its end, and nothing else."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        release(spark)
+        _made.reset(token)
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -89,3 +113,16 @@ def ascii_lower(text: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name like ``stem`` that no column of ``df`` has, letters' case aside."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name

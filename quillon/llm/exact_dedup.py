@@ -1,50 +1,69 @@
 """Exact deduplication against a persistent digest index (DataFrame operations only).
 
-The index is a table of one row per distinct text, bucketed and sorted by digest. A new batch is
-reduced to its distinct digests, sort-merge anti-joined with the index, and what is new is appended.
+The index is a table of one row per distinct text, bucketed and sorted by digest. A batch is reduced
+to its distinct digests and sort-merge anti-joined with the index; what is new is appended. The batch
+that brings a text first keeps it: later batches, with whatever doc_ids, only add copies.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower, materialize, shared_dir, workspace
+from quillon.llm.common import (
+    ascii_lower,
+    drop_on_release,
+    free_name,
+    materialize,
+    quoted,
+    shared_dir,
+    shuffle_parts,
+    workspace,
+)
 
 #: A group of copies is dealt to as many tasks, by a hash of the row.
 SALTS = 256
-INDEX_SCHEMA = "digest binary, keep_id bigint, group_size bigint"
+#: A whole table goes through the index in so many batches.
+BATCHES = 2
+#: Texts in a bucket of an index made for a table of known size, about 100 MB.
+BUCKET_TEXTS = 1_000_000
+INDEX_SCHEMA = "digest binary, keep_id bigint, batch string"
 
 
 class DigestIndex:
-    """Table ``name``: digest, keep_id, group_size; bucketed and sorted by digest.
+    """Table ``name``: digest, keep_id and the batch that brought it; bucketed and sorted by digest.
 
-    ``buckets`` is fixed when the table is created; size it so that a bucket (48 bytes a text) fits
-    in a task.
+    ``buckets`` is fixed when the table is created; size it so that a bucket (about 100 bytes a text)
+    fits in a task.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
         self.spark, self.name, self.buckets = spark, name, buckets
 
     @classmethod
-    def temporary(cls, spark: SparkSession, buckets: int | None = None) -> "DigestIndex":
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return cls(spark, f"digest_index_{uuid.uuid4().hex}", buckets or parts)
+    def temporary(cls, spark: SparkSession, texts: int = 0) -> "DigestIndex":
+        """A new index for at most about ``texts`` texts, which ``release`` drops."""
+        index = cls(spark, f"digest_index_{uuid.uuid4().hex}", max(shuffle_parts(spark), -(-texts // BUCKET_TEXTS)))
+        drop_on_release(index.name, index.path())
+        return index
+
+    def path(self) -> str:
+        return f"{shared_dir(self.spark)}/{self.name}"
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
     def read(self) -> DataFrame:
-        if self.exists():
-            return self.spark.table(self.name)
-        return self.spark.createDataFrame([], INDEX_SCHEMA)
+        self.create()
+        return self.spark.table(self.name)
 
-    def _writer(self, groups: DataFrame) -> DataFrameWriter:
+    def _writer(self, rows: DataFrame) -> DataFrameWriter:
         # one writer task for each bucket, so a bucket gains one sorted file a batch
         return (
-            groups.select("digest", "keep_id", "group_size")
+            rows.select("digest", "keep_id", "batch")
             .repartition(self.buckets, "digest")
             .write.format("parquet")
             .bucketBy(self.buckets, "digest")
@@ -52,24 +71,32 @@ class DigestIndex:
         )
 
     def create(self) -> None:
-        """Make the empty table."""
-        path = f"{shared_dir(self.spark)}/{self.name}"
-        none = self.spark.createDataFrame([], INDEX_SCHEMA)
-        self._writer(none).option("path", path).mode("errorifexists").saveAsTable(self.name)
-
-    def append(self, groups: DataFrame) -> None:
-        """Add rows whose digests are not in the index yet."""
+        """Make the empty table, unless it exists."""
         if not self.exists():
-            self.create()
-        self._writer(groups).mode("append").saveAsTable(self.name)
+            none = self.spark.createDataFrame([], INDEX_SCHEMA)
+            self._writer(none).option("path", self.path()).mode("errorifexists").saveAsTable(self.name)
+
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add what ``groups`` (digest, keep_id) has and the index hasn't: sort-merge anti-join, append."""
+        known = self.read().select("digest")
+        fresh = groups.hint("merge").join(known, "digest", "left_anti").withColumn("batch", F.lit(batch))
+        # written first, since a table can't be appended to from a plan that reads it
+        self._writer(materialize(fresh, workspace(self.spark, "fresh"))).mode("append").saveAsTable(self.name)
+
+    def look_up(self, groups: DataFrame) -> DataFrame:
+        """``groups`` with the index's keep_id and batch in place of their own keep_id."""
+        return groups.drop("keep_id").hint("merge").join(self.read(), "digest")
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, salt and the SHA-256 of each whole text, A-Z lower-cased; null counts as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256)).alias("digest"),
+        _digest().alias("digest"),
         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
     )
 
@@ -84,27 +111,50 @@ def group_digests(rows: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFrame]:
-    """Register a batch in ``index``; returns (rows, groups).
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Register one batch in ``index``; returns (rows, groups).
 
     ``rows``: one per document: doc_id, digest, salt. ``groups``: one per distinct text of the batch:
-    digest, keep_id, group_size, salts, known (the index had it from an earlier batch; keep_id is
-    then the index's). Ties and repeated rows count as copies; null doc_ids are copies too but are
-    kept only if all doc_ids of the text are null; an empty batch gives empty tables.
+    digest, keep_id (the index's), group_size (in the batch), salts, known (another batch brought the
+    text first, so none of these rows stays). Ties and repeated rows count as copies; null doc_ids
+    are copies too but are kept only if all doc_ids of the text are null; an empty batch gives empty
+    tables. ``batch`` names the batch: registering it again, after a lost driver say, changes nothing
+    in the index and gives the same result; what a broken append left out is added then. Without a
+    name each call is a batch of its own.
     """
+    rows = materialize(digests(docs), workspace(docs.sparkSession, "digests"))
+    return rows, _register(rows, index, batch or uuid.uuid4().hex)
+
+
+def _register(rows: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    at = workspace(rows.sparkSession, "groups")
+    groups = materialize(group_digests(rows), f"{at}/own")
+    index.append(groups, batch)
+    seen = index.look_up(groups).withColumn("known", F.col("batch") != batch).drop("batch")
+    return materialize(seen, f"{at}/seen")
+
+
+def deduplicate_table(
+    docs: DataFrame, index: DigestIndex | None = None, batch: str = "table", batches: int = BATCHES
+) -> tuple[DataFrame, DataFrame]:
+    """The same for a whole table, which goes through the index (one of its own, if none is given) in
+    ``batches`` parts of descending doc_ids, so that the first part with a text has its largest doc_id.
+    Rows without a doc_id are in the last. group_size counts all parts."""
     spark = docs.sparkSession
     rows = materialize(digests(docs), workspace(spark, "digests"))
-    groups = materialize(group_digests(rows), workspace(spark, "groups"))
-    if not index.exists():
-        index.create()
-    fresh = groups.hint("merge").join(index.read().select("digest"), "digest", "left_anti")
-    fresh = materialize(fresh, workspace(spark, "fresh"))
-    index.append(fresh)
-    held = index.read().select("digest", F.col("keep_id").alias("held"))
-    new = fresh.select("digest", F.lit(False).alias("known"))
-    seen = groups.hint("merge").join(held, "digest").hint("merge").join(new, "digest", "left").select(
-        "digest", F.col("held").alias("keep_id"), "group_size", "salts", F.coalesce("known", F.lit(True)).alias("known")
+    index = index or DigestIndex.temporary(spark, rows.count())
+    steps = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(rows.select(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)))).first()[0] or [])) if steps else []
+    number = F.lit(len(cuts))
+    for i, cut in enumerate(cuts):
+        number = F.when(F.col("doc_id") > cut, len(cuts) - 1 - i).otherwise(number)
+    names = [f"{batch}-{i}" for i in range(batches)]
+    parts = [_register(rows.filter(number == i), index, name) for i, name in enumerate(names[: len(cuts) + 1])]
+    every = reduce(DataFrame.unionByName, (p.drop("keep_id", "known") for p in parts))
+    sums = every.groupBy("digest").agg(
+        F.sum("group_size").alias("group_size"), F.array_distinct(F.flatten(F.collect_list("salts"))).alias("salts")
     )
+    seen = index.look_up(sums).withColumn("known", ~F.col("batch").isin(names)).drop("batch")
     return rows, materialize(seen, workspace(spark, "seen"))
 
 
@@ -112,37 +162,39 @@ def decide(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Joins on (digest, salt), so that the rows of one text meet it in ``SALTS`` places. Of rows that
-    repeat the kept doc_id itself all stay marked as kept.
+    repeat the kept doc_id and text one is kept.
     """
     keys = groups.select("digest", "keep_id", "group_size", "known", F.explode("salts").alias("salt"))
+    again = F.row_number().over(Window.partitionBy("digest", "salt").orderBy(F.col("doc_id").desc()))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("known")
     return rows.join(keys, ["digest", "salt"]).select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("known")).alias("kept"),
+        (stays & (again == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def keep_unique(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; all columns of ``docs`` and no others.
+def keep_unique(docs: DataFrame, index: DigestIndex | None = None, batch: str = "table") -> DataFrame:
+    """The rows of ``docs`` that stay; all columns of ``docs`` and no others, whatever their names.
 
-    A text keeps its row with the largest doc_id. Rows that repeat that doc_id and text all stay, as
-    do all rows of a text that has no doc_id at all.
+    A text keeps its row with the largest doc_id, one of them if several rows have that doc_id and
+    text; a text that has no doc_id at all keeps one row. With an ``index`` texts that it knew before
+    are dropped. Null texts count as empty; an empty table stays empty.
     """
-    _, groups = deduplicate(docs, DigestIndex.temporary(docs.sparkSession))
-    keep = groups.filter(~F.col("known")).select(
-        F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest")
-    )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("__sha", F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256)))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__keep")) & (F.col("__sha") == F.col("__digest"))
-    return marked.join(keep, same, "left_semi").select(*docs.columns)
+    _, groups = deduplicate_table(docs, index, batch)
+    digest, keep = free_name(docs, "digest"), free_name(docs, "keep")
+    kept = groups.filter(~F.col("known")).select(F.col("keep_id").alias(keep), F.col("digest").alias(digest))
+    own = free_name(docs, "own")
+    marked = docs.withColumn(digest, _digest()).withColumn(own, F.col("doc_id").cast("bigint"))
+    same = marked[digest].eqNullSafe(kept[digest]) & marked[own].eqNullSafe(kept[keep])
+    return marked.join(kept, same, "left_semi").dropDuplicates([digest, own]).select(*map(quoted, docs.columns))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return decide(*deduplicate(docs, DigestIndex.temporary(spark)))
+    return decide(*deduplicate_table(docs))
 
 
 OP1_SQL = """
