@@ -1,14 +1,15 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Documents with equal texts form one item, unless the group is large: then each of SALTS hash classes
-of its rows is an item. Items are dealt to blocks of bounded size by a hash; inside a block each
-item, largest first, goes to the bin where the dot product of its vector with the bin's residual
-capacity is highest. The bins of all blocks are then packed into the shards by the same rule.
+Documents with equal texts form one item, unless their bytes exceed a shard's share: then each of
+SALTS hash classes of the group's rows is an item. Inside a block of items each item, largest first,
+goes to the bin where the dot product of its vector with the bin's residual capacity is highest.
+Items that fit in one block are packed into the shards. More are dealt to blocks by a hash and packed
+into bins, which are the items of the next level, until they fit in one block. So no task and no
+driver holds more than a block at any size; a layout depends on BLOCK_ITEMS, the balance doesn't.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,13 +18,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import materialize, workspace
 
 SALTS = 256
-#: A group of more rows is split into its SALTS hash classes.
-SPLIT_ROWS = 1024
-#: Items in a block, and the most blocks; beyond them blocks grow.
+#: Items in a block, and the bins that a block of a level below the last fills.
 BLOCK_ITEMS = 20_000
-MAX_BLOCKS = 4096
-#: A block fills so many bins for each shard, which the second packing evens out.
-BINS_PER_SHARD = 4
+BLOCK_BINS = 256
 
 
 def pack(vectors: np.ndarray, n_bins: int, weights: tuple[float, ...] | None = None) -> np.ndarray:
@@ -61,76 +58,79 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def _items(rows: DataFrame) -> DataFrame:
-    """One row per (digest, salt) with its item's name, and the item's totals on the item's first salt."""
+def _items(rows: DataFrame, n_shards: int) -> DataFrame:
+    """One row per item: digest, piece, parts (its salts with their totals)."""
     by_salt = rows.groupBy("digest", "salt").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens")
     )
     part = F.struct("salt", "n_rows", "bytes", "tokens")
     groups = by_salt.groupBy("digest").agg(
-        F.sort_array(F.collect_list(part)).alias("parts"), F.sum("n_rows").alias("group_rows")
+        F.sort_array(F.collect_list(part)).alias("parts"), F.sum("bytes").alias("group_bytes")
     )
+    share = (rows.agg(F.sum("size")).first()[0] or 0) / n_shards
     one = F.array(F.col("parts"))
     each = F.transform("parts", lambda p: F.array(p))
     return groups.select(
         "digest",
-        F.posexplode(F.when(F.col("group_rows") > SPLIT_ROWS, each).otherwise(one)).alias("piece", "parts"),
+        F.posexplode(F.when(F.col("group_bytes") > share, each).otherwise(one)).alias("piece", "parts"),
     )
 
 
+_SIZES = ["bytes", "tokens", "n_rows"]
+
+
+def _packed(items: DataFrame, keys: list[str], n_blocks: int, bins: int) -> DataFrame:
+    """``items`` with their bin (a number over all blocks) and base, the rows before them in the bin."""
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bytes", *keys], ascending=[False, *(True for _ in keys)], ignore_index=True)
+        pdf["bin"] = pdf["block"].astype("int64") * bins + pack(pdf[_SIZES].to_numpy(float), bins, WEIGHTS)
+        pdf["base"] = pdf.groupby("bin")["n_rows"].cumsum() - pdf["n_rows"]
+        return pdf.drop(columns="block")
+
+    dealt = items.select(F.pmod(F.xxhash64(*keys), F.lit(n_blocks)).cast("int").alias("block"), *keys, *_SIZES)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name != "block")
+    return dealt.groupBy("block").applyInPandas(block, f"{kinds}, bin bigint, base bigint")
+
+
+def _places(items: DataFrame, n_shards: int, at: str) -> DataFrame:
+    """digest, piece, shard and first slot of every item."""
+    size = max(BLOCK_ITEMS, 64 * n_shards)
+    bins = max(1, min(max(BLOCK_BINS, 16 * n_shards), size // 4))
+    levels: list[tuple[DataFrame, list[str]]] = []
+    keys = ["digest", "piece"]
+    while True:
+        n = items.count()
+        last = n <= size
+        packed = _packed(items, keys, 1 if last else -(-n // size), n_shards if last else bins)
+        packed = materialize(packed, f"{at}/level{len(levels)}")
+        levels.append((packed, keys))
+        if last:
+            break
+        items = packed.groupBy(F.col("bin").alias("item")).agg(*(F.sum(c).alias(c) for c in _SIZES))
+        items, keys = materialize(items, f"{at}/bins{len(levels)}"), ["item"]
+    packed, keys = levels.pop()
+    places = packed.select(*keys, F.col("bin").cast("int").alias("shard"), F.col("base").alias("first"))
+    while levels:
+        packed, keys = levels.pop()
+        above = places.select(F.col("item").alias("bin"), "shard", "first")
+        places = packed.join(above, "bin").select(*keys, "shard", (F.col("first") + F.col("base")).alias("first"))
+    return places
+
+
 def assign(docs: DataFrame, n_shards: int) -> DataFrame:
     """Shard and slot of every row: doc_id, size, tokens, text_crc32, shard, slot.
 
-    Null texts weigh 1 byte. Repeated rows and copies share their text's shard (large groups: the
-    shard of their hash class). Slots are gapless from 0 in each shard. An empty table gives no rows.
+    Null texts weigh 1 byte. Repeated rows and copies share their text's shard; only a group of more
+    bytes than a shard's share of all is dealt to several. Slots are gapless from 0 in each shard. An
+    empty table gives no rows; other columns of ``docs`` don't matter.
     """
-    spark = docs.sparkSession
-    at = workspace(spark, "shards")
+    at = workspace(docs.sparkSession, "shards")
     rows = materialize(measure(docs), f"{at}/rows")
     total = lambda c: F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p[c])
-    items = materialize(
-        _items(rows).select(
-            "digest",
-            "piece",
-            "parts",
-            total("bytes").alias("bytes"),
-            total("tokens").alias("tokens"),
-            total("n_rows").alias("n_rows"),
-        ),
-        f"{at}/items",
-    )
-    n_blocks = max(1, min(MAX_BLOCKS, -(-items.count() // BLOCK_ITEMS)))
-    bins = n_shards * BINS_PER_SHARD if n_blocks > 1 else n_shards
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "digest", "piece"], ascending=[False, True, True], ignore_index=True)
-        pdf["bin"] = pack(pdf[["bytes", "tokens", "n_rows"]].to_numpy(float), bins, WEIGHTS)
-        pdf["base"] = pdf.groupby("bin")["n_rows"].cumsum() - pdf["n_rows"]
-        return pdf[["block", "digest", "piece", "bin", "base", "bytes", "tokens", "n_rows"]]
-
-    key = F.pmod(F.xxhash64("digest", "piece"), F.lit(n_blocks)).cast("int").alias("block")
-    slim = items.select(key, "digest", "piece", "bytes", "tokens", "n_rows")
-    schema = "block int, digest binary, piece int, bin int, base bigint, bytes bigint, tokens bigint, n_rows bigint"
-    packed = materialize(slim.groupBy("block").applyInPandas(block, schema), f"{at}/packed")
-
-    # at most MAX_BLOCKS * bins rows
-    loads = packed.groupBy("block", "bin").agg(F.sum("bytes"), F.sum("tokens"), F.sum("n_rows")).toPandas()
-    loads.columns = ["block", "bin", "bytes", "tokens", "n_rows"]
-    loads = loads.sort_values(["block", "bin"], ignore_index=True)
-    if n_blocks > 1:
-        loads["shard"] = pack(loads[["bytes", "tokens", "n_rows"]].to_numpy(float), n_shards, WEIGHTS)
-    else:
-        loads["shard"] = loads["bin"].astype("int32")
-    loads["first"] = loads.groupby("shard")["n_rows"].cumsum() - loads["n_rows"]
-    if loads.empty:
-        places = spark.createDataFrame([], "block int, bin int, shard int, first bigint")
-    else:
-        places = spark.createDataFrame(
-            loads[["block", "bin", "shard", "first"]].astype({"first": "int64"}), "block int, bin int, shard int, first bigint"
-        )
-    placed = packed.join(F.broadcast(places), ["block", "bin"]).select(
-        "digest", "piece", "shard", (F.col("first") + F.col("base")).alias("base")
-    )
+    items = _items(rows, n_shards).select("digest", "piece", "parts", *(total(c).alias(c) for c in _SIZES))
+    items = materialize(items, f"{at}/items")
+    placed = _places(items, n_shards, at)
     # back to (digest, salt), with each salt's first slot
     parts = items.select("digest", "piece", F.explode("parts").alias("p"))
     in_piece = Window.partitionBy("digest", "piece").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,7 +138,7 @@ def assign(docs: DataFrame, n_shards: int) -> DataFrame:
         parts.select("digest", "piece", F.col("p.salt").alias("salt"), F.col("p.n_rows").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(in_piece), F.lit(0)))
         .join(placed, ["digest", "piece"])
-        .select("digest", "salt", "shard", (F.col("base") + F.col("before")).alias("first_slot"))
+        .select("digest", "salt", "shard", (F.col("first") + F.col("before")).alias("first_slot"))
     )
     rank = F.row_number().over(Window.partitionBy("digest", "salt").orderBy("doc_id")) - 1
     return (

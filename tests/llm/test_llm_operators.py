@@ -110,11 +110,22 @@ def test_media_notices_damage():
 # --- 3 -------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("blocks", [20_000, 10])
+def plain_packing(items, n_bins):
+    """Bin by bin and item by item; ``items``: (bytes, tokens, rows) in the order to be packed."""
+    total = [max(1, sum(v[k] for v in items)) for k in range(3)]
+    rest = [[1 / n_bins] * 3 for _ in range(n_bins)]
+    out = {}
+    for i in sorted(range(len(items)), key=lambda i: (-max(items[i][k] / total[k] for k in range(3)), i)):
+        want = [w * items[i][k] / total[k] for k, w in enumerate(sharding.WEIGHTS)]
+        out[i] = max(range(n_bins), key=lambda b: (sum(r * w for r, w in zip(rest[b], want, strict=True)), -b))
+        rest[out[i]] = [r - items[i][k] / total[k] for k, r in enumerate(rest[out[i]])]
+    return out
+
+
+@pytest.mark.parametrize("blocks", [20_000, 256, 256 + 64])
 def test_sharding(spark, monkeypatch, blocks):
     monkeypatch.setattr(sharding, "BLOCK_ITEMS", blocks)
-    monkeypatch.setattr(sharding, "SPLIT_ROWS", 40)
-    texts = corpus(80) + ["hot text"] * 100
+    texts = corpus(150) + ["hot text"] * 100 + [f"t{i % 90} " * 20 for i in range(180)]
     got = sharding.assign(docs(spark, texts), 4).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
     sizes, slots, where = Counter(), defaultdict(list), defaultdict(set)
@@ -126,8 +137,30 @@ def test_sharding(spark, monkeypatch, blocks):
         where[texts[r["doc_id"]] or ""].add(r["shard"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert max(sizes.values()) - min(sizes.values()) < 8100  # the largest text
-    assert all(len(v) == 1 for t, v in where.items() if t != "hot text") and len(where["hot text"]) > 1
+    assert all(len(v) == 1 for v in where.values())
     assert sharding.assign(docs(spark, []), 4).count() == 0
+    if blocks == 20_000:
+        groups = defaultdict(list)
+        for i, t in enumerate(texts):
+            groups[t or ""].append(i)
+        weigh = lambda t: (len(groups[t]) * (len(t.encode()) + 1), len(groups[t]) * (t.count(" ") + 1), len(groups[t]))
+        order = sorted(groups, key=lambda t: (-weigh(t)[0], hashlib.md5(t.encode()).digest()))
+        want = plain_packing([weigh(t) for t in order], 4)
+        shard = {r["doc_id"]: r["shard"] for r in got}
+        assert sum(shard[groups[t][0]] != want[i] for i, t in enumerate(order)) == 0
+
+
+def test_sharding_splits_only_what_exceeds_a_share(spark):
+    texts = ["nine char"] * 1100 + [f"text {i} " * 10 for i in range(3000)]
+    got = sharding.assign(docs(spark, texts), 8).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] < 1100}) == 1
+    texts = ["nine char"] * 1100 + [f"text {i}" for i in range(300)]
+    got = sharding.assign(docs(spark, texts), 8).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len({r["shard"] for r in got if r["doc_id"] < 1100}) == 8
+    assert max(sizes.values()) < 1.1 * min(sizes.values())
 
 
 def test_pack_balances_every_dimension():
