@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, workspace
+from quillon.llm.common import free_name, materialize, quoted, workspace
 
 LEAF = ["domain", "lang", "source"]
 
@@ -127,11 +127,34 @@ def select(docs: DataFrame, mix: Mix) -> DataFrame:
 
 
 def keep_mixed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The selected rows of ``docs``, one for each epoch that takes them; no other columns."""
-    chosen = select(docs, mix).groupBy(F.col("doc_id").alias("__id")).agg(F.countDistinct("epoch").alias("__times"))
-    joined = docs.join(chosen, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")))
-    times = F.explode(F.expr("sequence(1L, __times)")).alias("__n")
-    return joined.select(*docs.columns, times).select(*docs.columns)
+    """The rows of ``docs`` that ``select`` chose, one for each epoch that takes them; no other columns.
+
+    Rows with the same doc_id, leaf and tokens are alike to the budget: of them as many are taken as
+    were chosen, in an order by hash of their texts. All rows without a doc_id in one leaf and of one
+    size meet in one task. Columns may have any names; an empty table stays empty.
+    """
+    like = {
+        "doc_id": F.col("doc_id").cast("bigint"),
+        "lang": F.coalesce(F.col("lang"), F.lit("")),
+        "source": F.coalesce(F.col("source"), F.lit("")),
+        "tokens": tokens_of(F.col("text")),
+    }
+    names = {c: free_name(docs, c) for c in like}
+    none, rank, times, again = (free_name(docs, x) for x in ("none", "rank", "times", "again"))
+    each = select(docs, mix).groupBy("doc_id", "lang", "source", "tokens", "epoch").agg(F.count(F.lit(1)).alias("n"))
+    each = each.groupBy("doc_id", "lang", "source", "tokens").agg(F.collect_list("n").alias(times))
+    id_of = F.coalesce(F.col("doc_id"), F.lit(0))
+    keys = [*names.values(), none]
+    chosen = each.select(
+        id_of.cast("bigint").alias(names["doc_id"]), *(F.col(c).alias(names[c]) for c in list(like)[1:]), F.col("doc_id").isNull().alias(none), times
+    )
+    marked = docs.withColumns({names[c]: x for c, x in like.items()})
+    marked = marked.withColumn(none, F.col(names["doc_id"]).isNull()).withColumn(names["doc_id"], F.coalesce(names["doc_id"], F.lit(0).cast("bigint")))
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("text"), "text")
+    joined = marked.join(chosen, keys).withColumn(rank, F.row_number().over(order))
+    taken = F.size(F.filter(F.col(times), lambda n: n >= F.col(rank)))
+    copies = F.explode(F.when(taken > 0, F.sequence(F.lit(1), taken)))
+    return joined.select(*map(quoted, docs.columns), copies.alias(again)).drop(again)
 
 
 MIX = Mix()
