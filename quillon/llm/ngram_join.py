@@ -12,8 +12,10 @@ need is the smallest overlap that a partner must have: longer prefixes ask for m
 4. Postings are dealt by shingle, long lists in blocks. Candidates must be of fitting size and pass a
    bound on their difference by parity sketches; then share enough prefix shingles; then the exact
    similarity decides. First each text meets the heads of its lists only, and what links is merged,
-   a few times; then all texts of different components meet. So a group of copies is never expanded into all pairs,
-   but no link between different components is missed.
+   a few times. Then lists whose texts all belong to one component are left out, and in the others texts
+   meet those of other components, whole blocks of one component never each other. So a group of
+   copies that its heads have merged is not expanded into pairs, and no link between different
+   components is missed. Texts that share a rare enough shingle and don't link do meet, pair by pair.
 
 Shingles are 64-bit hashes; sizes, bounds and similarities are whole numbers.
 """
@@ -25,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, materialize, shuffle_parts, small_batches, workspace
+from quillon.llm.common import discard, free_name, materialize, quoted, shuffle_parts, small_batches, workspace
 from quillon.llm.components import connected_components
 from quillon.llm.exchange import counts_for, each_row, merged, pack, repeated, rows_of, undump, with_answers
 from quillon.llm.wordhash import prefix_sums, range_hashes, words
@@ -37,8 +39,12 @@ SKETCH_BITS = 1024
 #: Postings of a list that meet in one task.
 BLOCK = 512
 LADDER = (1, 2, 4, 8, 16)
-#: First tries with heads of lists, before all texts of different components meet.
-HEAD_TURNS = 2
+#: First tries with heads of lists, before all texts of different components meet: so many, and as many
+#: more (to MAX_HEAD_TURNS) as each takes a tenth off the pairs to meet, while these exceed PAIRS_A_POSTING.
+HEAD_TURNS, MAX_HEAD_TURNS = 2, 12
+PAIRS_A_POSTING = 16
+#: Pairs that a task looks at in one go.
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -178,6 +184,28 @@ def fits(size_a: np.ndarray, size_b: np.ndarray, sketch_a: np.ndarray, sketch_b:
     return 100 * (total - least) >= percent * (total + least)
 
 
+def meetings(group: np.ndarray, side: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), in chunks, of the rows that meet: in each group rows of side 0 meet those of side
+    1, and rows of side 2 those of side 2 of another ``comp``. Rows are sorted by group, side, comp."""
+    n = len(group)
+    if not n:
+        return
+    new_group = np.concatenate([[True], group[1:] != group[:-1]])
+    new_part = new_group | np.concatenate([[True], (side[1:] != side[:-1]) | ((side[1:] == 2) & (comp[1:] != comp[:-1]))])
+    end_of = lambda new: np.append(np.flatnonzero(new), n)[np.cumsum(new)]
+    first, last = end_of(new_part), end_of(new_group)
+    partners = np.where(side == 1, 0, last - first)
+    upto = np.concatenate([[0], np.cumsum(partners)])
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + CHUNK, side="right")) - 1)
+        many = partners[i:j]
+        if many.sum():
+            a = np.repeat(np.arange(i, j), many)
+            yield a, np.arange(len(a)) - np.repeat(upto[i:j] - upto[i], many) + np.repeat(first[i:j], many)
+        i = j
+
+
 def _pairs(join: Join, heads_only: bool):
     """A mapInArrow function over postings (list, part, side, doc_id, size, m, comp, sketch), sorted by
     list and part: pairs of one block, or of two (sides 0 and 1), that may be linked."""
@@ -188,11 +216,13 @@ def _pairs(join: Join, heads_only: bool):
         bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(doc), -1)
         new = np.concatenate([[True], (list_[1:] != list_[:-1]) | (part[1:] != part[:-1])])
         group = np.cumsum(new) - 1
-        head = np.flatnonzero(new)[group]
 
         def found(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
             ok = (doc[i] != doc[j]) & (comp[i] != comp[j])
             i, j = i[ok], j[ok]
+            total = size[i].astype(np.int64) + size[j]
+            ok = 100 * (total - np.abs(size[i].astype(np.int64) - size[j])) >= join.percent * (total + np.abs(size[i].astype(np.int64) - size[j]))
+            i, j = i[ok], j[ok]
             ok = fits(size[i], size[j], bits[i], bits[j], join.percent)
             i, j = i[ok], j[ok]
             if not len(i):
@@ -200,19 +230,10 @@ def _pairs(join: Join, heads_only: bool):
             a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(m[i], m[j]))], schema=_PAIR)
 
-        at = np.arange(len(doc))
-        if heads_only:
-            if (got := found(head, at)) is not None:
+        meet = [(np.flatnonzero(new)[group], np.arange(len(doc)))] if heads_only else meetings(group, side, comp)
+        for i, j in meet:
+            if (got := found(i, j)) is not None:
                 yield got
-            return
-        step, at = 1, at[:-1]
-        while len(at):
-            at = at[at + step < len(doc)]
-            at = at[group[at] == group[at + step]]
-            far = at + step
-            if (got := found(at[ok], far[ok]) if (ok := (side[at] != side[far]) | (side[at] == 2)).any() else None) is not None:
-                yield got
-            step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,39 +255,80 @@ def _pairs(join: Join, heads_only: bool):
     return run
 
 
-def candidates(kept: DataFrame, comps: DataFrame | None, join: Join, heads: int | None = None) -> DataFrame:
-    """(a, b) with a < b, of different components ``comps`` (doc_id, comp), that share enough prefix
-    shingles. With ``heads``, a seed, only each text with the head of its block of each list, one drawn
-    anew for every list: a first try that takes as many comparisons as there are postings."""
-    spark = kept.sparkSession
-    n = shuffle_parts(spark)
+_POSTING = ["list", "count", "doc_id", "size", "m", "comp", "sketch"]
+
+
+def postings(kept: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """One row for each text and shared shingle of its prefix (``list``), with the text's component."""
     if comps is None:
         kept = kept.withColumn("comp", F.col("doc_id"))
     else:
         kept = kept.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    each = kept.select(
-        F.explode(F.arrays_zip("prefix", "counts")).alias("p"), "doc_id", "size", "m", "comp", "sketch"
-    ).select(F.col("p.prefix").alias("list"), F.col("p.counts").alias("count"), "doc_id", "size", "m", "comp", "sketch")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    each = each.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    if heads is not None:
-        placed = each.withColumn("part", F.col("block")).withColumn("side", F.lit(2))
-    else:
-        # pairs of blocks (i <= j) as i * blocks + j; side 2: both texts come from one block
-        meet = F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda o: F.struct(
-                (F.least("block", o) * F.col("blocks") + F.greatest("block", o)).cast("int").alias("part"),
-                F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1).alias("side"),
-            ),
-        )
-        placed = each.withColumn("p", F.explode(meet)).select("*", "p.part", "p.side")
-    placed = placed.select("list", "part", "side", "doc_id", "size", "m", "comp", "sketch")
-    first = F.col("size") if heads is None else F.xxhash64("list", "doc_id", F.lit(heads))
-    dealt = placed.repartition(n, "list", "part").sortWithinPartitions("list", "part", first, "doc_id")
-    pairs = dealt.mapInArrow(_pairs(join, heads is not None), _PAIR_SQL)
-    if heads is not None:  # a head is a first try, so one match is enough
-        return pairs.select("a", "b").distinct()
+    each = kept.select(F.explode(F.arrays_zip("prefix", "counts")).alias("p"), "doc_id", "size", "m", "comp", "sketch")
+    return each.select(F.col("p.prefix").alias("list"), F.col("p.counts").alias("count"), *_POSTING[2:])
+
+
+def head_candidates(each: DataFrame, join: Join, seed: int) -> DataFrame:
+    """(a, b) with a < b: each text with the head of its block of each list, one drawn anew for every list
+    and ``seed``. A first try that takes as many comparisons as there are postings, so one match is enough."""
+    # blocks differ from list to list, so that their groups meet
+    block = F.pmod(F.xxhash64("doc_id", "list", F.lit(seed)), F.ceil(F.col("count") / BLOCK))
+    placed = each.select("list", block.cast("bigint").alias("part"), F.lit(2).alias("side"), *_POSTING[2:])
+    dealt = placed.repartition(shuffle_parts(each.sparkSession), "list", "part")
+    dealt = dealt.sortWithinPartitions("list", "part", F.xxhash64("list", "doc_id", F.lit(seed)), "doc_id")
+    return dealt.mapInArrow(_pairs(join, True), _PAIR_SQL).select("a", "b").distinct()
+
+
+def open_lists(each: DataFrame) -> DataFrame:
+    """(list, comp, n) of the lists that have texts of several components."""
+    counts = each.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    return counts.join(several.select("list"), "list")
+
+
+def block_plan(lists: DataFrame) -> DataFrame:
+    """``lists`` (list, comp, n) with ``blocks``, the number of blocks of the list, and the component's own
+    blocks, ``first`` to ``first + own - 1``. A component of at least BLOCK texts has blocks to itself
+    (``alone``); the others share the list's first blocks."""
+    big = F.col("n") >= BLOCK
+    in_list = Window.partitionBy("list")
+    own = F.ceil(F.col("n") / BLOCK)
+    # only large components, of BLOCK texts at least, are put in an order
+    some = lists.filter(big)
+    before = F.sum(own).over(in_list.orderBy("comp").rowsBetween(Window.unboundedPreceding, -1))
+    placed = some.select("list", "comp", F.coalesce(before, F.lit(0)).alias("before"))
+    sums = lists.groupBy("list").agg(
+        F.ceil(F.sum(F.when(big, 0).otherwise(F.col("n"))) / BLOCK).alias("small"), F.sum(F.when(big, own).otherwise(0)).alias("large")
+    )
+    joined = lists.join(sums, "list").join(placed, ["list", "comp"], "left")
+    return joined.select(
+        "list",
+        "comp",
+        (F.col("small") + F.col("large")).alias("blocks"),
+        big.alias("alone"),
+        F.when(big, F.col("small") + F.col("before")).otherwise(0).alias("first"),
+        F.when(big, own).otherwise(F.col("small")).alias("own"),
+    )
+
+
+def candidates(each: DataFrame, lists: DataFrame, join: Join) -> DataFrame:
+    """(a, b) with a < b, of different components, that share enough prefix shingles. ``lists``: the lists
+    with several components, see ``open_lists``."""
+    rows = each.join(block_plan(lists), ["list", "comp"])
+    # a small component lies whole in one block, a large one is dealt to its own
+    at = F.when(F.col("alone"), F.xxhash64("doc_id")).otherwise(F.xxhash64("comp"))
+    rows = rows.withColumn("block", F.col("first") + F.pmod(at, F.col("own")))
+    ahead = F.when(F.col("first") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("first") - 1)).otherwise(F.array().cast("array<bigint>"))
+    last = F.col("first") + F.col("own")
+    behind = F.when(last < F.col("blocks"), F.sequence(last, F.col("blocks") - 1)).otherwise(F.array().cast("array<bigint>"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    others = F.when(F.col("alone"), F.concat(ahead, behind)).otherwise(every)
+    rows = rows.withColumn("other", F.explode(others))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    placed = rows.select("list", part.alias("part"), side.alias("side"), *_POSTING[2:])
+    dealt = placed.repartition(shuffle_parts(each.sparkSession), "list", "part").sortWithinPartitions("list", "part", "side", "comp", "doc_id")
+    pairs = dealt.mapInArrow(_pairs(join, False), _PAIR_SQL)
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("m").alias("m")).filter("shared >= m").select("a", "b")
 
 
@@ -302,13 +364,26 @@ def merge_components(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     return nodes.join(onward, "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp"))
 
 
+def _pairs_left(lists: DataFrame) -> float:
+    """How many pairs of postings of different components the lists have."""
+    sums = lists.groupBy("list").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own"))
+    return sums.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()[0]
+
+
+def _joined(pairs: DataFrame, kept: DataFrame, comps: DataFrame | None, join: Join, at: str) -> DataFrame:
+    """``comps`` with the links that the candidate ``pairs`` have."""
+    pairs = materialize(pairs, f"{at}/pairs")
+    links = materialize(linked(pairs, kept, join), f"{at}/links")
+    return materialize(merge_components(comps, links), f"{at}/components")
+
+
 def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id of those
     reachable by links, its own included).
 
     Null and empty texts and texts without words have no shingles and no links. Rows with equal sets
-    are one text; rows that share a doc_id are taken as one document. Rows without a doc_id get no
-    component. Whole texts count; an empty table gives no rows.
+    are one text; rows that share a doc_id are one document, linked with what any of them is linked with.
+    Rows without a doc_id get no component. Whole texts count; an empty table gives no rows.
     """
     with small_batches(docs.sparkSession):
         return _near_duplicates(docs, join or Join())
@@ -324,12 +399,20 @@ def _near_duplicates(docs: DataFrame, join: Join) -> DataFrame:
         some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min_by("shingles", "doc_id").alias("shingles")), f"{at}/reps"
     )
     kept = prefix_table(reps.select("doc_id", "shingles"), join, at)
-
-    comps = None
-    for turn in (*range(HEAD_TURNS), None):
-        pairs = materialize(candidates(kept, comps, join, turn), f"{at}/pairs{turn}")
-        links = materialize(linked(pairs, kept, join), f"{at}/links{turn}")
-        comps = materialize(merge_components(comps, links), f"{at}/components{turn}")
+    n_postings = kept.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+
+    comps, turn, before = None, 0, None
+    while True:
+        each = postings(kept, comps)
+        if turn >= HEAD_TURNS:
+            lists = materialize(open_lists(each), f"{at}/lists{turn}")
+            left = _pairs_left(lists)
+            if turn == MAX_HEAD_TURNS or left <= PAIRS_A_POSTING * n_postings or (before is not None and left > 0.9 * before):
+                break
+            before = left
+        comps = _joined(head_candidates(each, join, turn), kept, comps, join, f"{at}/{turn}")
+        turn += 1
+    comps = _joined(candidates(each, lists, join), kept, comps, join, f"{at}/all")
     final = comps.select(F.col("doc_id").alias("rep"), F.col("comp").alias("label"))
 
     groups = reps.select("set_key", F.col("doc_id").alias("rep")).join(final, "rep", "left")
@@ -337,15 +420,36 @@ def _near_duplicates(docs: DataFrame, join: Join) -> DataFrame:
     alone = rows.filter("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     in_group = rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_key")
     joined = in_group.join(groups, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return alone.unionByName(joined)
+    return _by_document(materialize(alone.unionByName(joined), f"{at}/rows"))
+
+
+def _by_document(rows: DataFrame) -> DataFrame:
+    """``rows`` with the components of each document's rows as one."""
+    ends = rows.groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("high")).filter("a < high")
+    found = rows.join(ends, "doc_id").filter("a < component_id").select("a", F.col("component_id").alias("b"))
+    found = materialize(found.distinct(), workspace(rows.sparkSession, "shared_ids"))
+    if not found.limit(1).count():
+        return rows
+    onward = connected_components(found).select(F.col("node").alias("component_id"), "label")
+    return rows.join(onward, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, join: Join | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest doc_id. Rows without
-    a doc_id stay."""
-    found = near_duplicates(docs, join)
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("bigint") == F.col("__id"), "left_anti")
+    """The rows of ``docs`` that stay: one row of each component, of those with its smallest doc_id; of
+    several rows with that doc_id the one whose text comes first in an order by hash. Rows without a
+    doc_id stay. All columns and no others, whatever their names; an empty table stays empty."""
+    own, place = free_name(docs, "own"), free_name(docs, "place")
+    found = near_duplicates(docs, join).filter("doc_id IS NOT NULL")
+    found = materialize(found.select(F.col("doc_id").alias(own), "component_id"), workspace(docs.sparkSession, "found"))
+    drop = found.filter(F.col(own) != F.col("component_id")).select(own).distinct()
+    stays = docs.withColumn(own, F.col("doc_id").cast("bigint")).join(drop, own, "left_anti")
+    # few or no doc_ids are repeated; only their rows are sorted
+    repeated_ids = found.groupBy(own).count().filter("count > 1").select(own)
+    first = Window.partitionBy(own).orderBy(F.xxhash64("text"), "text")
+    among = stays.join(repeated_ids, own, "left_semi").withColumn(place, F.row_number().over(first))
+    single = stays.join(repeated_ids, own, "left_anti")
+    columns = [quoted(c) for c in docs.columns]
+    return single.select(*columns).unionByName(among.filter(F.col(place) == 1).select(*columns))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, materialize, shuffle_parts, small_batches, workspace
-from quillon.llm.exchange import by_bucket, counts_for, dump, each_row, merged, pack, repeated, rows_of, undump, with_answers
+from quillon.llm.common import discard, materialize, small_batches, workspace
+from quillon.llm.exchange import counts_for, deal, dump, each_row, lean, merged, pack, repeated, rows_of, runs, undump, with_answers
 from quillon.llm.wordhash import Words, prefix_sums, range_hashes, words
 
 SEED = 8
@@ -156,8 +156,12 @@ def _seed_keys(batch: pa.RecordBatch, least: int) -> np.ndarray:
 _PASSAGES = pa.schema(
     [("key", pa.uint64()), ("core", pa.int32()), ("core_words", pa.int32()), ("words", pa.list_(pa.uint64())), ("starts", pa.list_(pa.int64()))]
 )
-_SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.string()), ("body", pa.binary())])
-_SPANS = pa.schema([("batch", pa.string()), ("firsts", pa.binary()), ("lasts", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("batch", pa.binary()), ("body", pa.binary())])
+_SENT_SQL = "bucket int, grp int, batch binary, body binary"
+_SPANS = pa.schema([("batch", pa.binary()), ("firsts", pa.binary()), ("lasts", pa.binary())])
+_SPANS_SQL = "batch binary, firsts binary, lasts binary"
+_GROUP_SPANS = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("firsts", pa.binary()), ("lasts", pa.binary())])
+_GROUP_SPANS_SQL = "bucket int, grp int, firsts binary, lasts binary"
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
@@ -231,7 +235,62 @@ def trim(values: np.ndarray, offsets: np.ndarray, key: np.ndarray, core: np.ndar
     return first, last
 
 
-def shard_spans(parts: list[tuple[str, pa.RecordBatch]], least: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def condense(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """The distinct passages of several batches as one batch, as if they stood one after another: each
+    with one first word, twice if it occurs more often. Also the number of the distinct passage of each
+    passage, and their first words. The result doesn't depend on the order of ``parts``."""
+    join = lambda get: np.concatenate([get(p).to_numpy() for p in parts])
+    key, core, core_words = join(lambda p: p["key"]), join(lambda p: p["core"]), join(lambda p: p["core_words"])
+    lengths = join(lambda p: p["words"].value_lengths()).astype(np.int64)
+    times = join(lambda p: p["starts"].value_lengths()).astype(np.int64)
+    values = join(lambda p: p["words"].flatten())
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    content = range_hashes(prefix_sums(values), offsets[:-1], offsets[1:])
+    order = np.lexsort((core, content, key))
+    differs = [x[order][1:] != x[order][:-1] for x in (key, content, core)]
+    new = np.concatenate([[True], np.logical_or.reduce(differs)])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    one = order[np.flatnonzero(new)]
+    start = np.concatenate([[0], np.cumsum(lengths[one])])[:-1]
+    total = np.minimum(np.bincount(number, times), 2).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array(key[one]),
+            pa.array(core[one]),
+            pa.array(core_words[one]),
+            _lists(values[_gather(offsets[one], lengths[one])], lengths[one]),
+            _lists(np.repeat(start, total), total),
+        ],
+        schema=_PASSAGES,
+    )
+    return batch, number, start
+
+
+def spread(parts: list[pa.RecordBatch], firsts: np.ndarray, lasts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, firsts, lasts) in the words of each part, from spans in the words of ``condense(parts)``."""
+    _, number, start = condense(parts)
+    firsts, at = np.unique(firsts, return_index=True)
+    lasts = lasts[at]
+    owner = np.searchsorted(start, firsts, side="right") - 1
+    spans_of: dict[int, list[int]] = {}
+    for i, o in enumerate(owner.tolist()):
+        spans_of.setdefault(o, []).append(i)
+    n = 0
+    for k, p in enumerate(parts):
+        starts = p["starts"].to_pylist()
+        a, b = [], []
+        for i, every in enumerate(starts):
+            for x in spans_of.get(int(number[n + i]), ()):
+                shift = int(firsts[x] - start[owner[x]])
+                a.extend(e + shift for e in every)
+                b.extend(e + shift + int(lasts[x] - firsts[x]) for e in every)
+        n += len(starts)
+        if a:
+            yield k, np.array(a, np.int64), np.array(b, np.int64)
+
+
+def shard_spans(parts: list[tuple[bytes | int, pa.RecordBatch]], least: int) -> Iterator[tuple[bytes | int, np.ndarray, np.ndarray]]:
     """(batch, firsts, lasts) of the words to remove, from the passages of all batches in a bucket."""
     names = [name for name, _ in parts]
     source = np.repeat(np.arange(len(parts)), [p.num_rows for _, p in parts])
@@ -336,11 +395,11 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, digest: bool = False,
     if min_words < SEED:
         raise ValueError(f"windows of at least {SEED} words are needed")
     spark = docs.sparkSession
-    n = max(shuffle_parts(spark), 8)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     at = workspace(spark, "substring")
     with small_batches(spark):
         packed = pack(narrow, f"{at}/packed")
+    d = deal(packed)
     back = repeated(packed, lambda b: _seed_keys(b, min_words))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,37 +409,50 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, digest: bool = False,
             found = passages(undump(r["body"]), merged(r["answers"]), min_words, hot)
             if found is None:
                 continue
-            bucket = by_bucket(found["key"].to_numpy(), n)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-            out = [(b, r["batch"], dump(found.take(pa.array(order[i:j])))) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+            order, parts = d.split(d.bucket(found["key"].to_numpy()))
+            out = [(b, d.group(r["batch"]), r["batch"], dump(found.take(pa.array(order[i:j])))) for b, i, j in parts]
             yield rows_of(_SENT, out)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, pa.RecordBatch]] = []
-        bucket = None
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            if held:
-                out = [(name, a.tobytes(), b.tobytes()) for name, a, b in shard_spans(held, min_words)]
-                if out:
-                    yield rows_of(_SPANS, out)
-
-        for r in each_row(batches):
-            if r["bucket"] != bucket:
-                yield from settle()
-                held, bucket = [], r["bucket"]
-            held.append((r["batch"], undump(r["body"])))
-        yield from settle()
+        for rows in runs(each_row(batches), "bucket"):
+            held = [(r["batch"], undump(r["body"])) for r in rows]
+            rows.clear()
+            yield rows_of(_SPANS, [(name, a.tobytes(), b.tobytes()) for name, a, b in shard_spans(held, min_words)])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(each_row(batches), "bucket", "grp"):
+            body, _, _ = condense([undump(r["body"]) for r in rows])
+            yield rows_of(_SENT, [(rows[0]["bucket"], rows[0]["grp"], b"", dump(body))])
+
+    def answer_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(each_row(batches), "bucket"):
+            bucket, held = rows[0]["bucket"], [(r["grp"], undump(r["body"])) for r in rows]
+            rows.clear()
+            yield rows_of(_GROUP_SPANS, [(bucket, name, a.tobytes(), b.tobytes()) for name, a, b in shard_spans(held, min_words)])
+
+    def route(entries: pa.Table, answers: pa.Table) -> pa.Table:
+        lean()
+        rows, out = entries.to_pylist(), []
+        if answers.num_rows:
+            firsts, lasts = (np.concatenate([np.frombuffer(x, np.int64) for x in answers[c].to_pylist()]) for c in ("firsts", "lasts"))
+            found = spread([undump(r["body"]) for r in rows], firsts, lasts)
+            out = [(rows[k]["batch"], a.tobytes(), b.tobytes()) for k, a, b in found]
+        return pa.Table.from_batches([rows_of(_SPANS, out)])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each_row(batches):
             get = lambda c, r=r: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[c], np.int64) for x in r["answers"] or [])])
             yield _results(undump(r["body"]), get("firsts"), get("lasts"), digest)
 
-    sent = with_answers(packed, back).mapInArrow(send, "bucket int, batch string, body binary")
-    dealt = sent.repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(answer, "batch string, firsts binary, lasts binary")
+    sent = with_answers(packed, back).mapInArrow(send, _SENT_SQL)
+    if d.groups == 1:
+        found = d.dealt(sent, "bucket").mapInArrow(answer, _SPANS_SQL)
+    else:
+        sent = materialize(sent, f"{at}/sent")
+        merged_passages = d.dealt(sent, "bucket", "grp").mapInArrow(gather, _SENT_SQL)
+        spans_of = d.dealt(merged_passages, "bucket").mapInArrow(answer_groups, _GROUP_SPANS_SQL)
+        by = ("bucket", "grp")
+        found = sent.groupBy(*by).cogroup(spans_of.groupBy(*by)).applyInArrow(route, _SPANS_SQL)
     with small_batches(spark):
         out = materialize(with_answers(packed, found).mapInArrow(finish, _DIGEST_SQL if digest else _RESULT_SQL), f"{at}/out")
     discard(spark, f"{at}/packed")
