@@ -21,13 +21,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, workspace
+from quillon.llm.common import materialize, shuffle_parts, workspace
 
 #: Samples in a row of the image; payloads are padded to whole rows.
 ROW = 576
 PAD = 255
 #: A tar shard is closed at this size.
 SHARD_BYTES = 64 << 20
+#: Stored bytes that one task reads back, and those of one read.
+PIECE_BYTES, READ_BYTES = 64 << 20, 8 << 20
 PNG_SIGNATURE = bytes([137, 80, 78, 71, 13, 10, 26, 10])
 #: Signature, chunk length and type, and the 13 bytes of the header chunk.
 PNG_HEADER_BYTES = 29
@@ -87,7 +89,7 @@ class _Shards:
     """Writes one task's members to tar files; each distinct member once a shard."""
 
     def __init__(self, folder: str, shard_bytes: int):
-        self.folder, self.limit, self.at = folder, shard_bytes, None
+        self.folder, self.limit, self.at, self.closed = folder, shard_bytes, None, 0
 
     def add(self, digest: str, image: bytes) -> tuple[str, int, int]:
         if self.at is None or self.at[1].tell() > self.limit:
@@ -110,7 +112,7 @@ class _Shards:
         if self.at:
             self.at[1].write(bytes(2 * tarfile.BLOCKSIZE))
             self.at[1].close()
-            self.at = None
+            self.at, self.closed = None, self.closed + 1
 
 
 def _writer(folder: str, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -119,18 +121,27 @@ def _writer(folder: str, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = _Shards(folder, shard_bytes)
+        shards, closed = _Shards(folder, shard_bytes), 0
         rows: list[tuple] = []
+
+        def complete(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows), 10_000):
+                columns = zip(*rows[i : i + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        # references leave the task only when their shard is complete
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
                 raw = text.as_py() or b""
                 image = encode_png(pad(raw))
                 digest = hashlib.sha256(image).hexdigest()
-                rows.append((doc_id, len(raw), digest, *shards.add(digest, image)))
-        shards.close()  # references leave the task only when their shards are complete
-        for i in range(0, len(rows), 10_000):
-            columns = zip(*rows[i : i + 10_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+                place = shards.add(digest, image)
+                if shards.closed > closed:
+                    yield from complete(rows)
+                    rows, closed = [], shards.closed
+                rows.append((doc_id, len(raw), digest, *place))
+        shards.close()
+        yield from complete(rows)
 
     return write
 
@@ -159,6 +170,31 @@ class _Ranges:
             self.uri, self.file = uri, files.open_input_file(path)
         return self.file.read_at(length, offset)
 
+    def members(self, rows: list[dict]) -> Iterator[tuple[dict, bytes]]:
+        """Each reference with its member; neighbours in a shard are read at once, up to READ_BYTES."""
+        i = 0
+        while i < len(rows):
+            first, j = rows[i], i + 1
+            end = first["offset"] + first["length"]
+            while j < len(rows) and rows[j]["shard"] == first["shard"] and first["offset"] <= rows[j]["offset"] <= end + 2 * tarfile.BLOCKSIZE:
+                upto = max(end, rows[j]["offset"] + rows[j]["length"])
+                if upto - first["offset"] > READ_BYTES:
+                    break
+                end, j = upto, j + 1
+            block = self.read(first["shard"], first["offset"], end - first["offset"])
+            for r in rows[i:j]:
+                at = r["offset"] - first["offset"]
+                yield r, block[at : at + r["length"]]
+            i = j
+
+
+def by_place(references: DataFrame) -> DataFrame:
+    """``references`` dealt and sorted by where their payloads are stored, so that reads follow each other
+    and as many tasks take part as the stored bytes need, however small the references are."""
+    size = references.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(shuffle_parts(references.sparkSession), -(-size // PIECE_BYTES))
+    return references.repartition(n, "shard", F.floor(F.col("offset") / PIECE_BYTES)).sortWithinPartitions("shard", "offset")
+
 
 def metadata(references: DataFrame) -> DataFrame:
     """``references`` with width, height and bit_depth, read from the members' headers only."""
@@ -190,7 +226,8 @@ def feature(samples: np.ndarray) -> str:
 
 def read_back(references: DataFrame) -> DataFrame:
     """Reads every member whole: payload length and digests, CRC of its last 32 bytes, media length
-    and digest, and ``feature``. Fails on a member that differs from its digest.
+    and digest, and ``feature``. Fails on a member that differs from its digest. Members that follow
+    each other in a shard, as ``by_place`` puts them, are read together. An empty table gives no rows.
     """
     schema = (
         "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint,"
@@ -202,9 +239,8 @@ def read_back(references: DataFrame) -> DataFrame:
         ranges, last = _Ranges(), ("", None)
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for r, image in ranges.members(batch.to_pylist()):
                 if last[0] != r["media_sha256"]:
-                    image = ranges.read(r["shard"], r["offset"], r["length"])
                     if hashlib.sha256(image).hexdigest() != r["media_sha256"]:
                         raise ValueError(f"{r['shard']} at {r['offset']}: content differs from its digest")
                     payload = decode_png(image)
@@ -231,4 +267,4 @@ def read_back(references: DataFrame) -> DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return read_back(metadata(store(docs, workspace(spark, "media"))))
+    return read_back(metadata(by_place(store(docs, workspace(spark, "media")))))
