@@ -15,7 +15,8 @@ from quillon.llm.common import materialize, workspace
 
 #: The trees are fitted on about so many labelled rows at most, chosen by a hash of page_id.
 MAX_TRAIN = 200_000
-#: Suffixes are counted in so many hash buckets, which bounds the table that is broadcast.
+#: Suffixes are counted in so many hash buckets, which bounds the table that is broadcast. Suffixes that
+#: share a bucket share their statistics: with 1,500 suffixes in use a rare one likely takes a common one's.
 SUFFIX_BUCKETS = 1024
 FEATURES = (
     "url_length", "host_length", "host_labels", "path_depth", "digit_ratio", "entropy", "parameters", "hyphens",
@@ -99,37 +100,55 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """bucket, suffix_log_count and smoothed suffix_block_rate: at most SUFFIX_BUCKETS rows."""
-    blocked = F.sum(F.when(F.col("ruled.verdict") == "block", 1).otherwise(0))
-    labelled = F.count("ruled.verdict")
+    """bucket, suffix_log_count and how many of its urls rules label and block: at most SUFFIX_BUCKETS rows."""
     return rows.groupBy("bucket").agg(
-        F.log1p(F.count(F.lit(1))).alias("suffix_log_count"), ((blocked + 1) / (labelled + 2)).alias("suffix_block_rate")
+        F.log1p(F.count(F.lit(1))).alias("suffix_log_count"),
+        F.count("ruled.verdict").alias("labelled"),
+        F.sum(F.when(F.col("ruled.verdict") == "block", 1).otherwise(0)).alias("blocked"),
     )
 
 
-def fit(rows: DataFrame, max_train: int = MAX_TRAIN, rounds: int = 12, depth: int = 4) -> GBTClassificationModel | None:
-    """Trees for "blocked" from the rows that rules label; None if these aren't of both kinds."""
+def with_suffixes(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """``rows`` with suffix_log_count and suffix_block_rate, the smoothed share of the *other* labelled
+    urls of the bucket that are blocked: a url's own label is left out of its features."""
+    own = F.when(F.col("ruled").isNotNull(), 1).otherwise(0)
+    own_block = F.when(F.col("ruled.verdict") == "block", 1).otherwise(0)
+    rate = (F.col("blocked") - own_block + 1) / (F.col("labelled") - own + 2)
+    return rows.join(F.broadcast(stats), "bucket").withColumn("suffix_block_rate", rate).drop("labelled", "blocked")
+
+
+def training_rows(rows: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame | None:
+    """FEATURES and label of about ``max_train`` of the rows that rules label, chosen by a hash of page_id
+    and written once, since every boosting pass reads them; None if labels aren't of both kinds."""
     labelled = rows.filter(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled.verdict") == "block").cast("double"))
     n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < blocked < n:
         return None
     if n > max_train:
         labelled = labelled.filter(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(labelled).select("features", "label")
+    return materialize(labelled.select(*FEATURES, "label"), workspace(rows.sparkSession, "url_labels"))
+
+
+def fit(rows: DataFrame, max_train: int = MAX_TRAIN, rounds: int = 12, depth: int = 4) -> GBTClassificationModel | None:
+    """Trees for "blocked" from the rows that rules label; None if these aren't of both kinds."""
+    some = training_rows(rows, max_train)
+    if some is None or some.agg(F.countDistinct("label")).first()[0] < 2:
+        return None
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(some).select("features", "label")
     return GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=7).fit(data)
 
 
 def judge(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for every row; rules first, else the trees.
 
-    Repeated rows are judged alike. Without labelled rows of both kinds, urls that no rule fits are
+    Repeated rows are judged alike and null page_ids like others; null urls count as empty. Without labelled rows of both kinds, urls that no rule fits are
     allowed with a null score. An empty table gives no rows.
     """
     spark = pages.sparkSession
     at = workspace(spark, "urls")
     rows = materialize(lexical(pages), f"{at}/lexical")
     stats = materialize(suffix_statistics(rows), f"{at}/suffixes")
-    rows = rows.join(F.broadcast(stats), "bucket")
+    rows = with_suffixes(rows, stats)
     model = fit(rows)
     if model is None:
         scored = rows.withColumn("block_score", F.lit(None).cast("double"))
