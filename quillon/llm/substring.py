@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ SEED = 8
 HOT = 16_384
 #: Words of distinct passages in one automaton, if a seed alone hasn't more.
 SHARD_WORDS = 50_000
-#: The largest reference that is broadcast, in words.
-MAX_REFERENCE_WORDS = 2_000_000
+#: Words of reference texts that are broadcast at once, if a text alone hasn't more.
+REFERENCE_WORDS = 2_000_000
 
 
 class SuffixAutomaton:
@@ -439,11 +440,6 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, digest: bool = False,
             out = [(rows[k]["batch"], a.tobytes(), b.tobytes()) for k, a, b in found]
         return pa.Table.from_batches([rows_of(_SPANS, out)])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
-            get = lambda c, r=r: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[c], np.int64) for x in r["answers"] or [])])
-            yield _results(undump(r["body"]), get("firsts"), get("lasts"), digest)
-
     sent = with_answers(packed, back).mapInArrow(send, _SENT_SQL)
     if d.groups == 1:
         found = d.dealt(sent, "bucket").mapInArrow(answer, _SPANS_SQL)
@@ -453,33 +449,72 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, digest: bool = False,
         spans_of = d.dealt(merged_passages, "bucket").mapInArrow(answer_groups, _GROUP_SPANS_SQL)
         by = ("bucket", "grp")
         found = sent.groupBy(*by).cogroup(spans_of.groupBy(*by)).applyInArrow(route, _SPANS_SQL)
-    with small_batches(spark):
-        out = materialize(with_answers(packed, found).mapInArrow(finish, _DIGEST_SQL if digest else _RESULT_SQL), f"{at}/out")
+    out = _finish(packed, found, digest, f"{at}/out")
     discard(spark, f"{at}/packed")
     return out
 
 
+def _finish(packed: DataFrame, found: DataFrame, digest: bool, path: str) -> DataFrame:
+    """The results of all packed documents without the ``found`` spans, written to ``path``."""
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in each_row(batches):
+            get = lambda c, r=r: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[c], np.int64) for x in r["answers"] or [])])
+            yield _results(undump(r["body"]), get("firsts"), get("lasts"), digest)
+
+    with small_batches(packed.sparkSession):
+        return materialize(with_answers(packed, found).mapInArrow(finish, _DIGEST_SQL if digest else _RESULT_SQL), path)
+
+
+def _reference_groups(reference: DataFrame, at: str) -> tuple[DataFrame, list[int]]:
+    """(grp, text) of the distinct texts, and the groups in use: dealt by hash until no group of several
+    texts has more than REFERENCE_WORDS words."""
+    n_words = F.size(F.split(F.trim("text"), r"[ \t-\r]+"))
+    texts = reference.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
+    texts = materialize(texts.select("text", n_words.cast("bigint").alias("n"), F.xxhash64("text").alias("h")), f"{at}/reference")
+    n = max(1, -(-(texts.agg(F.sum("n")).first()[0] or 0) // REFERENCE_WORDS))
+    while True:
+        grp = F.pmod("h", F.lit(n))
+        sizes = texts.groupBy(grp.alias("grp")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+        if not sizes.filter((F.col("n") > REFERENCE_WORDS) & (F.col("texts") > 1)).limit(1).count():
+            return texts.select(grp.alias("grp"), "text"), sorted(r["grp"] for r in sizes.select("grp").collect())
+        n *= 2
+
+
 def remove_reference(docs: DataFrame, reference: DataFrame, min_words: int = 13) -> DataFrame:
     """Removes every word of ``docs`` that lies in a run of at least ``min_words`` words that a text of
-    ``reference`` has. Columns as of ``remove_repeated``.
+    ``reference`` has. Columns and edge cases as of ``remove_repeated``; an empty reference removes nothing.
 
-    The reference's automata, in shards of SHARD_WORDS words, are broadcast; its size is checked and a
-    reference of more than MAX_REFERENCE_WORDS words is refused: run it in several calls.
+    The reference's automata, in shards of SHARD_WORDS words, are broadcast, as many as REFERENCE_WORDS
+    words give; a larger reference takes a pass over the documents for each such group.
     """
     spark = docs.sparkSession
-    sizes = reference.select(F.coalesce(F.sum(F.size(F.split(F.trim("text"), r"[ \t-\r]+"))), F.lit(0))).first()[0]
-    if sizes > MAX_REFERENCE_WORDS:
-        raise ValueError(f"the reference has {sizes} words; at most {MAX_REFERENCE_WORDS} are broadcast")
-    w = words(pa.array([r[0] for r in reference.select("text").collect()], pa.string()))
-    texts = [w.hashes[i:j].tolist() for i, j in zip(w.bounds, w.bounds[1:], strict=False) if j - i >= min_words]
-    shards, size = [[]], 0
-    for t in texts:
-        if size > SHARD_WORDS:
-            shards.append([])
-            size = 0
-        shards[-1].append(t)
-        size += len(t)
-    sent = spark.sparkContext.broadcast(shards)
+    at = workspace(spark, "reference")
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with small_batches(spark):
+        packed = pack(narrow, f"{at}/packed")
+    texts, groups = _reference_groups(reference, at)
+    found = [spark.createDataFrame([], _SPANS_SQL)]
+    for g in groups:
+        w = words(pa.array([r[0] for r in texts.filter(F.col("grp") == g).select("text").collect()], pa.string()))
+        shards: list[list[list[int]]] = [[]]
+        size = 0
+        for i, j in zip(w.bounds, w.bounds[1:], strict=False):
+            if j - i < min_words:
+                continue
+            if size > SHARD_WORDS:
+                shards.append([])
+                size = 0
+            shards[-1].append(w.hashes[i:j].tolist())
+            size += int(j - i)
+        sent = spark.sparkContext.broadcast(shards)
+        found.append(materialize(packed.mapInArrow(_reference_spans(sent, min_words), _SPANS_SQL), f"{at}/spans{g}"))
+        sent.destroy()
+    return _finish(packed, reduce(DataFrame.unionByName, found), False, f"{at}/out")
+
+
+def _reference_spans(sent, least: int):
+    """A mapInArrow function from packed batches to the spans that the broadcast shards match."""
     built: list[SuffixAutomaton] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,19 +524,19 @@ def remove_reference(docs: DataFrame, reference: DataFrame, min_words: int = 13)
                 for t in shard:
                     built[-1].add(t)
                 built[-1].finish()
-        for batch in batches:
-            w = words(batch["text"])
+        for r in each_row(batches):
+            w = words(undump(r["body"])["text"])
             firsts, lasts = [], []
             for i, j in zip(w.bounds, w.bounds[1:], strict=False):
                 text = w.hashes[i:j].tolist()
                 for automaton in built:
-                    for a, b in spans(automaton.statistics(text), min_words):
+                    for a, b in spans(automaton.statistics(text), least):
                         firsts.append(i + a)
                         lasts.append(i + b)
-            yield _results(batch, np.array(firsts, np.int64), np.array(lasts, np.int64), False)
+            if firsts:
+                yield rows_of(_SPANS, [(r["batch"], np.array(firsts, np.int64).tobytes(), np.array(lasts, np.int64).tobytes())])
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, _RESULT_SQL)
+    return run
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
