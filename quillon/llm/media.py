@@ -219,7 +219,7 @@ def feature(samples: np.ndarray) -> str:
     """Mean, deviation, entropy (bits) and mean absolute step of the samples, six decimals each."""
     counts = np.bincount(samples, minlength=256)
     share = counts[counts > 0] / len(samples)
-    entropy = float(-(share * np.log2(share)).sum())
+    entropy = float(-(share * np.log2(share)).sum()) + 0.0  # no negative zero
     step = float(np.abs(np.diff(samples.astype(np.int16))).mean())
     return f"mean={samples.mean():.6f};std={samples.std():.6f};entropy={entropy:.6f};step={step:.6f}"
 
