@@ -49,11 +49,12 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def shadow(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Runs over new tick files and appends order intents; places no orders."""
+    """Adds the bars of new tick files to the cache and appends paper fills to the ledger; places no orders."""
     schema = "symbol string, ts timestamp, price double, volume double, turnover double, tie bigint"
     bars = live.streaming_bars(spark.readStream.schema(schema).parquet(args.ticks), interval(args.interval))
-    intents = live.order_intents(live.recursive_features(bars))
-    live.append_to(intents, f"{args.out}/intents", f"{args.out}/checkpoint", once=args.once).awaitTermination()
+    model = MetaModel.load(args.model) if args.model else None
+    settings = _settings(args)
+    live.shadow_ledger(bars, args.bars, f"{args.out}/ledger", f"{args.out}/checkpoint", settings, model, once=args.once).awaitTermination()
 
 
 def main(argv: list[str] | None = None) -> None:

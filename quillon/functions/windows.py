@@ -87,6 +87,19 @@ def cumulative(x: Column) -> Column:
     return F.sum(x).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
 
 
+def compounded(x: Column, frame: WindowSpec) -> Column:
+    """Running product of 1 + x over ``frame``; 0 from the first x of -1 or less on."""
+    lost = F.max((x <= -1).cast("int")).over(frame)
+    return F.when(lost == 1, 0.0).otherwise(F.exp(F.sum(F.log1p(F.when(x > -1, x))).over(frame)))
+
+
+def running_product(x: Column, frame: WindowSpec) -> Column:
+    """Product of x over ``frame``, whatever its sign."""
+    size = F.exp(F.sum(F.ln(F.when(x != 0, F.abs(x)))).over(frame))
+    odd = F.sum((x < 0).cast("int")).over(frame) % 2 == 1
+    return F.when(F.max((x == 0).cast("int")).over(frame) == 1, 0.0).when(odd, -size).otherwise(size)
+
+
 def row_no() -> Column:
     """Number of a row within its symbol, from 0."""
     return F.row_number().over(by_time()) - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.windows import by_time, bfill, ffill, row_no
+from quillon.functions.windows import bfill, by_time, compounded, ffill, ratio, row_no
 from quillon.operators import recursions as R
 from quillon.operators.labels import band_join
 from quillon.params import BacktestConfig
@@ -96,9 +96,9 @@ def trade_ledger(trades: DataFrame, bars: DataFrame, cfg: BacktestConfig) -> Dat
     df = df.withColumn("size_frac", F.least(cfg.risk_per_trade / F.greatest("sl_frac", F.lit(1e-4)), F.lit(cfg.max_leverage)))
     growth = F.col("size_frac") * F.col("net_ret")
     order = Window.partitionBy("symbol").orderBy("e")
-    # equity is a running product; a loss of everything (growth <= -1) would end it at 0
-    logs = F.sum(F.log1p(F.when(growth > -1, growth).otherwise(-0.999999999))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("equity_after", cfg.starting_equity * F.exp(logs))
+    # a loss of everything ends the equity at 0
+    grown = compounded(growth, order.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("equity_after", cfg.starting_equity * grown)
     before = F.coalesce(F.lag("equity_after").over(order), F.lit(cfg.starting_equity))
     return df.withColumn("pnl", F.col("equity_after") - before).select(
         "symbol", "entry_time", "exit_time", F.col("side").cast("int").alias("side"), F.col("mode").cast("int").alias("mode"), "entry", "exit", "atr_frac",
@@ -118,7 +118,7 @@ def equity_curve(ledger: DataFrame, bars: DataFrame, cfg: BacktestConfig) -> Dat
     future = F.first("equity_after", ignorenulls=True).over(by_time().rowsBetween(1, Window.unboundedFollowing))
     value = F.coalesce(future, past) if cfg.equity_stamp == "reference" else past
     df = df.withColumn("equity", F.coalesce(value, F.lit(cfg.starting_equity)))
-    change = F.col("equity") / F.lag("equity").over(by_time()) - 1
+    change = ratio(F.col("equity"), F.lag("equity").over(by_time())) - 1
     return df.select("symbol", "ts", "equity", F.coalesce(change, F.lit(0.0)).alias("ret"))
 
 
@@ -126,7 +126,7 @@ def performance(curve: DataFrame, ledger: DataFrame, cfg: BacktestConfig) -> Dat
     """One row per symbol with a trade: n_trades, sharpe, sortino, max_drawdown, cagr, calmar, win_rate,
     profit_factor, avg_trade_ret and, by mode, *_n, *_win, *_mean_ret. All but n_trades are NULL where
     returns don't vary; profit_factor is NULL without losses."""
-    grown = F.exp(F.sum(F.log1p("ret")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
+    grown = compounded(F.col("ret"), by_time().rowsBetween(Window.unboundedPreceding, 0))
     df = curve.withColumn("__eq", grown)
     df = df.withColumn("__dd", F.col("__eq") / F.max("__eq").over(by_time().rowsBetween(Window.unboundedPreceding, 0)) - 1)
     by_bar = df.groupBy("symbol").agg(

@@ -378,23 +378,22 @@ def with_parameter_names(matrix: DataFrame, params: FeatureParams | None = None)
 
 
 def min_stationary_d(bars: DataFrame, level: float = 0.05, grid: tuple[float, ...] = tuple(i / 10 for i in range(11))) -> DataFrame:
-    """(symbol, d, statistic): the smallest d of the grid whose differenced close passes an augmented
-    Dickey-Fuller test (constant, one lag) at ``level``; 1.0 and no statistic if none does."""
-    # critical values of the test with a constant, for large samples
-    critical = {0.01: -3.43, 0.05: -2.86, 0.10: -2.57}[level]
+    """(symbol, d, statistic, p_value): the smallest d of the grid whose differenced close passes an
+    augmented Dickey-Fuller test (constant, one lag) at ``level``; 1.0 and no statistic if none does."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         close = pdf.sort_values("ts")["close"].to_numpy()
-        found = (1.0, np.nan)
+        found = (1.0, np.nan, np.nan)
         for d in grid:
             x = R.frac_diff(close, d)
             x = x[~np.isnan(x)]
             if len(x) < 100:
                 continue
             statistic = R.adf_statistic(x)
-            if statistic < critical:
-                found = (d, statistic)
+            p = R.adf_p_value(statistic)
+            if p < level:
+                found = (d, statistic, p)
                 break
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "d": [found[0]], "statistic": [found[1]]})
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "d": [found[0]], "statistic": [found[1]], "p_value": [found[2]]})
 
-    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, d double, statistic double")
+    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, d double, statistic double, p_value double")

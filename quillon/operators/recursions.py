@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -222,6 +223,17 @@ def gaussian_regimes(returns: np.ndarray, n_states: int = 3, rounds: int = 50, s
     return np.argsort(np.argsort(var[:, 0]))[path].astype(float)
 
 
+def adf_p_value(statistic: float) -> float:
+    """Asymptotic probability of a statistic this low under a unit root, for a test with a constant:
+    MacKinnon's (1994) polynomials, whose limits and coefficients are fixed values."""
+    if statistic > 2.74:
+        return 1.0
+    if statistic < -18.83:
+        return 0.0
+    small, large = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+    return NormalDist().cdf(sum(c * statistic**k for k, c in enumerate(small if statistic <= -1.61 else large)))
+
+
 def adf_statistic(x: np.ndarray) -> float:
     """t statistic of the level in a regression of changes on level, last change and constant."""
     change = np.diff(x)

@@ -49,21 +49,27 @@ def value_at_risk(returns: DataFrame, n: int = 500, level: float = 0.05) -> Data
 def correlations(returns: DataFrame, n: int = 500) -> DataFrame:
     """(a, b, rows, corr) of each two symbols' last n returns at common times, a < b."""
     last = tail(returns, n)
-    left = last.select("ts", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    right = last.select("ts", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    return left.join(right, "ts").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("rows"), F.corr("x", "y").alias("corr"))
+    return _correlated(last, last, F.col("a") < F.col("b"))
+
+
+def _correlated(left: DataFrame, right: DataFrame, pairs: Column) -> DataFrame:
+    left = left.select("ts", F.col("symbol").alias("a"), F.col("ret").alias("x"))
+    right = right.select("ts", F.col("symbol").alias("b"), F.col("ret").alias("y"))
+    return left.join(right, "ts").filter(pairs).groupBy("a", "b").agg(F.count(F.lit(1)).alias("rows"), F.corr("x", "y").alias("corr"))
 
 
 def open_reasons(wanted: DataFrame, held: DataFrame, returns: DataFrame, halted: bool = False, limits: RiskLimits | None = None) -> DataFrame:
     """``wanted`` (symbol, side) with ok and reason, given ``held`` positions (symbol, side).
 
     In this order: halted; too many positions; already open; correlated with a position of the same
-    side (50 common returns at least); value at risk too large (100 returns at least).
+    side (50 common returns at least); value at risk too large (100 returns at least). Only wanted
+    symbols are compared, and only with held ones.
     """
     lim = limits or RiskLimits()
     n_held = held.count()
-    pairs = correlations(returns)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "rows", "corr"))
+    recent = tail(returns)
+    of = lambda positions: recent.join(positions.select("symbol").distinct(), "symbol", "left_semi")
+    both = _correlated(of(wanted), of(held), F.col("a") != F.col("b"))
     own = held.select(F.col("symbol").alias("b"), F.col("side").alias("held_side"))
     near = both.filter((F.col("rows") >= 50) & (F.abs("corr") >= lim.correlation_cap)).join(own, "b")
     near = wanted.join(near, F.col("symbol") == F.col("a")).filter("side = held_side").groupBy("symbol", "side").agg(F.min("b").alias("__near"))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.windows import ratio, running_product
+
 #: Euler-Mascheroni constant (fixed value).
 EULER = 0.5772156649
 
@@ -107,12 +109,17 @@ def sharpe_probabilities(returns: DataFrame, n_trials: int, variance: float) ->
     return moments.mapInPandas(run, "symbol string, sr double, psr double, dsr double")
 
 
-def overfitting_probability(returns: DataFrame, halves: int = 4) -> DataFrame:
+def sharpe_score(n: Column, total: Column, squares: Column) -> Column:
+    """Mean over deviation of n returns, from their sum and sum of squares."""
+    return (total / n) / (F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))) + 1e-9)
+
+
+def overfitting_probability(returns: DataFrame, halves: int = 4, score_fn: Callable[[Column, Column, Column], Column] = sharpe_score) -> DataFrame:
     """(pbo, n_combinations) of a long strategy matrix (t, strategy, ret), with t from 0.
 
     Time is cut into 2 * halves equal blocks, the rest is dropped. Each block gives sums for every
-    strategy; a combination's scores follow from those, so that data are read once. The first
-    strategy by name wins ties.
+    strategy; a combination's scores follow from those by ``score_fn``, so that data are read once. The
+    first strategy by name wins ties.
     """
     blocks = 2 * halves
     sizes = returns.agg(F.countDistinct("strategy").alias("n"), (F.max("t") + 1).alias("len"))
@@ -129,8 +136,7 @@ def overfitting_probability(returns: DataFrame, halves: int = 4) -> DataFrame:
     per = each.groupBy("combo", "strategy").agg(*(pick(c, m).alias(f"{c}{i}") for i, m in enumerate((side, ~side)) for c in ("n", "s", "q")))
 
     def score(i: int):
-        n, s, q = F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"q{i}")
-        return (s / n) / (F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))) + 1e-9)
+        return score_fn(F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"q{i}"))
 
     scored = per.select("combo", "strategy", score(0).alias("train"), score(1).alias("test"))
     first = Window.partitionBy("combo").orderBy(F.desc("train"), "strategy")
@@ -139,24 +145,34 @@ def overfitting_probability(returns: DataFrame, halves: int = 4) -> DataFrame:
     return ranks.agg(F.avg((F.col("rank") <= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_combinations"))
 
 
-def bootstrap(spark: SparkSession, trade_returns: np.ndarray, n_sims: int = 2000, horizon: int | None = None, seed: int = 42) -> DataFrame:
-    """One row of statistics of resampled trade sequences: mean, median, 5 % and 95 % final return, 5 %
-    and mean drawdown. Each simulation has its own seed, so that results don't depend on partitions."""
-    names = ("mean_ret", "median_ret", "p5_ret", "p95_ret", "p5_dd", "mean_dd")
-    trades = np.asarray(trade_returns, float)
-    if not len(trades):
-        return spark.range(1).select(*(F.lit(0.0).alias(n) for n in names))
-    length = horizon or len(trades)
+def _drawn(seed: int, n: int) -> Column:
+    """A number below n for each (sim, pos), the same wherever it is computed."""
+    key = F.concat_ws("-", F.lit(str(seed)), "sim", "pos")
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint") % n
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                grown = np.cumprod(1 + np.random.default_rng([seed, i]).choice(trades, length))
-                out.append((grown[-1] - 1, (grown / np.maximum.accumulate(grown) - 1).min()))
-            yield pd.DataFrame(out, columns=["final", "dd"])
 
-    sims = spark.range(n_sims).mapInPandas(run, "final double, dd double")
+def bootstrap(trades: DataFrame, n_sims: int = 2000, horizon: int | None = None, seed: int = 42) -> DataFrame:
+    """One row of statistics of resampled trade sequences: mean, median, 5 % and 95 % final return, 5 %
+    and mean drawdown. ``trades``: (symbol, e, net_ret), numbered in the order of symbol and e.
+
+    Every draw is a row, joined to the trade it draws; a simulation is one window. No trades give zeros.
+    """
+    names = ("mean_ret", "median_ret", "p5_ret", "p95_ret", "p5_dd", "mean_dd")
+    spark, n = trades.sparkSession, trades.count()
+    if not n:
+        return spark.range(1).select(*(F.lit(0.0).alias(c) for c in names))
+    length = horizon or n
+    # one row for each symbol
+    sizes = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("symbol").orderBy("e")) - 1
+    numbered = trades.withColumn("__row", inside).join(sizes.select("symbol", before.alias("__before")), "symbol")
+    numbered = numbered.select((F.col("__before") + F.col("__row")).cast("bigint").alias("i"), "net_ret")
+    draws = spark.range(n_sims * length).select(F.expr(f"id div {length}").alias("sim"), (F.col("id") % length).alias("pos"))
+    path = Window.partitionBy("sim").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sims = draws.withColumn("i", _drawn(seed, n)).join(numbered, "i").withColumn("grown", running_product(1 + F.col("net_ret"), path))
+    sims = sims.withColumn("dd", ratio(F.col("grown"), F.max("grown").over(path)) - 1)
+    sims = sims.groupBy("sim").agg((F.max_by("grown", "pos") - 1).alias("final"), F.coalesce(F.min("dd"), F.lit(0.0)).alias("dd"))
     at = lambda c, q: F.percentile(c, F.lit(q))
     return sims.agg(
         F.avg("final").alias("mean_ret"), at("final", 0.5).alias("median_ret"), at("final", 0.05).alias("p5_ret"), at("final", 0.95).alias("p95_ret"), at("dd", 0.05).alias("p5_dd"), F.avg("dd").alias("mean_dd")

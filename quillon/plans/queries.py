@@ -302,7 +302,32 @@ def q27_regime_score_pct_rank(spark: SparkSession, d: str) -> DataFrame:
     return df.select("symbol", "ts", "regime_code", "is_trend_up", "is_trend_dn", "is_range", "is_chop", F.round("bb_width_pctl", 6).alias("bb_width_pctl"))
 
 
-@query()
+_ZIGZAG = f"""{with_atr()}, zs AS MATERIALIZED (SELECT symbol, n, ts, high, low, close, first_value(atr_14 IGNORE NULLS) OVER {frame('CURRENT ROW', 'UNBOUNDED FOLLOWING')} AS rev FROM atr),
+zz AS (
+  SELECT symbol, n, 0 AS leg, close AS best, n AS pv, CAST(NULL AS BIGINT) AS up_pv, CAST(NULL AS DOUBLE) AS up_price, CAST(NULL AS BIGINT) AS dn_pv, CAST(NULL AS DOUBLE) AS dn_price
+  FROM zs WHERE n = 1
+  UNION ALL
+  SELECT symbol, n, CASE WHEN turn2 THEN 1 ELSE leg END, CASE WHEN ext2 THEN low WHEN turn2 THEN high ELSE best END, CASE WHEN ext2 OR turn2 THEN n ELSE pv END,
+         up_pv, up_price, CASE WHEN turn2 THEN pv END, CASE WHEN turn2 THEN best END
+  FROM (
+    SELECT *, coalesce(leg <> 1 AND low < best, false) AS ext2, coalesce(leg <> 1 AND NOT low < best AND high - best > rev, false) AS turn2
+    FROM (
+      SELECT symbol, n, high, low, rev, CASE WHEN turn1 THEN -1 ELSE leg END AS leg, CASE WHEN ext1 THEN high WHEN turn1 THEN low ELSE best END AS best,
+             CASE WHEN ext1 OR turn1 THEN n ELSE pv END AS pv, CASE WHEN turn1 THEN pv END AS up_pv, CASE WHEN turn1 THEN best END AS up_price
+      FROM (
+        SELECT s.*, z.leg, z.best, z.pv, z.leg <> -1 AND s.high > z.best AS ext1, coalesce(z.leg <> -1 AND NOT s.high > z.best AND z.best - s.low > s.rev, false) AS turn1
+        FROM zz z JOIN zs s ON s.symbol = z.symbol AND s.n = z.n + 1
+      )
+    )
+  )
+), zf AS (
+  SELECT symbol, n, up_pv AS pv, up_price AS price, 1 AS kind FROM zz WHERE up_pv IS NOT NULL
+  UNION ALL SELECT symbol, n, dn_pv, dn_price, -1 FROM zz WHERE dn_pv IS NOT NULL
+)"""
+
+
+@query(f"""{EVENT_BARS}, {_ZIGZAG}, zo AS (SELECT *, row_number() OVER (PARTITION BY symbol, pv ORDER BY n, kind DESC) AS k FROM zf)
+SELECT o.symbol, a.ts, c.ts AS confirmed, o.price, o.kind FROM zo o JOIN zs a ON a.symbol = o.symbol AND a.n = o.pv JOIN zs c ON c.symbol = o.symbol AND c.n = o.n WHERE k = 1""")
 def q28_zigzag(spark: SparkSession, d: str) -> DataFrame:
     return features.zigzag_pivots(features.add_atr(hourly(spark, d)), 1.0)
 
@@ -408,14 +433,14 @@ def q42_cusum_events(spark: SparkSession, d: str) -> DataFrame:
     return labels.cusum_events(vwap(spark, d))
 
 
-def _label_events(bars: DataFrame, each: int = 1) -> DataFrame:
-    """Every bar, or every ``each``-th, with 20-bar deviation over mean as target."""
-    df = bars.withColumns({"n": F.row_number().over(W.by_time()), "m": W.rolling(F.avg, F.col("close"), 20), "s": W.rolling(F.stddev_samp, F.col("close"), 20)})
-    return df.filter((F.col("n") % each == 0) & F.col("s").isNotNull()).select("symbol", "ts", (F.col("s") / F.col("m")).alias("target_vol"))
+def _label_events(bars: DataFrame) -> DataFrame:
+    """Every bar, with 20-bar deviation over mean as target."""
+    df = bars.withColumns({"m": W.rolling(F.avg, F.col("close"), 20), "s": W.rolling(F.stddev_samp, F.col("close"), 20)})
+    return df.filter(F.col("s").isNotNull()).select("symbol", "ts", (F.col("s") / F.col("m")).alias("target_vol"))
 
 
 _LABELS = f"""nb AS MATERIALIZED (SELECT symbol, ts, close, row_number() OVER {LAG} AS n, {roll('avg', 'close', 20)} AS m, {roll('stddev_samp', 'close', 20)} AS s FROM bars),
-evs AS (SELECT symbol, ts, n AS e, close AS c0, 2.0 * greatest(s / m, 0.0005) AS pt, -1.0 * greatest(s / m, 0.0005) AS sl FROM nb WHERE n % 5 = 0 AND s IS NOT NULL),
+evs AS (SELECT symbol, ts, n AS e, close AS c0, 2.0 * greatest(s / m, 0.0005) AS pt, -1.0 * greatest(s / m, 0.0005) AS sl FROM nb WHERE s IS NOT NULL),
 pa AS (SELECT v.symbol, v.ts, v.pt, v.sl, b.n, b.ts AS at, b.close / c0 - 1 AS r FROM evs v JOIN nb b ON b.symbol = v.symbol AND b.n BETWEEN e AND e + 48),
 ag AS (SELECT symbol, ts, pt, sl, min(n) FILTER (r >= pt) AS un, min(n) FILTER (r <= sl) AS dn, max(n) AS en, count(*) AS c FROM pa GROUP BY ALL),
 hi AS (SELECT *, CASE WHEN un IS NOT NULL AND (dn IS NULL OR un <= dn) THEN un WHEN dn IS NOT NULL THEN dn ELSE en END AS hn, CASE WHEN un IS NOT NULL AND (dn IS NULL OR un <= dn) THEN 1.0::DOUBLE WHEN dn IS NOT NULL THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS bin FROM ag WHERE c >= 2),
@@ -423,16 +448,16 @@ lb AS MATERIALIZED (SELECT h.symbol, h.ts, p.at AS t1, p.r AS ret, bin, h.pt, h.
 
 
 @query(f"{VWAP}, {_LABELS} SELECT symbol, ts, t1, {r(6, 'ret', 'pt', 'sl')}, bin FROM lb")
-def q43_triple_barrier(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def q43_triple_barrier(spark: SparkSession, d: str) -> DataFrame:
     bars = vwap(spark, d)
-    df = labels.triple_barrier(bars, _label_events(bars, 1 if whole else 5))
+    df = labels.triple_barrier(bars, _label_events(bars))
     return df.select("symbol", "ts", "t1", *(F.round(c, 6).alias(c) for c in ("ret", "pt", "sl")), "bin")
 
 
 @query(f"{VWAP}, {_LABELS} SELECT symbol, CAST(bin = 1 AS INT) AS y, count(*) AS n FROM lb GROUP BY ALL")
-def q44_meta_target(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def q44_meta_target(spark: SparkSession, d: str) -> DataFrame:
     bars = vwap(spark, d)
-    df = labels.meta_target(labels.triple_barrier(bars, _label_events(bars, 1 if whole else 5)))
+    df = labels.meta_target(labels.triple_barrier(bars, _label_events(bars)))
     return df.groupBy("symbol", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -528,21 +553,19 @@ def q57_kelly_vol_target_size(spark: SparkSession, d: str) -> DataFrame:
 _CFG = BacktestConfig(bars_per_year=252)
 
 
-def _candidates(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Numbered bars and, on every third of them, a side by the 20-bar mean, a mode (0 or 1) and a scaled
-    range as ATR; with ``whole`` on each bar that has a side, with all three modes."""
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Numbered bars and, on each that has a side by the 20-bar mean, that side, a mode (0, 1 or 2) and a
+    scaled range as ATR."""
     bars = _sides(vwap(spark, d)).withColumn("n", W.row_no()).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     atr = F.greatest((F.col("high") - F.col("low")) / F.col("close") / 40, F.lit(1e-4))
     rows = bars.filter("primary_side <> 0 AND n < rows - 2")
     mode = F.col("n") % 3
-    if not whole:
-        rows, mode = rows.filter("n % 3 = 0"), mode + F.col("n") % 2
     return bars, rows.select("symbol", F.col("n").alias("e"), F.col("primary_side").alias("side"), mode.cast("int").alias("mode"), atr.alias("atr_frac"))
 
 
 _RT = _CFG.round_trip
 _CAND = f"""{_SIDES}, nb AS MATERIALIZED (SELECT *, row_number() OVER {LAG} - 1 AS n, count(*) OVER (PARTITION BY symbol) AS cnt FROM sd),
-ca AS (SELECT symbol, n AS e, close AS c0, side, CAST(n % 3 + n % 2 AS INT) AS mode, greatest((high - low) / close / 40, 1e-4) AS atr FROM nb WHERE n % 3 = 0 AND side <> 0 AND n < cnt - 2),
+ca AS (SELECT symbol, n AS e, close AS c0, side, CAST(n % 3 AS INT) AS mode, greatest((high - low) / close / 40, 1e-4) AS atr FROM nb WHERE side <> 0 AND n < cnt - 2),
 cb AS (SELECT *, CASE mode WHEN 1 THEN 3.0 WHEN 2 THEN 1.5 ELSE 2.0 END * atr AS pt0, CASE mode WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 ELSE 1.0 END * atr AS sl0, CASE mode WHEN 1 THEN 72 WHEN 2 THEN 24 ELSE 48 END AS hold FROM ca),
 cc AS (SELECT *, pt0 - {_RT!r} <= 0 OR (pt0 - {_RT!r}) / greatest(sl0 + {_RT!r}, 1e-9) < 1.3 AS poor, 1.3 * (sl0 + {_RT!r}) + {_RT!r} AS need FROM cb),
 cd0 AS (SELECT *, CASE WHEN poor THEN need ELSE pt0 END AS pt1 FROM cc WHERE NOT poor OR need / atr <= 6),
@@ -550,8 +573,8 @@ pn AS MATERIALIZED (SELECT *, pt1 * CASE WHEN pt1 < 0.003 THEN 0.003 / greatest(
 
 
 @query(f"{VWAP}, {_CAND} SELECT symbol, e, mode, hold, round(pt, 8) AS pt_frac, round(sl, 8) AS sl_frac FROM pn")
-def q54_cost_adjusted_rr_gate(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    df = backtest.barrier_plan(_candidates(spark, d, whole)[1].withColumn("e", F.col("e").cast("bigint")), _CFG)
+def q54_cost_adjusted_rr_gate(spark: SparkSession, d: str) -> DataFrame:
+    df = backtest.barrier_plan(_candidates(spark, d)[1].withColumn("e", F.col("e").cast("bigint")), _CFG)
     return df.select("symbol", "e", "mode", "hold", F.round("pt_frac", 8).alias("pt_frac"), F.round("sl_frac", 8).alias("sl_frac"))
 
 
@@ -563,14 +586,14 @@ rs AS MATERIALIZED (SELECT h.symbol, h.e, h.side, h.mode, h.atr, h.pt, h.sl, x A
   FROM ph h JOIN px ON px.symbol = h.symbol AND px.e = h.e AND px.x = h.n)"""
 
 
-def _resolved(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    bars, rows = _candidates(spark, d, whole)
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    bars, rows = _candidates(spark, d)
     return bars, backtest.resolve_barriers(backtest.barrier_plan(rows, _CFG), bars.select("symbol", "n", "close"), _CFG)
 
 
 @query(f"{VWAP}, {_CAND}, {_RESOLVE} SELECT symbol, e, exit_n, barrier, round(gross, 8) AS gross_ret FROM rs")
-def q55_barrier_resolution_trailing(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _resolved(spark, d, whole)[1].select("symbol", F.col("e").cast("bigint").alias("e"), F.col("exit_n").cast("bigint").alias("exit_n"), "barrier", F.round("gross_ret", 8).alias("gross_ret"))
+def q55_barrier_resolution_trailing(spark: SparkSession, d: str) -> DataFrame:
+    return _resolved(spark, d)[1].select("symbol", F.col("e").cast("bigint").alias("e"), F.col("exit_n").cast("bigint").alias("exit_n"), "barrier", F.round("gross_ret", 8).alias("gross_ret"))
 
 
 _SINGLE = f"""{numbered('tq', 'e, exit_n', '(SELECT *, e AS ts FROM rs)')},
@@ -580,15 +603,15 @@ td1 AS (SELECT t.*, a.ts AS t0, b.ts AS t9, gross - {_RT!r} - date_diff('hour',
 td AS MATERIALIZED (SELECT *, 10000 * exp(sum(ln(1 + size * net)) OVER (PARTITION BY symbol ORDER BY e)) AS eq FROM td1)"""
 
 
-def _ledger(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    bars, rows = _resolved(spark, d, whole)
+def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    bars, rows = _resolved(spark, d)
     numbered_bars = bars.select("symbol", "n", "ts", "close")
     return numbered_bars, backtest.trade_ledger(backtest.one_position(rows), numbered_bars, _CFG)
 
 
 @query(f"{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE} SELECT symbol, t0 AS entry_time, t9 AS exit_time, side, mode, barrier, round(net, 7) AS net_ret, round(size, 6) AS size_frac, round(eq, 2) AS equity_after FROM td")
-def q58_single_position_trades(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    df = _ledger(spark, d, whole)[1]
+def q58_single_position_trades(spark: SparkSession, d: str) -> DataFrame:
+    df = _ledger(spark, d)[1]
     return df.select("symbol", "entry_time", "exit_time", "side", "mode", "barrier", F.round("net_ret", 7).alias("net_ret"), F.round("size_frac", 6).alias("size_frac"), F.round("equity_after", 2).alias("equity_after"))
 
 
@@ -598,8 +621,8 @@ ec AS MATERIALIZED (SELECT symbol, ts, equity, coalesce(equity / {lag('equity')}
 
 
 @query(f"{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE}, {_CURVE} SELECT symbol, ts, round(equity, 2) AS equity, round(ret, 7) AS ret FROM ec")
-def q59_equity_curve(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    bars, ledger = _ledger(spark, d, whole)
+def q59_equity_curve(spark: SparkSession, d: str) -> DataFrame:
+    bars, ledger = _ledger(spark, d)
     df = backtest.equity_curve(ledger, bars, _CFG)
     return df.select("symbol", "ts", F.round("equity", 2).alias("equity"), F.round("ret", 7).alias("ret"))
 
@@ -610,8 +633,8 @@ b AS (SELECT symbol, count(*) AS n_trades, avg(CAST(net > 0 AS INT)) AS win, sum
 c AS (SELECT *, power(fin, 252.0 / n) - 1 AS cagr FROM a JOIN b USING (symbol))
 SELECT symbol, n_trades, round(m / s * sqrt(252.0), 5) AS sharpe, round(m / dn * sqrt(252.0), 5) AS sortino, round(dd, 6) AS max_drawdown, round(cagr, 6) AS cagr, round(cagr / abs(nullif(dd, 0)), 5) AS calmar,
   round(win, 6) AS win_rate, round(coalesce(gain, 0) / nullif(loss, 0), 5) AS profit_factor, round(mn, 7) AS avg_trade_ret FROM c""")
-def q50_performance_stats(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    bars, ledger = _ledger(spark, d, whole)
+def q50_performance_stats(spark: SparkSession, d: str) -> DataFrame:
+    bars, ledger = _ledger(spark, d)
     df = backtest.performance(backtest.equity_curve(ledger, bars, _CFG), ledger, _CFG)
     places = {"sharpe": 5, "sortino": 5, "max_drawdown": 6, "cagr": 6, "calmar": 5, "win_rate": 6, "profit_factor": 5, "avg_trade_ret": 7}
     return df.select("symbol", "n_trades", *(F.round(c, n).alias(c) for c, n in places.items()))
@@ -619,10 +642,10 @@ def q50_performance_stats(spark: SparkSession, d: str, whole: bool = False) -> D
 
 @query(f"""{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE} SELECT symbol, mode, count(*) AS n, round(avg(CAST(net > 0 AS INT)), 6) AS win, round(avg(net), 7) AS mean_ret,
   round(coalesce(sum(net) FILTER (net > 0), 0) / nullif(-sum(net) FILTER (net < 0), 0), 5) AS profit_factor FROM td GROUP BY ALL""")
-def q53_profit_factor_by_mode(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def q53_profit_factor_by_mode(spark: SparkSession, d: str) -> DataFrame:
     net = F.col("net_ret")
     losses = -F.sum(F.when(net < 0, net))
-    return _ledger(spark, d, whole)[1].groupBy("symbol", "mode").agg(
+    return _ledger(spark, d)[1].groupBy("symbol", "mode").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg((net > 0).cast("double")), 6).alias("win"),
         F.round(F.avg(net), 7).alias("mean_ret"),
@@ -668,15 +691,8 @@ def q56_pbo_cscv(spark: SparkSession, d: str) -> DataFrame:
 # --- joins ---------------------------------------------------------------------------------------
 
 
-@query(f"{BARS}, {_RET} SELECT a.ts, round(a.log_ret, 8) AS a, round(n.log_ret, 8) AS n FROM r a JOIN r n ON a.ts = n.ts WHERE a.symbol = 'A' AND n.symbol = 'N'")
-def q60_aligned_returns_join(spark: SparkSession, d: str) -> DataFrame:
-    df = features.add_returns(daily(spark, d)).select("symbol", "ts", F.round("log_ret", 8).alias("x"))
-    one = lambda s, c: df.filter(F.col("symbol") == s).select("ts", F.col("x").alias(c))
-    return one("A", "a").join(one("N", "n"), "ts")
-
-
 @query(f"{BARS}, {_RET} SELECT x.symbol, y.symbol AS other, x.ts, round(x.log_ret, 8) AS ret, round(y.log_ret, 8) AS other_ret FROM r x JOIN r y ON x.ts = y.ts AND x.symbol < y.symbol")
-def q60_aligned_returns_join_all(spark: SparkSession, d: str) -> DataFrame:
+def q60_aligned_returns_join(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of symbols."""
     df = features.add_returns(daily(spark, d)).select("symbol", "ts", F.round("log_ret", 8).alias("ret"))
     others = df.select(F.col("symbol").alias("other"), "ts", F.col("ret").alias("other_ret"))
@@ -733,11 +749,10 @@ def q66_vertical_barrier(spark: SparkSession, d: str) -> DataFrame:
     return labels.vertical_barriers(bars, labels.cusum_events(bars))
 
 
-@query(f"{BARS}, a AS (SELECT symbol, close, row_number() OVER {LAG} - 1 AS n FROM bars) SELECT x.symbol, x.n AS e, count(*) AS len, round(max(y.close), 4) AS top FROM a x JOIN a y ON y.symbol = x.symbol AND y.n BETWEEN x.n AND x.n + 24 WHERE x.n % 7 = 0 GROUP BY ALL")
-def q67_band_join_paths(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+@query(f"{BARS}, a AS (SELECT symbol, close, row_number() OVER {LAG} - 1 AS n FROM bars) SELECT x.symbol, x.n AS e, count(*) AS len, round(max(y.close), 4) AS top FROM a x JOIN a y ON y.symbol = x.symbol AND y.n BETWEEN x.n AND x.n + 24 GROUP BY ALL")
+def q67_band_join_paths(spark: SparkSession, d: str) -> DataFrame:
     bars = daily(spark, d).select("symbol", "close", W.row_no().alias("n"))
-    starts = bars if whole else bars.filter("n % 7 = 0")
-    paths = labels.band_join(starts.select("symbol", F.col("n").alias("e")), bars, 24)
+    paths = labels.band_join(bars.select("symbol", F.col("n").alias("e")), bars, 24)
     return paths.groupBy("symbol", F.col("e").cast("bigint").alias("e")).agg(F.count(F.lit(1)).alias("len"), F.round(F.max("close"), 4).alias("top"))
 
 
@@ -775,11 +790,16 @@ def q72_psr_dsr(spark: SparkSession, d: str) -> DataFrame:
     return validation.sharpe_probabilities(_returns(spark, d), 20, 0.01)
 
 
-@query()
+@query(f"""{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE}, tn AS MATERIALIZED (SELECT row_number() OVER (ORDER BY symbol, e) - 1 AS i, net FROM td), nn AS (SELECT count(*) AS n FROM tn),
+dp AS (SELECT sim, n, unnest(range(n)) AS pos FROM range(2000) x(sim), nn),
+dr AS (SELECT sim, pos, CAST('0x' || substr(md5('42-' || sim || '-' || pos), 1, 8) AS BIGINT) % n AS i FROM dp),
+gr AS (SELECT sim, pos, exp(sum(ln(abs(1 + net))) OVER w) * CASE WHEN sum(CAST(net < -1 AS INT)) OVER w % 2 = 1 THEN -1 ELSE 1 END AS g
+  FROM dr JOIN tn USING (i) WINDOW w AS (PARTITION BY sim ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+gd AS (SELECT *, g / max(g) OVER (PARTITION BY sim ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM gr), fi AS (SELECT sim, arg_max(g, pos) - 1 AS final, min(dd) AS dd FROM gd GROUP BY sim)
+SELECT {r(6, 'mean_ret=avg(final)', 'median_ret=quantile_cont(final, 0.5)', 'p5_ret=quantile_cont(final, 0.05)', 'p95_ret=quantile_cont(final, 0.95)', 'p5_dd=quantile_cont(dd, 0.05)', 'mean_dd=avg(dd)')} FROM fi""")
 def q73_mc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    # trades are few: one position at a time, never more than a symbol has bars
-    net = _ledger(spark, d, whole=True)[1].orderBy("symbol", "e").select("net_ret").toPandas()["net_ret"]
-    return validation.bootstrap(spark, net.to_numpy())
+    df = validation.bootstrap(_ledger(spark, d)[1].select("symbol", "e", "net_ret"))
+    return df.select(*(F.round(c, 6).alias(c) for c in df.columns))
 
 
 @query()
@@ -811,34 +831,65 @@ def q75_risk_breakers(spark: SparkSession, d: str) -> DataFrame:
 lv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM x WHERE ts >= TIMESTAMP '1996-01-01') WHERE k <= 500),
 u AS (SELECT symbol, x, sum(a) AS a, sum(b) AS b FROM (SELECT symbol, x, 1 AS a, 0 AS b FROM rf UNION ALL SELECT symbol, x, 0, 1 FROM lv) GROUP BY ALL),
 g AS (SELECT symbol, max(abs(d)) AS ks FROM (SELECT symbol, CAST(sum(a) OVER (PARTITION BY symbol ORDER BY x) AS DOUBLE) / sum(a) OVER (PARTITION BY symbol) - CAST(sum(b) OVER (PARTITION BY symbol ORDER BY x) AS DOUBLE) / sum(b) OVER (PARTITION BY symbol) AS d FROM u) GROUP BY symbol),
-m AS (SELECT symbol, avg(x) AS rm, stddev_pop(x) + 1e-9 AS rs FROM rf GROUP BY symbol), l AS (SELECT symbol, avg(x) AS lm, count(*) AS n FROM lv GROUP BY symbol)
-SELECT symbol, n AS "rows", round(ks, 6) AS ks, round((lm - rm) / rs * sqrt(n), 6) AS z FROM g JOIN m USING (symbol) JOIN l USING (symbol)""")
+m AS (SELECT symbol, avg(x) AS rm, stddev_pop(x) + 1e-9 AS rs, count(*) AS m FROM rf GROUP BY symbol), l AS (SELECT symbol, avg(x) AS lm, count(*) AS n FROM lv GROUP BY symbol),
+f AS (SELECT symbol, n, ks, (lm - rm) / rs * sqrt(n) AS z, sqrt(n * m::DOUBLE / (n + m)) * ks AS lam FROM g JOIN m USING (symbol) JOIN l USING (symbol)),
+p AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(least({' + '.join(f'{2.0 * (-1) ** (j - 1)} * exp({-2.0 * j * j} * lam * lam)' for j in range(1, 26))}, 1.0), 0.0) END AS p FROM f)
+SELECT symbol, n AS "rows", round(ks, 6) AS ks, round(CAST(p AS DOUBLE), 6) AS ks_p, round(z, 6) AS z, coalesce(n >= 50 AND (p < 0.01 OR abs(z) > 3), false) AS drift FROM p""")
 def q76_drift_ks_z(spark: SparkSession, d: str) -> DataFrame:
     values = features.add_returns(daily(spark, d)).select("symbol", "ts", F.round("log_ret", 4).alias("x"))
     cut = F.lit("1996-01-01").cast("timestamp_ntz")
     df = risk.drift(values.filter(F.col("ts") < cut), values.filter(F.col("ts") >= cut), DriftConfig())
-    return df.select("symbol", "rows", F.round("ks", 6).alias("ks"), F.round("z", 6).alias("z"))
+    return df.select("symbol", "rows", *(F.round(c, 6).alias(c) for c in ("ks", "ks_p", "z")), "drift")
+
+
+@query(f"{VWAP}, {_RET} SELECT symbol, round(CASE WHEN stddev_samp(log_ret) > 0 THEN avg(log_ret) / stddev_samp(log_ret) * sqrt(252.0) ELSE 0 END, 6) AS sharpe FROM r GROUP BY symbol")
+def q78_sharpe_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return validation.sharpe(_returns(spark, d), 252).select("symbol", F.round("sharpe", 6).alias("sharpe"))
+
+
+@query(f"""{BARS}, a AS (SELECT symbol, ts, row_number() OVER {LAG} - 1 AS row_no, count(*) OVER (PARTITION BY symbol) AS n, lead(ts, 10) OVER {LAG} AS ee FROM bars),
+f AS (SELECT DISTINCT symbol, k, k * (n // 5) AS s, CASE WHEN k = 4 THEN n ELSE (k + 1) * (n // 5) END AS e, greatest(CAST(ceil(n * 0.01::DOUBLE) AS BIGINT), 1) AS g, n FROM a, range(5) x(k)),
+b AS MATERIALIZED (SELECT f.*, p.ts AS t0, q.ts AS t9 FROM f JOIN a p ON p.symbol = f.symbol AND p.row_no = s JOIN a q ON q.symbol = f.symbol AND q.row_no = e - 1),
+z AS (SELECT a.symbol, a.row_no, k, row_no >= s AND row_no < e AS t, coalesce(ee >= t0 AND ts <= t9, false) OR (row_no >= e AND row_no < least(e + g, a.n)) AS o FROM a JOIN b ON a.symbol = b.symbol)
+SELECT symbol, k AS fold, CASE WHEN t THEN 'test' ELSE 'train' END AS role, count(*) AS n, CAST(sum(row_no) AS BIGINT) AS row_sum FROM z WHERE t OR NOT o GROUP BY ALL""")
+def q79_purged_kfold(spark: SparkSession, d: str) -> DataFrame:
+    bars = daily(spark, d).select("symbol", "ts", W.row_no().cast("bigint").alias("row_no"), F.lead("ts", 10).over(W.by_time()).alias("event_end"))
+    roles = validation.purged_kfold_roles(bars)
+    return roles.groupBy("symbol", F.col("combo_id").cast("bigint").alias("fold"), "role").agg(F.count(F.lit(1)).alias("n"), F.sum("row_no").alias("row_sum"))
+
+
+@query(f"{BARS}, {numbered('s', f'coalesce(abs(ln(close) - {lag("ln(close)")}), 0.0) AS x')}, {ewm('e', 's', {'y': ('x', 2 / 15)})} SELECT symbol, ts, round(y, 8) AS atr_frac FROM e JOIN s USING (symbol, n)")
+def q80_default_atr(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(backtest.default_atr(daily(spark, d)), 8, "atr_frac")
+
+
+#: Returns of lineitem are hardly correlated, so that a small cap lets some positions meet it.
+_CAP = RiskLimits(correlation_cap=0.02)
 
 
-# --- whole jobs ----------------------------------------------------------------------------------
+@query(f"""{VWAP}, {_RET}, {_TAIL}, w AS (SELECT symbol, unnest([1, -1]) AS side FROM (SELECT DISTINCT symbol FROM bars)),
+c AS (SELECT x.symbol, count(*) AS n, corr(x.ret, y.ret) AS c FROM tl x JOIN tl y ON x.ts = y.ts AND y.symbol = 'A' AND x.symbol <> 'A' GROUP BY ALL),
+v AS (SELECT symbol, count(*) AS n, -quantile_cont(ret, 0.05) AS var FROM tl GROUP BY symbol),
+o AS (SELECT w.*, CASE WHEN symbol = 'A' THEN 'position already open' WHEN side = 1 AND c.n >= 50 AND abs(c) >= 0.02 THEN 'correlation cap vs A'
+  WHEN v.n >= 100 AND var > 0.05 THEN 'value at risk' ELSE 'ok' END AS reason FROM w LEFT JOIN c USING (symbol) LEFT JOIN v USING (symbol))
+SELECT symbol, side, reason = 'ok' AS ok, reason FROM o""")
+def q81_open_gate(spark: SparkSession, d: str) -> DataFrame:
+    """All symbols, both sides, with a long position in one of them."""
+    returns = _returns(spark, d)
+    wanted = returns.select("symbol").distinct().select("symbol", F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
+    held = spark.createDataFrame([("A", 1)], "symbol string, side int")
+    return risk.open_reasons(wanted, held, returns, limits=_CAP)
 
 
-def _whole(name: str, sampled: str, every: str) -> None:
-    """Registers ``name``_all: the query over every bar, and its SQL with ``every`` in place of ``sampled``."""
-    f = QUERIES[name]
-    QUERIES[f"{name}_all"] = lambda spark, d: f(spark, d, whole=True)
-    if sampled not in ORACLES[name]:
-        raise ValueError(f"the SQL of {name} has another sample")
-    ORACLES[f"{name}_all"] = ORACLES[name].replace(sampled, every)
+@query(f"{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE} SELECT symbol, t0 AS entry_time, t9 AS exit_time, side, mode, barrier, round(net, 7) AS net_ret FROM td ORDER BY t9 DESC, symbol, e LIMIT 500")
+def q82_last_trades(spark: SparkSession, d: str) -> DataFrame:
+    df = research.last_trades(_ledger(spark, d)[1])
+    return df.select("symbol", "entry_time", "exit_time", "side", "mode", "barrier", F.round("net_ret", 7).alias("net_ret"))
 
 
-_ALL_LABELS = _LABELS.replace("n % 5 = 0 AND ", "")
-_ALL_CAND = _CAND.replace("n % 3 + n % 2", "n % 3").replace("n % 3 = 0 AND ", "")
-for _name in ("q43_triple_barrier", "q44_meta_target"):
-    _whole(_name, _LABELS, _ALL_LABELS)
-for _name in ("q50_performance_stats", "q53_profit_factor_by_mode", "q54_cost_adjusted_rr_gate", "q55_barrier_resolution_trailing", "q58_single_position_trades", "q59_equity_curve"):
-    _whole(_name, _CAND, _ALL_CAND)
-_whole("q67_band_join_paths", " WHERE x.n % 7 = 0", "")
+@query(f"{BARS} SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS close, arg_max(volume, ts) AS volume FROM bars GROUP BY symbol")
+def q83_last_row(spark: SparkSession, d: str) -> DataFrame:
+    return research.last_rows(daily(spark, d)).select("symbol", "ts", "close", "volume")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

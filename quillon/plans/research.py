@@ -8,13 +8,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.windows import bfill, ffill, row_no
-from quillon.operators import backtest, features, labels, meta, signals, validation
-from quillon.params import BacktestConfig, FeatureParams, MetaParams, PrimaryParams, apply_overrides
-from quillon.storage import stage
+from quillon.operators import backtest, features, labels, meta, risk, signals, validation
+from quillon.params import BacktestConfig, DriftConfig, FeatureParams, MetaParams, PrimaryParams, RunnerConfig, apply_overrides
+from quillon.storage import stage, temporary
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,48 @@ def backtest_plan(bars: DataFrame, s: Settings | None = None, model: meta.MetaMo
     return backtest.run_backtest(table.select("symbol", "ts", "close"), events, sides, s.backtest, proba, atr)
 
 
+def last_rows(df: DataFrame) -> DataFrame:
+    """The row of each symbol with the largest ts."""
+    rest = [c for c in df.columns if c != "symbol"]
+    return df.groupBy("symbol").agg(F.max_by(F.struct(*rest), "ts").alias("v")).select("symbol", "v.*")
+
+
+def last_trades(ledger: DataFrame, n: int = 500) -> DataFrame:
+    """The n trades that ended last, the latest first."""
+    return ledger.orderBy(F.desc("exit_time"), "symbol", "e").limit(n)
+
+
+REFERENCE_RETURNS = 1000
+
+
+def shadow_step(bars: DataFrame, s: Settings | None = None, model: meta.MetaModel | None = None, runner: RunnerConfig | None = None, drift: DriftConfig | None = None) -> DataFrame:
+    """What the last bar of each symbol says: symbol, ts, side, score, mode, prob, price, atr, vol_64, action.
+
+    Symbols with fewer bars or complete feature rows than ``runner`` asks for are left out. The model's
+    threshold sets the side to 0. Action: "halt-drift" where the last returns drift from the
+    REFERENCE_RETURNS before them, else "paper_fill" for a side and "none" without.
+    """
+    s, runner, drift = s or Settings(), runner or RunnerConfig(), drift or DriftConfig()
+    enough = bars.groupBy("symbol").count().filter(F.col("count") >= runner.min_bars).select("symbol")
+    table = signal_table(bars.join(enough, "symbol", "left_semi"), s)
+    complete = table.groupBy("symbol").count().filter(F.col("count") >= runner.min_feature_rows).select("symbol")
+    table = table.join(complete, "symbol", "left_semi")
+    now = last_rows(table)
+    scored = model.probabilities(now) if model else now.withColumn("prob", F.lit(None).cast("double"))
+    least = model.params.threshold if model else 0.0
+    age = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
+    returns = table.select("symbol", "ts", F.col("log_ret").alias("x")).withColumn("age", age)
+    before = returns.filter((F.col("age") > drift.window) & (F.col("age") <= drift.window + REFERENCE_RETURNS))
+    drifts = risk.drift(before.drop("age"), returns.filter(F.col("age") <= drift.window).drop("age"), drift).select("symbol", "drift")
+    side = F.when(F.col("prob") < least, 0).otherwise(F.col("primary_side"))
+    out = scored.join(drifts, "symbol", "left").withColumn("side", side)
+    action = F.when(F.coalesce("drift", F.lit(False)), "halt-drift").when(F.col("side") != 0, "paper_fill").otherwise("none")
+    return out.select(
+        "symbol", "ts", F.col("side").cast("int").alias("side"), F.col("primary_score").alias("score"), F.col("primary_mode").cast("int").alias("mode"), "prob",
+        F.col("close").alias("price"), F.col("atr_14").alias("atr"), "vol_64", action.alias("action"),
+    )
+
+
 META_EXITS = {"pt": 2.0, "sl": 1.25, "hold": 48}
 
 
@@ -115,6 +157,11 @@ def objective(bars: DataFrame, point: dict[str, float], min_rows: int = 500, min
     rows, events or folds."""
     s = Settings().with_overrides(point)
     s = replace(s, backtest=replace(s.backtest, meta_threshold=0.0))
+    # a symbol's first rows lack fractional differences, so that this many rows are complete at most
+    lost = len(features.R.ffd_weights(s.features.frac_d)) - 1
+    sizes = bars.groupBy("symbol").count()
+    if (sizes.agg(F.sum(F.greatest(F.col("count") - lost, F.lit(0)))).first()[0] or 0) < min_rows:
+        return {"value": -10.0, "n_folds": 0}
     table = signal_table(bars, s)
     if table.count() < min_rows:
         return {"value": -10.0, "n_folds": 0}
@@ -137,8 +184,13 @@ def search(spark: SparkSession, bars: DataFrame, n_trials: int, seed: int = 42,
     """The trials (see TRIALS) of a seeded random search; each trial is a few distributed jobs, and a few
     trials are under way at once."""
     points, rows = draw(n_trials, seed), []
+
+    def trial(point: dict[str, float]) -> dict:
+        with temporary(spark):
+            return objective(bars, point, **limits)
+
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        found = list(pool.map(lambda point: objective(bars, point, **limits), points))
+        found = list(pool.map(trial, points))
     for i, (point, got) in enumerate(zip(points, found, strict=True)):
         rows.append((i, float(got["value"]), got.get("mean_sharpe"), got.get("std_sharpe"), int(got["n_folds"]), json.dumps(point, sort_keys=True)))
     return spark.createDataFrame(rows, TRIALS)

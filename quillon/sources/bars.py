@@ -89,8 +89,15 @@ def merge_bars(old: DataFrame, new: DataFrame) -> DataFrame:
     return best.select("symbol", "ts", "v.*")
 
 
+def one_of_each(bars: DataFrame) -> DataFrame:
+    """One row for each symbol and time; of several the one with the largest values, in the columns' order."""
+    best = bars.groupBy("symbol", "ts").agg(F.max(F.struct(*BAR_COLUMNS[2:])).alias("v"))
+    return best.select("symbol", "ts", "v.*")
+
+
 def append_bars(new: DataFrame, path: str) -> None:
-    """Adds the bars that the cache at ``path`` doesn't have; never rewrites what is there."""
+    """Adds the bars that the cache at ``path`` doesn't have, one for each time (see ``one_of_each``). What is
+    there stays: a cache is only appended to, whereas ``merge_bars`` prefers the new bars."""
     spark = new.sparkSession
     try:
         old = spark.read.parquet(path).select("symbol", "ts")
@@ -98,7 +105,7 @@ def append_bars(new: DataFrame, path: str) -> None:
     except Exception as error:  # noqa: BLE001  the first call finds no cache
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-    new.dropDuplicates(["symbol", "ts"]).write.mode("append").partitionBy("symbol").parquet(path)
+    one_of_each(new).write.mode("append").partitionBy("symbol").parquet(path)
 
 
 def parse_pages(pages: DataFrame, page: str = "page") -> DataFrame:
@@ -111,7 +118,7 @@ def parse_pages(pages: DataFrame, page: str = "page") -> DataFrame:
     rows = pages.select("symbol", F.explode(checked).alias("r"))
     start = F.timestamp_millis(F.col("r")[0].cast("bigint")).cast("timestamp_ntz").alias("ts")
     values = [F.col("r")[i + 1].cast("double").alias(c) for i, c in enumerate(BAR_COLUMNS[2:])]
-    return rows.select("symbol", start, *values).dropDuplicates(["symbol", "ts"])
+    return one_of_each(rows.select("symbol", start, *values))
 
 
 def calendar_days(bars: DataFrame) -> DataFrame:

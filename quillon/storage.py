@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: ContextVar[list[str]] = ContextVar("made", default=[])  # noqa: B039
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,5 +34,19 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written once and read again: a short plan for what follows, and safe when executors are lost."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Stages that are written inside the block, by this thread, are removed at its end."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _made.reset(token)

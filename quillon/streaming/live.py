@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.params import DriftConfig
+from quillon.operators.meta import MetaModel
+from quillon.params import DriftConfig, RunnerConfig
+from quillon.plans import research
+from quillon.sources.bars import BAR_COLUMNS, append_bars, read_bars
+from quillon.storage import temporary
 
 
 def streaming_bars(ticks: DataFrame, width: str, late: str = "1 minute") -> DataFrame:
@@ -119,6 +123,31 @@ def order_intents(signals: DataFrame) -> DataFrame:
     return signals.filter("event = 1 AND NOT cooling").select("symbol", "ts", "close", F.signum("log_ret").cast("int").alias("side"))
 
 
+def shadow_ledger(
+    bars: DataFrame, cache: str, ledger: str, checkpoint: str, settings: research.Settings | None = None, model: MetaModel | None = None,
+    runner: RunnerConfig | None = None, once: bool = False, every: str = "30 seconds",
+) -> StreamingQuery:
+    """Appends each micro-batch of closed bars to the bar cache and writes what ``research.shadow_step``
+    says of the batch's symbols, over their last ``history_days``, to ``ledger``. A batch that is
+    repeated after a failure adds no bars and overwrites its own part of the ledger."""
+    runner = runner or RunnerConfig()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        if not new.limit(1).count():
+            return
+        append_bars(new, cache)
+        since = new.agg(F.min("ts") - F.expr(f"INTERVAL {runner.history_days} DAYS")).first()[0]
+        known = read_bars(spark, cache, since=since).join(new.select("symbol").distinct(), "symbol", "left_semi")
+        with temporary(spark):
+            said = research.shadow_step(known.select(*BAR_COLUMNS), settings, model, runner)
+            said.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+
+    writer = bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def append_to(df: DataFrame, path: str, checkpoint: str, once: bool = False, every: str = "30 seconds") -> StreamingQuery:
     """Appends each micro-batch to a Parquet table at ``path``; a batch that is repeated after a failure
     overwrites its own part."""

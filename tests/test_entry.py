@@ -52,6 +52,6 @@ def test_queries_match_their_oracles(spark, name):
     a, b = (x[order].sort_values(keys, ignore_index=True) for x in (got, want))
     for c in order:
         if a[c].dtype.kind == "f":
-            assert ((a[c] - b[c]).abs().fillna(0) < 1e-6).all(), c
+            assert (a[c].isna() == b[c].isna()).all() and ((a[c] - b[c]).abs().fillna(0) < 1e-6).all(), c
         else:
             assert (a[c].astype(str) == b[c].astype(str)).all(), c

@@ -1,6 +1,7 @@
 """Operators on small tables with known results."""
 
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
@@ -254,13 +255,24 @@ def test_sharpe_probabilities():
 
 def test_bootstrap_does_not_depend_on_partitions(spark):
     r = np.random.default_rng(1).normal(0.001, 0.01, 60)
-    a = validation.bootstrap(spark, r, 100).first()
+    trades = spark.createDataFrame([("AB"[i % 2], i, float(x)) for i, x in enumerate(r)], "symbol string, e bigint, net_ret double")
+    a = validation.bootstrap(trades, 100).first()
+    ordered = [float(x) for x in (*r[::2], *r[1::2])]
+    finals, falls = [], []
+    for sim in range(100):
+        grown = np.cumprod([1 + ordered[int(hashlib.md5(f"42-{sim}-{pos}".encode()).hexdigest()[:8], 16) % 60] for pos in range(60)])
+        finals.append(grown[-1] - 1)
+        falls.append((grown / np.maximum.accumulate(grown) - 1).min())
+    want = (np.mean(finals), *np.percentile(finals, [50, 5, 95]), np.percentile(falls, 5), np.mean(falls))
+    assert tuple(a) == pytest.approx(want)
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     try:
-        assert validation.bootstrap(spark, r, 100).first() == a
+        assert tuple(validation.bootstrap(trades.repartition(7), 100).first()) == pytest.approx(tuple(a))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert tuple(validation.bootstrap(spark, np.zeros(0)).first()) == (0.0,) * 6
+    assert tuple(validation.bootstrap(trades.limit(0)).first()) == (0.0,) * 6
+    lost = spark.createDataFrame([("A", 0, -1.5)], "symbol string, e bigint, net_ret double")
+    assert tuple(validation.bootstrap(lost, 3, horizon=3).first())[:4] == pytest.approx((-0.125 - 1,) * 4)
 
 
 def test_breakers_match_the_stepwise_state(spark):

@@ -12,6 +12,7 @@ from quillon.params import BacktestConfig
 from quillon.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
+WHOLE = ("q25", "q43", "q44", "q50", "q53", "q54", "q55", "q58", "q59", "q60", "q67")
 SMALL = ("symbol", "other", "ts", "entry_time", "e", "mode", "y")
 
 
@@ -27,7 +28,7 @@ def bars(spark):
 
 
 def test_every_bar_is_labelled(run, bars):
-    got = {(r.symbol, r.ts): r for r in run("q43_triple_barrier_all").itertuples()}
+    got = {(r.symbol, r.ts): r for r in run("q43_triple_barrier").itertuples()}
     n = 0
     for s, g in bars.items():
         c = g["close"].to_numpy()
@@ -40,14 +41,14 @@ def test_every_bar_is_labelled(run, bars):
             r = got[s, g["ts"][i]]
             assert (r.bin, r.t1) == (bin_, g["ts"][i + j]) and r.ret == pytest.approx(path[j], abs=1e-6)
             n += 1
-    assert n == len(got) == run("q44_meta_target_all")["n"].sum()
+    assert n == len(got) == run("q44_meta_target")["n"].sum()
 
 
 def test_every_bar_with_a_side_is_a_candidate_in_all_modes(run, bars):
-    plan = run("q54_cost_adjusted_rr_gate_all")
-    got = {(r.symbol, r.e): r for r in run("q55_barrier_resolution_trailing_all").itertuples()}
+    plan = run("q54_cost_adjusted_rr_gate")
+    got = {(r.symbol, r.e): r for r in run("q55_barrier_resolution_trailing").itertuples()}
     cfg = BacktestConfig(bars_per_year=252)
-    assert set(plan["mode"]) == {0, 1, 2} == set(run("q53_profit_factor_by_mode_all")["mode"]) and len(plan) == len(got)
+    assert set(plan["mode"]) == {0, 1, 2} == set(run("q53_profit_factor_by_mode")["mode"]) and len(plan) == len(got)
     assert set(zip(plan["mode"], plan["hold"], strict=True)) == {(0, 48), (1, 72), (2, 24)}
     by_key = {(r.symbol, r.e): r for r in plan.itertuples()}
     n = 0
@@ -76,24 +77,25 @@ def test_every_bar_with_a_side_is_a_candidate_in_all_modes(run, bars):
 
 
 def test_every_bar_starts_a_path(run, bars):
-    assert len(run("q67_band_join_paths_all")) == sum(map(len, bars.values()))
+    assert len(run("q67_band_join_paths")) == sum(map(len, bars.values()))
 
 
 def test_meta_rows_and_entry_take_every_bar(spark, run):
     labelled = plans.labels.triple_barrier(plans.vwap(spark, DATA), plans._label_events(plans.vwap(spark, DATA))).select("symbol", "ts")
-    assert entry.entry(spark).agg({"n": "sum"}).first()[0] == labelled.count() == len(run("q43_triple_barrier_all"))
+    assert entry.entry(spark).agg({"n": "sum"}).first()[0] == labelled.count() == len(run("q43_triple_barrier"))
     rows = plans._meta_rows(spark, DATA)
     assert rows.count() == plans._signal_inputs(spark, DATA).join(labelled, ["symbol", "ts"]).count()
 
 
 def test_bootstrap_draws_from_all_trades(spark, run, monkeypatch):
     seen = []
-    monkeypatch.setattr(plans.validation, "bootstrap", lambda spark, net, *more: seen.append((net, more)))
+    own = plans.validation.bootstrap
+    monkeypatch.setattr(plans.validation, "bootstrap", lambda trades, *more: seen.append(trades) or own(trades, 2))
     plans.q73_mc_bootstrap(spark, DATA)
-    assert len(seen[0][0]) == len(run("q58_single_position_trades_all"))
+    assert seen[0].count() == len(run("q58_single_position_trades"))
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n.endswith("_all")])
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n.startswith(WHOLE)])
 def test_whole_queries_match_their_oracles(run, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -109,7 +111,8 @@ def test_whole_queries_match_their_oracles(run, name):
 def test_queries_call_their_operators_with_production_defaults(spark, monkeypatch):
     calls = {}
     note = lambda name: lambda *args, **kw: calls.setdefault(name, (args, kw))
-    monkeypatch.setattr(plans.validation, "bootstrap", note("bootstrap"))
+    own = plans.validation.bootstrap
+    monkeypatch.setattr(plans.validation, "bootstrap", lambda *args, **kw: note("bootstrap")(*args, **kw) and own(args[0], 2))
     monkeypatch.setattr(plans.research, "search", note("search"))
     monkeypatch.setattr(plans.features, "min_stationary_d", note("grid"))
     monkeypatch.setattr(plans.meta, "fit", note("fit"))
@@ -117,7 +120,7 @@ def test_queries_call_their_operators_with_production_defaults(spark, monkeypatc
     plans.q74_parameter_search(spark, DATA)
     plans.q26_min_stationary_d(spark, DATA)
     plans._meta_fit(None)
-    assert len(calls["bootstrap"][0]) == 2 and not calls["bootstrap"][1]  # 2000 simulations
+    assert len(calls["bootstrap"][0]) == 1 and not calls["bootstrap"][1]  # 2000 simulations
     assert calls["search"][0][2:] == (200,) and not calls["search"][1]  # the operator's gates
     assert len(calls["grid"][0]) == 1 and not calls["grid"][1]  # eleven values of d
     p = calls["fit"][0][2]
@@ -149,7 +152,7 @@ def test_search_keeps_the_order_of_trials(spark, monkeypatch):
 
 
 def test_every_pair_of_symbols_is_aligned(run, bars):
-    got = run("q60_aligned_returns_join_all")
+    got = run("q60_aligned_returns_join")
     pairs = [(a, b) for a in bars for b in bars if a < b]
     assert len(pairs) == 3 and len(got) == sum(len(set(bars[a]["ts"]) & set(bars[b]["ts"])) for a, b in pairs)
     assert set(zip(got["symbol"], got["other"], strict=True)) == set(pairs)
