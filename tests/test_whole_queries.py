@@ -121,7 +121,7 @@ def test_queries_call_their_operators_with_production_defaults(spark, monkeypatc
     plans.q26_min_stationary_d(spark, DATA)
     plans._meta_fit(None)
     assert len(calls["bootstrap"][0]) == 1 and not calls["bootstrap"][1]  # 2000 simulations
-    assert calls["search"][0][2:] == (200,) and not calls["search"][1]  # the operator's gates
+    assert calls["search"][0][2:] == (plans.SEARCH_TRIALS,) and not calls["search"][1]  # the operator's gates
     assert len(calls["grid"][0]) == 1 and not calls["grid"][1]  # eleven values of d
     p = calls["fit"][0][2]
     assert (p.n_estimators, p.max_depth) == (400, plans.MetaParams().max_depth)
