@@ -803,7 +803,7 @@ def q73_mc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) for c in df.columns))
 
 
-#: A trial takes about 20 s of eight cores, most of it planning, so that the query makes fewer than the
+#: Eight trials take about a minute on eight cores, most of it planning, so that the query makes fewer than the
 #: 200 of a real search; its gates and tables are the real ones.
 SEARCH_TRIALS = 8
 
