@@ -120,6 +120,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; maps and variants, which can't be hashed, by their JSON."""
+    odd = lambda c: any(k in df.schema[c].dataType.simpleString() for k in ("map<", "variant"))
+    return F.xxhash64(*(F.to_json(F.struct(quoted(c))) if odd(c) else quoted(c) for c in df.columns))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A name like ``stem`` that no column of ``df`` has, letters' case aside."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

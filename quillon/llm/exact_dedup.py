@@ -19,6 +19,7 @@ from quillon.llm.common import (
     free_name,
     materialize,
     quoted,
+    row_hash,
     shared_dir,
     shuffle_parts,
     workspace,
@@ -123,24 +124,31 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -
     name each call is a batch of its own.
     """
     rows = materialize(digests(docs), workspace(docs.sparkSession, "digests"))
-    return rows, _register(rows, index, batch or uuid.uuid4().hex)
+    batch = batch or uuid.uuid4().hex
+    return rows, _seen(_register(rows, index, batch), index, [batch])
 
 
 def _register(rows: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
-    at = workspace(rows.sparkSession, "groups")
-    groups = materialize(group_digests(rows), f"{at}/own")
+    """The batch's own groups, after what is new of them has been appended."""
+    groups = materialize(group_digests(rows), workspace(rows.sparkSession, "groups"))
     index.append(groups, batch)
-    seen = index.look_up(groups).withColumn("known", F.col("batch") != batch).drop("batch")
-    return materialize(seen, f"{at}/seen")
+    return groups
+
+
+def _seen(groups: DataFrame, index: DigestIndex, own: list[str]) -> DataFrame:
+    """``groups`` as the index has them. ``known``: none of the batches ``own`` brought the text."""
+    seen = index.look_up(groups).withColumn("known", ~F.col("batch").isin(own)).drop("batch")
+    return materialize(seen, workspace(groups.sparkSession, "seen"))
 
 
 def deduplicate_table(
-    docs: DataFrame, index: DigestIndex | None = None, batch: str = "table", batches: int = BATCHES
+    docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, batches: int = BATCHES
 ) -> tuple[DataFrame, DataFrame]:
     """The same for a whole table, which goes through the index (one of its own, if none is given) in
     ``batches`` parts of descending doc_ids, so that the first part with a text has its largest doc_id.
-    Rows without a doc_id are in the last. group_size counts all parts."""
-    spark = docs.sparkSession
+    Rows without a doc_id are in the last. group_size counts all parts. Without a name ``batch`` each
+    call brings a table of its own; only under a name that was given may a table be registered again."""
+    spark, batch = docs.sparkSession, batch or uuid.uuid4().hex
     rows = materialize(digests(docs), workspace(spark, "digests"))
     index = index or DigestIndex.temporary(spark, rows.count())
     steps = [i / batches for i in range(1, batches)]
@@ -150,12 +158,11 @@ def deduplicate_table(
         number = F.when(F.col("doc_id") > cut, len(cuts) - 1 - i).otherwise(number)
     names = [f"{batch}-{i}" for i in range(batches)]
     parts = [_register(rows.filter(number == i), index, name) for i, name in enumerate(names[: len(cuts) + 1])]
-    every = reduce(DataFrame.unionByName, (p.drop("keep_id", "known") for p in parts))
+    every = reduce(DataFrame.unionByName, (p.drop("keep_id") for p in parts))
     sums = every.groupBy("digest").agg(
         F.sum("group_size").alias("group_size"), F.array_distinct(F.flatten(F.collect_list("salts"))).alias("salts")
     )
-    seen = index.look_up(sums).withColumn("known", ~F.col("batch").isin(names)).drop("batch")
-    return rows, materialize(seen, workspace(spark, "seen"))
+    return rows, _seen(sums, index, names)
 
 
 def decide(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -176,20 +183,21 @@ def decide(rows: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def keep_unique(docs: DataFrame, index: DigestIndex | None = None, batch: str = "table") -> DataFrame:
+def keep_unique(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay; all columns of ``docs`` and no others, whatever their names.
 
-    A text keeps its row with the largest doc_id, one of them if several rows have that doc_id and
-    text; a text that has no doc_id at all keeps one row. With an ``index`` texts that it knew before
-    are dropped. Null texts count as empty; an empty table stays empty.
+    A text keeps its row with the largest doc_id; of several rows with that doc_id and text the one that
+    comes first in an order by hash of all columns. A text that has no doc_id at all keeps one row. With
+    an ``index`` texts that it knew before are dropped, unless a table of the same name ``batch``
+    brought them. Null texts count as empty; an empty table stays empty.
     """
     _, groups = deduplicate_table(docs, index, batch)
-    digest, keep = free_name(docs, "digest"), free_name(docs, "keep")
+    digest, keep, own, row, order = (free_name(docs, n) for n in ("digest", "keep", "own", "row", "order"))
     kept = groups.filter(~F.col("known")).select(F.col("keep_id").alias(keep), F.col("digest").alias(digest))
-    own = free_name(docs, "own")
-    marked = docs.withColumn(digest, _digest()).withColumn(own, F.col("doc_id").cast("bigint"))
+    marked = docs.select(F.struct(*map(quoted, docs.columns)).alias(row), _digest().alias(digest), F.col("doc_id").cast("bigint").alias(own), row_hash(docs).alias(order))
     same = marked[digest].eqNullSafe(kept[digest]) & marked[own].eqNullSafe(kept[keep])
-    return marked.join(kept, same, "left_semi").dropDuplicates([digest, own]).select(*map(quoted, docs.columns))
+    one = marked.join(kept, same, "left_semi").groupBy(digest, own).agg(F.min_by(row, order).alias(row))
+    return one.select(*(F.col(row).getField(c).alias(c) for c in docs.columns))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
