@@ -39,8 +39,9 @@ SKETCH_BITS = 1024
 #: Postings of a list that meet in one task.
 BLOCK = 512
 LADDER = (1, 2, 4, 8, 16)
-#: First tries with heads of lists, before all texts of different components meet: so many, and as many
-#: more (to MAX_HEAD_TURNS) as each takes a tenth off the pairs to meet, while these exceed PAIRS_A_POSTING.
+#: First tries with heads of lists, before all texts of different components meet: none while the pairs
+#: to meet are at most PAIRS_A_POSTING; else so many, and as many more (to MAX_HEAD_TURNS) as each takes
+#: a tenth off these pairs. They only save comparisons, the result is the same without them.
 HEAD_TURNS, MAX_HEAD_TURNS = 2, 12
 PAIRS_A_POSTING = 16
 #: Pairs that a task looks at in one go.
@@ -370,6 +371,13 @@ def _pairs_left(lists: DataFrame) -> float:
     return sums.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()[0]
 
 
+def _pairs_in(each: DataFrame) -> float:
+    """The same while every text is a component of its own."""
+    n = F.col("n").cast("double")
+    counts = each.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0))).first()[0]
+
+
 def _joined(pairs: DataFrame, kept: DataFrame, comps: DataFrame | None, join: Join, at: str) -> DataFrame:
     """``comps`` with the links that the candidate ``pairs`` have."""
     pairs = materialize(pairs, f"{at}/pairs")
@@ -404,14 +412,15 @@ def _near_duplicates(docs: DataFrame, join: Join) -> DataFrame:
     comps, turn, before = None, 0, None
     while True:
         each = postings(kept, comps)
-        if turn >= HEAD_TURNS:
-            lists = materialize(open_lists(each), f"{at}/lists{turn}")
-            left = _pairs_left(lists)
-            if turn == MAX_HEAD_TURNS or left <= PAIRS_A_POSTING * n_postings or (before is not None and left > 0.9 * before):
-                break
-            before = left
-        comps = _joined(head_candidates(each, join, turn), kept, comps, join, f"{at}/{turn}")
+        lists = None if comps is None else materialize(open_lists(each), f"{at}/lists{turn}")
+        left = _pairs_in(each) if comps is None else _pairs_left(lists)
+        stalled = turn > HEAD_TURNS and left > 0.9 * before
+        if left <= PAIRS_A_POSTING * n_postings or turn == MAX_HEAD_TURNS or stalled:
+            break
+        comps, before = _joined(head_candidates(each, join, turn), kept, comps, join, f"{at}/{turn}"), left
         turn += 1
+    if comps is None:
+        lists = materialize(open_lists(each), f"{at}/lists")
     comps = _joined(candidates(each, lists, join), kept, comps, join, f"{at}/all")
     final = comps.select(F.col("doc_id").alias("rep"), F.col("comp").alias("label"))
 
