@@ -192,11 +192,12 @@ def keep_unique(docs: DataFrame, index: DigestIndex | None = None, batch: str |
     brought them. Null texts count as empty; an empty table stays empty.
     """
     _, groups = deduplicate_table(docs, index, batch)
-    digest, keep, own, row, order = (free_name(docs, n) for n in ("digest", "keep", "own", "row", "order"))
-    kept = groups.filter(~F.col("known")).select(F.col("keep_id").alias(keep), F.col("digest").alias(digest))
-    marked = docs.select(F.struct(*map(quoted, docs.columns)).alias(row), _digest().alias(digest), F.col("doc_id").cast("bigint").alias(own), row_hash(docs).alias(order))
-    same = marked[digest].eqNullSafe(kept[digest]) & marked[own].eqNullSafe(kept[keep])
-    one = marked.join(kept, same, "left_semi").groupBy(digest, own).agg(F.min_by(row, order).alias(row))
+    digest, own, none, row, order = (free_name(docs, n) for n in ("digest", "own", "none", "row", "order"))
+    key = lambda c: {own: F.coalesce(F.col(c).cast("bigint"), F.lit(0)), none: F.col(c).isNull()}
+    kept = groups.filter(~F.col("known")).withColumns(key("keep_id")).select(F.col("digest").alias(digest), own, none)
+    marked = docs.select(F.struct(*map(quoted, docs.columns)).alias(row), _digest().alias(digest), row_hash(docs).alias(order), *(c.alias(n) for n, c in key("doc_id").items()))
+    # no key is null, so that the join's exchange and sort serve the aggregation too
+    one = marked.join(kept, [digest, own, none], "left_semi").groupBy(digest, own, none).agg(F.min_by(row, order).alias(row))
     return one.select(*(F.col(row).getField(c).alias(c) for c in docs.columns))
 
 
