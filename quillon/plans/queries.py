@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import windows as W
-from quillon.operators import backtest, features, labels, meta, risk, signals, validation
+from quillon.functions.blocks import Blocks
+from quillon.operators import backtest, features, labels, long_series, meta, risk, signals, validation
 from quillon.params import BacktestConfig, DriftConfig, MetaParams, PrimaryParams, RiskLimits
 from quillon.plans import research
 from quillon.plans.sqltext import (
@@ -51,6 +52,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def as_in(name: str) -> Callable[[Query], Query]:
+    """Registers another way to the rows of the query ``name``, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, ORACLES[name]
+        return f
+
+    return add
+
+
 def daily(spark: SparkSession, d: str) -> DataFrame:
     return B.time_bars(B.lineitem_ticks(spark, d), "1 day")
 
@@ -744,6 +755,44 @@ def q65_daily_vol_asof_1d(spark: SparkSession, d: str) -> DataFrame:
     return rounded(labels.daily_volatility(hourly(spark, d)), 6, "target_vol")
 
 
+# --- the same by blocks of time: no task holds a symbol --------------------------------------------
+
+#: Bars of a block in these queries; far fewer than the default, so that series have many blocks.
+BLOCK_BARS = 100
+
+
+@as_in("q14_ema")
+def q14_ema_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(long_series.add_emas(Blocks.of(daily(spark, d), BLOCK_BARS), (20,)).bars(), 4, "ema20")
+
+
+@as_in("q15_atr_wilder")
+def q15_atr_wilder_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(long_series.add_atr(Blocks.of(daily(spark, d), BLOCK_BARS)).bars(), 4, "atr_14")
+
+
+@as_in("q17_adx")
+def q17_adx_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(long_series.add_adx(Blocks.of(daily(spark, d), BLOCK_BARS)).bars(), 5, "adx", "plus_di", "minus_di", "di_spread")
+
+
+@as_in("q24_hawkes")
+def q24_hawkes_blocks(spark: SparkSession, d: str) -> DataFrame:
+    b = Blocks.of(daily(spark, d), BLOCK_BARS).windows(1, lambda df: df.withColumn("c1", features.lag("close")))
+    return rounded(long_series.add_hawkes(b, 0.1, events=W.flag(F.col("close") > 1.5 * F.col("c1"))).bars(), 6, "hawkes_intensity")
+
+
+@as_in("q32_vol_quantile_regime")
+def q32_vol_quantile_regime_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return long_series.add_vol_regime(Blocks.of(daily(spark, d), BLOCK_BARS)).select("symbol", "ts", "regime")
+
+
+@as_in("q65_daily_vol_asof_1d")
+def q65_daily_vol_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(long_series.daily_volatility(hourly(spark, d), rows=BLOCK_BARS), 6, "target_vol")
+
+
+
 @query(f"{VWAP}, {_CUSUM}, a AS (SELECT symbol, ts, coalesce(lead(ts, 48) OVER {LAG}, last_value(ts) OVER {frame('UNBOUNDED PRECEDING', 'UNBOUNDED FOLLOWING')}) AS t1 FROM bars) SELECT symbol, ts, t1 FROM a SEMI JOIN ev USING (symbol, ts)")
 def q66_vertical_barrier(spark: SparkSession, d: str) -> DataFrame:
     bars = vwap(spark, d)
