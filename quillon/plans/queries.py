@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import windows as W
 from quillon.functions.blocks import Blocks
-from quillon.operators import backtest, features, labels, long_series, meta, risk, signals, validation
+from quillon.operators import backtest, features, labels, long_series, meta, risk, signals, tpe, validation
 from quillon.params import BacktestConfig, DriftConfig, MetaParams, PrimaryParams, RiskLimits
 from quillon.plans import research
 from quillon.plans.sqltext import (
@@ -863,6 +863,37 @@ def q74_parameter_search(spark: SparkSession, d: str) -> DataFrame:
     return research.search(spark, stage(bars, "search"), SEARCH_TRIALS)
 
 
+#: A space of two real and one whole parameter, and the points whose densities are asked for.
+_TPE_SPACE = (tpe.Range("x", 0.0, 97.0), tpe.Range("y", -1.0, 32.0), tpe.Range("k", 0, 14))
+_TPE_POINTS = [{"x": (i * 61 % 97) + 0.25, "y": (i * 19 % 33) - 0.5, "k": i * 7 % 15} for i in range(tpe.CANDIDATES)]
+
+
+def _tpe_sql() -> str:
+    bell = lambda d: f"exp(-power({d}, 2) / (2 * h * h))"
+    kernel = " * ".join(f"(({bell(f'c.{v} - o.{v}')} + {bell(f'c.{v} + o.{v}')} + {bell(f'2 - c.{v} - o.{v}')}) / (h * sqrt(2 * pi())))" for v in "xyk")
+    points = ", ".join(f"({i}, {p['x']}, {p['y']}, {p['k']})" for i, p in enumerate(_TPE_POINTS))
+    unit = lambda t: f"{t}.x / 97.0 AS x, ({t}.y + 1) / 33.0 AS y, ({t}.k + 0.5) / 15.0 AS k"
+    return f"""t AS (SELECT o_orderkey AS trial, o_totalprice AS value, CAST(o_custkey % 97 AS DOUBLE) AS x, CAST(day(o_orderdate) AS DOUBLE) AS y, CAST(o_orderkey % 15 AS DOUBLE) AS k FROM orders),
+n AS (SELECT count(*) AS n, max(trial) AS newest, least(ceil(0.1 * count(*)), 25) AS best FROM t),
+g AS (SELECT trial FROM t ORDER BY value DESC, trial LIMIT (SELECT best FROM n)),
+o AS (SELECT {unit('t')}, trial IN (SELECT trial FROM g) AS good, CASE WHEN trial IN (SELECT trial FROM g) THEN 1.0 ELSE least(1.0, (trial + 1) / CAST(greatest(1, newest + 1 - 25) AS DOUBLE)) END AS w,
+  CASE WHEN trial IN (SELECT trial FROM g) THEN best ELSE n - best END AS m FROM t, n),
+u AS (SELECT *, greatest(0.2 * power(m, -1.0 / 7), 1.0 / least(100, m + 1)) AS h FROM o),
+p(candidate, x, y, k) AS (VALUES {points}), c AS (SELECT candidate, {unit('p')} FROM p),
+s AS (SELECT candidate, good, ln((1 + sum(w * {kernel})) / (1 + sum(w))) AS l FROM c, u o GROUP BY ALL)
+SELECT a.candidate, round(a.l, 6) AS log_good, round(b.l, 6) AS log_rest, round(a.l - b.l, 6) AS score FROM s a JOIN s b USING (candidate) WHERE a.good AND NOT b.good"""
+
+
+@query(_tpe_sql())
+def q84_parzen_densities(spark: SparkSession, d: str) -> DataFrame:
+    """What a search would try next if every order were a trial, with its price as the value."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    point = {"x": F.col("o_custkey") % 97, "y": F.day("o_orderdate"), "k": F.col("o_orderkey") % 15}
+    trials = orders.select(F.col("o_orderkey").alias("trial"), F.col("o_totalprice").alias("value"), *(c.cast("double").alias(n) for n, c in point.items()))
+    found = tpe.densities(trials, _TPE_SPACE, _TPE_POINTS)
+    return found.select("candidate", *(F.round(c, 6).alias(c) for c in ("log_good", "log_rest", "score")))
+
+
 @query(f"{_CELLS}, t AS (SELECT o_orderkey AS trial, round(o_totalprice, 2) AS value FROM orders) SELECT trial, value FROM t ORDER BY value DESC, trial LIMIT 20")
 def q77_top_k_trials(spark: SparkSession, d: str) -> DataFrame:
     trials = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("trial"), F.round("o_totalprice", 2).alias("value"))

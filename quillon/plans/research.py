@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.windows import bfill, ffill, row_no
-from quillon.operators import backtest, features, labels, meta, risk, signals, validation
+from quillon.operators import backtest, features, labels, meta, risk, signals, tpe, validation
 from quillon.params import BacktestConfig, DriftConfig, FeatureParams, MetaParams, PrimaryParams, RunnerConfig, apply_overrides
 from quillon.storage import stage, temporary
 
@@ -178,24 +178,43 @@ def objective(bars: DataFrame, point: dict[str, float], min_rows: int = 500, min
 #: Trials under way at once; their jobs are small and wait for the driver most of the time.
 AT_ONCE = 6
 TRIALS = "trial int, value double, mean_sharpe double, std_sharpe double, n_folds bigint, params string"
+#: Trials of a search.
+N_TRIALS = 200
 
 
-def search(spark: SparkSession, bars: DataFrame, n_trials: int, seed: int = 42, **limits: int) -> DataFrame:
-    """The trials (see TRIALS) of a seeded random search; each trial is a few distributed jobs, and a few
-    trials are under way at once."""
-    points, rows = draw(n_trials, seed), []
+def search(spark: SparkSession, bars: DataFrame, n_trials: int = N_TRIALS, seed: int = 42, at_once: int = AT_ONCE, sampler: str = "tpe", **limits: int) -> DataFrame:
+    """The trials (see TRIALS) of a seeded search; each trial is a few distributed jobs, and ``at_once``
+    trials are under way together. ``sampler``: "tpe" proposes as many points at a time, from the trials before;
+    "random" draws them all at first."""
+    space = [tpe.Range(*p) for p in SPACE]
+    points, done = draw(n_trials, seed) if sampler == "random" else [], []
 
     def trial(point: dict[str, float]) -> dict:
         with temporary(spark):
             return objective(bars, point, **limits)
 
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        found = list(pool.map(trial, points))
-    for i, (point, got) in enumerate(zip(points, found, strict=True)):
-        rows.append((i, float(got["value"]), got.get("mean_sharpe"), got.get("std_sharpe"), int(got["n_folds"]), json.dumps(point, sort_keys=True)))
+    with ThreadPoolExecutor(at_once) as pool:
+        while len(done) < n_trials:
+            n = min(at_once, n_trials - len(done))
+            if sampler != "random":
+                points += tpe.propose(_as_trials(spark, points, done), space, seed + len(done), n)
+            own = points[len(done) :] if sampler == "random" else points[-n:]
+            done += pool.map(trial, own)
+    rows = [
+        (i, float(got["value"]), got.get("mean_sharpe"), got.get("std_sharpe"), int(got["n_folds"]), json.dumps(point, sort_keys=True))
+        for i, (point, got) in enumerate(zip(points, done, strict=True))
+    ]
     return spark.createDataFrame(rows, TRIALS)
 
 
+def _as_trials(spark: SparkSession, points: list[dict], done: list[dict]) -> DataFrame | None:
+    if len(done) < tpe.STARTUP:
+        return None
+    names = [name for name, *_ in SPACE]
+    rows = [(i, float(got["value"]), *(float(p[n]) for n in names)) for i, (p, got) in enumerate(zip(points, done, strict=True))]
+    return spark.createDataFrame(rows, ", ".join(["trial int", "value double", *(f"{n} double" for n in names)]))
+
+
 def best_trials(trials: DataFrame, n: int, share: float = 0.1, least: int = 5) -> DataFrame:
     """The best ``share`` of n trials, ``least`` at least; trials without a value come last."""
     return trials.orderBy(F.desc_nulls_last("value"), "trial").limit(max(int(n * share), least))
