@@ -10,15 +10,16 @@ one link; ends of both sides close a group. Links of a batch of documents are th
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,8 +33,6 @@ from quillon.llm.exchange import dump, lean, undump
 RUN = 1 << 14
 #: Links (distinct ones of each document) of a batch that is counted together.
 BATCH_LINKS = 2_000_000
-#: A worker remembers the tokens of so many stretches of text at most, and only of ones this short.
-MEMO, MEMO_CHARS = 400_000, 48
 
 
 @dataclass(frozen=True)
@@ -60,57 +59,61 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-#: Before a single blank between other characters tokens never run on, whatever follows.
-_STRETCH = re.compile(r"(?<=\S)(?= \S)")
-
-
-class ByteMerges:
-    def __init__(self, file: str):
-        self.coder = Tokenizer.from_file(file)
-        self.coder.encode_special_tokens = True
-        self.coder.no_truncation()
-        self.coder.no_padding()
-        of, vocabulary = byte_of_char(), self.coder.get_vocab(with_added_tokens=True)
-        self.tokens = [b""] * (max(vocabulary.values()) + 1)
-        for entry, i in vocabulary.items():
-            self.tokens[i] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_STRETCH.split(" " + t) for t in texts]
-        memo = self.memo
-        new = list({p for x in parts for p in x if p not in memo})
-        found = {p: np.array(e.ids, np.uint16).tobytes() for p, e in zip(new, self.coder.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        get = lambda p: memo[p] if p in memo else found[p]
-        out = [np.frombuffer(b"".join(map(get, x)), np.uint16) for x in parts]
-        if len(memo) + len(found) > MEMO:
-            memo.clear()
-        memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
-        return out
+#: The pattern that splits texts before byte-level merges (a fixed value).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class Coding:
+    """``encode(texts)``: ids of each text with a blank in front. ``tokens``: the bytes of every entry. ``lossless``: no text is
+    normalised, so that the tokens' bytes are its own."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes], lossless: bool):
+        self.encode, self.tokens, self.lossless = encode, tokens, lossless
+        self.sizes = np.array([max(1, len(t)) for t in tokens], np.int64)
 
+    def whole(self, raw: bytes, ids: list[int]) -> bool:
+        """Are these the tokens of the text ``raw``, byte for byte?"""
+        return self.lossless or b"".join(map(self.tokens.__getitem__, ids)) == b" " + raw
 
-class PieceMerges:
-    def __init__(self, file: str):
-        self.coder = sentencepiece.SentencePieceProcessor(model_file=file)
-        name = self.coder.id_to_piece
-        self.tokens = [bytes([int(name(i)[3:5], 16)]) if self.coder.is_byte(i) else name(i).replace("▁", " ").encode() for i in range(self.coder.get_piece_size())]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.uint16) for ids in self.coder.encode(texts, num_threads=1)]
+def byte_merges(file: str) -> Coding:
+    """A byte-level vocabulary. The merges run by the order of ids, which is much faster than by the list of pairs, and the same
+    where every entry is what its own bytes are merged to: a pair that makes an entry without being listed would have stopped
+    those at itself. Other vocabularies, or ones that split or normalise texts in another way, are encoded by the file's own rules."""
+    own = Tokenizer.from_file(file)
+    own.encode_special_tokens = True
+    own.no_truncation()
+    own.no_padding()
+    of, vocabulary, rules = byte_of_char(), own.get_vocab(with_added_tokens=False), json.loads(own.to_str())
+    tokens = [b""] * (max(own.get_vocab(with_added_tokens=True).values()) + 1)
+    for entry, i in vocabulary.items():
+        tokens[i] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
+    special = {t["content"] for t in rules["added_tokens"]}
+    ranks = {tokens[i]: i for entry, i in vocabulary.items() if entry not in special}
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = rules["normalizer"] is None and usual.items() <= (rules["pre_tokenizer"] or {}).items()
+    rising = [i for _, i in sorted((n, vocabulary["".join(m)]) for n, m in enumerate(rules["model"]["merges"]))]
+    if plain and rising == sorted(rising) and all([t.id for t in own.model.tokenize(e)] == [i] for e, i in vocabulary.items() if e not in special):
+        quick = tiktoken.Encoding(file, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return Coding(lambda texts: [quick.encode_ordinary(" " + t) for t in texts], tokens, True)
+    return Coding(lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], tokens, False)
+
+
+def piece_merges(file: str) -> Coding:
+    coder = sentencepiece.SentencePieceProcessor(model_file=file)
+    names = [coder.id_to_piece(i) for i in range(coder.get_piece_size())]
+    tokens = [bytes([int(n[3:5], 16)]) if coder.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+    return Coding(lambda texts: coder.encode(texts, num_threads=1), tokens, False)
 
 
 @lru_cache(maxsize=4)
-def load(coder: Coder, file: str):
-    made = {"bytes": ByteMerges, "pieces": PieceMerges}[coder.kind](file)
+def load(coder: Coder, file: str) -> Coding:
+    made = {"bytes": byte_merges, "pieces": piece_merges}[coder.kind](file)
     if len(made.tokens) > 1 << 16:
         raise ValueError("vocabularies of at most 65536 entries can be aligned")
     return made
 
 
-def sizes_of(coder: Coder, file: str) -> np.ndarray:
-    return np.array([max(1, len(t)) for t in load(coder, file).tokens], np.int64)
-
-
 def shipped(spark: SparkSession, coder: Coder) -> str:
     """The file's name on the executors."""
     spark.sparkContext.addFile(coder.file)
@@ -131,19 +134,19 @@ def end_events(docs: DataFrame, coder: Coder, side: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        made = load(coder, SparkFiles.get(name))
-        sizes, tokens = sizes_of(coder, SparkFiles.get(name)), made.tokens
+        made, none = load(coder, SparkFiles.get(name)), np.zeros(0, np.uint16)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
             rows = []
-            for doc_id, text, ids in zip(batch["doc_id"].to_pylist(), texts, made.encode(texts), strict=True):
+            for doc_id, text, found in zip(batch["doc_id"].to_pylist(), texts, made.encode(texts), strict=True):
                 raw = text.encode()
-                whole = bool(raw) and b"".join(map(tokens.__getitem__, ids.tolist())) == b" " + raw
-                ids = ids if whole else ids[:0]
-                starts = np.concatenate([[0], np.cumsum(sizes[ids])])
-                key, size = xxhash.xxh3_128_digest(raw), int(starts[-1])
+                whole = bool(raw) and made.whole(raw, found)
+                ids = np.array(found, np.uint16) if whole else none
+                key, size, at = xxhash.xxh3_128_digest(raw), len(raw) + 1 if whole else 0, 0
                 for i in range(0, max(1, len(ids)), RUN):
-                    rows.append((doc_id, key, int(starts[i]), side, whole, size, ids[i : i + RUN].astype("<u2").tobytes()))
+                    run = ids[i : i + RUN]
+                    rows.append((doc_id, key, at, side, whole, size, run.astype("<u2").tobytes()))
+                    at += int(made.sizes[run].sum())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _EVENTS, strict=True)], schema=_EVENTS) if rows else pa.RecordBatch.from_pylist([], _EVENTS)
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -336,7 +339,7 @@ def sweep(events: DataFrame, a: Coder, b: Coder) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        machine = Machine(sizes_of(a, SparkFiles.get(names[0])), sizes_of(b, SparkFiles.get(names[1])))
+        machine = Machine(load(a, SparkFiles.get(names[0])).sizes, load(b, SparkFiles.get(names[1])).sizes)
         held: list[tuple] = []
         n = 0
 
@@ -428,7 +431,7 @@ def groups(docs: DataFrame, a: Coder = A, b: Coder = B) -> DataFrame:
     names = shipped(spark, a), shipped(spark, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(sizes_of(a, SparkFiles.get(names[0])), sizes_of(b, SparkFiles.get(names[1])))
+        machine = Machine(load(a, SparkFiles.get(names[0])).sizes, load(b, SparkFiles.get(names[1])).sizes)
         for batch in batches:
             machine.take(_rows(batch))
             s, parts = machine.settle()
