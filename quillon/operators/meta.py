@@ -1,31 +1,32 @@
-"""The meta model: gradient-boosted trees that say how likely a signal is to reach its target."""
+"""The meta model: boosted trees that say how likely a signal is to reach its target."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators import boosting
 from quillon.params import MetaParams
+from quillon.storage import stage
 
 
 @dataclass(frozen=True)
 class MetaModel:
     features: tuple[str, ...]
-    model: PipelineModel
+    #: A row for each node (boosting.TREES).
+    trees: pd.DataFrame
     params: MetaParams
 
     def probabilities(self, df: DataFrame) -> DataFrame:
-        """``df`` with prob. A missing feature is an error."""
+        """``df`` with prob, NULL where a feature is. A missing feature is an error."""
         if missing := [c for c in self.features if c not in df.columns]:
             raise KeyError(f"missing features: {missing[:5]}")
-        out = self.model.transform(df).withColumn("prob", vector_to_array("probability")[1])
-        return out.drop("__features", "rawPrediction", "probability", "prediction")
+        margin = boosting.margins(self.trees)(F.array(*(F.col(f"`{c}`").cast("double") for c in self.features)))
+        return df.withColumn("prob", 1 / (1 + F.exp(-margin)))
 
     def filter_signals(self, df: DataFrame, threshold: float | None = None, side: str = "side") -> DataFrame:
         """Rows with a side, with prob and take."""
@@ -33,19 +34,26 @@ class MetaModel:
         return self.probabilities(df.filter(F.col(side) != 0)).withColumn("take", F.col("prob") >= least)
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """Two small tables below ``path``: the trees, and features and parameters as JSON."""
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(self.trees.astype(object).where(self.trees.notna(), None), boosting.TREES).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+        told = json.dumps({"features": self.features, "params": asdict(self.params)})
+        spark.createDataFrame([(told,)], "value string").write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
     def load(cls, path: str, params: MetaParams | None = None) -> "MetaModel":
-        model = PipelineModel.load(path)
-        return cls(tuple(model.stages[0].getInputCols()), model, params or MetaParams())
+        spark = SparkSession.getActiveSession()
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        return cls(tuple(about["features"]), spark.read.parquet(f"{path}/trees").toPandas(), params or MetaParams(**about["params"]))
 
 
 def fit(train: DataFrame, features: list[str], params: MetaParams | None = None, label: str = "y") -> MetaModel:
-    """Fits on rows with all features and the label 0 or 1; both kinds weigh the same in total. Rows of
-    one kind only, or none, are an error."""
+    """Fits on rows with all features and the label 0 or 1; both kinds weigh the same in total, so that trees begin
+    from even chances. Rows of one kind only, or none, are an error."""
     p = params or MetaParams()
-    rows = train.select(*features, F.col(label).cast("double").alias("__y")).na.drop()
+    names = [f"f{i}" for i in range(len(features))]
+    columns = [F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(features, names, strict=True)]
+    rows = stage(train.select(*columns, F.col(label).cast("double").alias("__y")).na.drop(), "training")
     counts = {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}
     if not counts:
         raise ValueError("no training rows: there are no labelled events")
@@ -53,11 +61,5 @@ def fit(train: DataFrame, features: list[str], params: MetaParams | None = None,
         raise ValueError(f"training labels are all {int(next(iter(counts)))}; both kinds are needed")
     total = sum(counts.values())
     weight = F.when(F.col("__y") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
-    rows = rows.withColumn("__weight", weight)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="__features")
-    trees = GBTClassifier(
-        featuresCol="__features", labelCol="__y", weightCol="__weight", maxDepth=p.max_depth, maxIter=p.n_estimators, stepSize=p.learning_rate,
-        subsamplingRate=p.subsample, minInstancesPerNode=min(p.min_child_samples, max(1, total // 20)), seed=p.seed,
-    )
-    fitted = trees.fit(assembler.transform(rows))
-    return MetaModel(tuple(features), PipelineModel(stages=[assembler, fitted]), p)
+    trees = boosting.train(rows.withColumn("__weight", weight), names, "__y", "__weight", p, total)
+    return MetaModel(tuple(features), trees, p)

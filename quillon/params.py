@@ -91,11 +91,17 @@ class BacktestConfig:
 
 @dataclass(frozen=True)
 class MetaParams:
-    max_depth: int = 5
+    """``max_depth`` -1: no limit. ``subsample`` is accepted and has no effect, as rows are not sampled between trees."""
+
+    num_leaves: int = 31
+    max_depth: int = -1
     learning_rate: float = 0.05
-    n_estimators: int = 40
+    n_estimators: int = 400
     min_child_samples: int = 20
     subsample: float = 0.8
+    colsample_bytree: float = 0.8
+    reg_alpha: float = 0.0
+    reg_lambda: float = 0.0
     threshold: float = 0.55
     seed: int = 42
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import windows as W
 from quillon.functions.blocks import Blocks
-from quillon.operators import backtest, features, labels, long_series, meta, risk, signals, tpe, validation
+from quillon.operators import backtest, boosting, features, labels, long_series, meta, risk, signals, tpe, validation
 from quillon.params import BacktestConfig, DriftConfig, MetaParams, PrimaryParams, RiskLimits
 from quillon.plans import research
 from quillon.plans.sqltext import (
@@ -519,7 +519,7 @@ def q47_primary_signal_cooldown(spark: SparkSession, d: str) -> DataFrame:
 _META = ["trend_align", "rsi", "bb_z", "bb_pct_b", "atr_pct", "macd_hist_z"]
 
 
-#: Trees of the reference's meta model; depth and the rest are MetaParams' defaults.
+#: The default of MetaParams, as are leaves and the rest.
 TREES = 400
 
 
@@ -545,6 +545,41 @@ def q49_meta_filter_signals(spark: SparkSession, d: str) -> DataFrame:
     return _meta_fit(rows).filter_signals(rows.withColumn("side", F.when(F.col("trend_align") > 0, 1).otherwise(-1))).select("symbol", "ts", "side", "prob", "take")
 
 
+#: Columns of lineitem with fewer values than a feature has bins, so that each value is an edge; the label is a return.
+_TREE_FEATURES = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax", "month": "month(l_shipdate)"}
+
+
+def _first_splits_sql() -> str:
+    """Best splits of the root and of its two halves, from sums of gradients by value."""
+    names = list(_TREE_FEATURES)
+    columns = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _TREE_FEATURES.items())
+
+    def level(name: str, source: str) -> str:
+        values = " UNION ALL ".join(f"SELECT node, {i} AS f, {n} AS v, g, h FROM {source}" for i, n in enumerate(names))
+        return f"""{name}0 AS (SELECT node, f, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({values}) GROUP BY ALL),
+{name}1 AS (SELECT node, f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER p AS gt, sum(h) OVER p AS ht, sum(n) OVER p AS nt FROM {name}0
+  WINDOW w AS (PARTITION BY node, f ORDER BY v), p AS (PARTITION BY node, f)),
+{name}2 AS (SELECT *, gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht AS gain FROM {name}1 WHERE nl >= 20 AND nt - nl >= 20),
+{name} AS (SELECT * FROM {name}2 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, f, v) = 1)"""
+
+    split = " ".join(f"WHEN f = {i} THEN CAST({n} > v AS INT)" for i, n in enumerate(names))
+    return f"""x AS (SELECT {columns}, CAST(l_returnflag = 'R' AS DOUBLE) AS y FROM lineitem), c AS (SELECT count(*) AS n, sum(y) AS n1 FROM x),
+r AS (SELECT 0 AS node, x.*, CASE WHEN y = 1 THEN n / (2 * n1) ELSE n / (2 * (n - n1)) END * (0.5 - y) AS g, CASE WHEN y = 1 THEN n / (2 * n1) ELSE n / (2 * (n - n1)) END * 0.25 AS h FROM x, c),
+{level('a', 'r')}, k AS (SELECT 1 + CASE {split} END AS node, r.* EXCLUDE (node) FROM r, a), {level('b', 'k')}
+SELECT node, CASE f {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names))} END AS feature, round(v, 4) AS threshold, round(gain, 4) AS gain, CAST(nt AS BIGINT) AS rows FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
+
+
+@query(_first_splits_sql())
+def q85_first_tree_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Root and second level of a tree that tells returned items apart, over every line item."""
+    columns = (F.expr(e).cast("double").alias(n) for n, e in _TREE_FEATURES.items())
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(*columns, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    model = meta.fit(rows, list(_TREE_FEATURES), MetaParams(n_estimators=1, max_depth=2, colsample_bytree=1.0))
+    nodes = spark.createDataFrame(model.trees.astype(object).where(model.trees.notna(), None), boosting.TREES)
+    name = F.element_at(F.array(*map(F.lit, _TREE_FEATURES)), F.col("feature") + 1)
+    return nodes.filter("feature IS NOT NULL").select("node", name.alias("feature"), F.round("threshold", 4).alias("threshold"), F.round("gain", 4).alias("gain"), "rows")
+
+
 @query(f"""{VWAP}, k AS (SELECT symbol, ts, close AS price, 0.3 + 0.4 * (volume % 10) / 9.0 AS p, 0.5 + (volume % 7) / 3.0 AS b, (high - low) / close AS vol FROM bars),
 f AS (SELECT *, least(greatest(0.25 * greatest(p - (1 - p) / b, 0), 0), 1) AS kelly, CASE WHEN vol > 0 THEN 10000 * least(0.15 / vol, 3) / price ELSE 0 END AS units FROM k)
 SELECT symbol, ts, round(kelly, 8) AS kelly, round(units, 8) AS units, round(CASE WHEN p < 0.52 THEN 0 ELSE units * least(kelly / 0.25, 1) END, 8) AS size FROM f""")

@@ -203,7 +203,7 @@ def test_meta_guards_and_round_trip(spark, tmp_path):
     x = rng.normal(size=(300, 2))
     rows = [(float(a), float(b), int(a + 0.2 * rng.normal() > 0)) for a, b in x]
     df = spark.createDataFrame(rows, "a double, b double, y int")
-    model = meta.fit(df, ["a", "b"], MetaParams(n_estimators=5))
+    model = meta.fit(df, ["a", "b"], MetaParams(n_estimators=40))
     scored = model.probabilities(df)
     assert scored.filter("y = 1").agg(F.avg("prob")).first()[0] > scored.filter("y = 0").agg(F.avg("prob")).first()[0] + 0.3
     model.save(str(tmp_path / "m"))
