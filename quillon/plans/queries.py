@@ -953,9 +953,13 @@ lv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY
 u AS (SELECT symbol, x, sum(a) AS a, sum(b) AS b FROM (SELECT symbol, x, 1 AS a, 0 AS b FROM rf UNION ALL SELECT symbol, x, 0, 1 FROM lv) GROUP BY ALL),
 g AS (SELECT symbol, max(abs(d)) AS ks FROM (SELECT symbol, CAST(sum(a) OVER (PARTITION BY symbol ORDER BY x) AS DOUBLE) / sum(a) OVER (PARTITION BY symbol) - CAST(sum(b) OVER (PARTITION BY symbol ORDER BY x) AS DOUBLE) / sum(b) OVER (PARTITION BY symbol) AS d FROM u) GROUP BY symbol),
 m AS (SELECT symbol, avg(x) AS rm, stddev_pop(x) + 1e-9 AS rs, count(*) AS m FROM rf GROUP BY symbol), l AS (SELECT symbol, avg(x) AS lm, count(*) AS n FROM lv GROUP BY symbol),
-f AS (SELECT symbol, n, ks, (lm - rm) / rs * sqrt(n) AS z, sqrt(n * m::DOUBLE / (n + m)) * ks AS lam FROM g JOIN m USING (symbol) JOIN l USING (symbol)),
-p AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(least({' + '.join(f'{2.0 * (-1) ** (j - 1)} * exp({-2.0 * j * j} * lam * lam)' for j in range(1, 26))}, 1.0), 0.0) END AS p FROM f)
-SELECT symbol, n AS "rows", round(ks, 6) AS ks, round(CAST(p AS DOUBLE), 6) AS ks_p, round(z, 6) AS z, coalesce(n >= 50 AND (p < 0.01 OR abs(z) > 3), false) AS drift FROM p""")
+f AS (SELECT symbol, n, m, ks, (lm - rm) / rs * sqrt(n) AS z FROM g JOIN m USING (symbol) JOIN l USING (symbol)),
+v AS (SELECT symbol, n::BIGINT AS n, m::BIGINT AS m, round(ks * n * m)::BIGINT AS reach FROM f),
+w AS (SELECT symbol, 0::BIGINT AS s, [CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR i IN range(n + 1)] AS p FROM v
+  UNION ALL SELECT symbol, s + 1, list_transform(range(n + 1), lambda i: CASE WHEN s + 1 - i BETWEEN 0 AND m AND abs(i * m - (s + 1 - i) * n) < reach
+    THEN (coalesce(p[i], 0) * (n - i + 1) + p[i + 1] * (m - s + i)) / (n + m - s) ELSE 0.0::DOUBLE END) FROM w JOIN v USING (symbol) WHERE s < n + m),
+p AS (SELECT f.*, 1 - w.p[v.n + 1] AS p FROM f JOIN v USING (symbol) JOIN w ON w.symbol = v.symbol AND w.s = v.n + v.m)
+SELECT symbol, n AS "rows", round(ks, 6) AS ks, round(p, 6) AS ks_p, round(z, 6) AS z, coalesce(n >= 50 AND (p < 0.01 OR abs(z) > 3), false) AS drift FROM p""")
 def q76_drift_ks_z(spark: SparkSession, d: str) -> DataFrame:
     values = features.add_returns(daily(spark, d)).select("symbol", "ts", F.round("log_ret", 4).alias("x"))
     cut = F.lit("1996-01-01").cast("timestamp_ntz")

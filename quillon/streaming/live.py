@@ -6,6 +6,8 @@ rows and pivots count from their confirmation.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.operators.kolmogorov import p_value
 from quillon.operators.meta import MetaModel
 from quillon.params import DriftConfig, RunnerConfig
 from quillon.plans import research
@@ -99,18 +102,25 @@ def drift_monitor(values: DataFrame, reference: dict[str, list[float]], cfg: Dri
         window = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values("ts", ignore_index=True)
         ref, out = samples.get(key[0]), []
-        for ts, x in zip(pdf["ts"], pdf["x"], strict=True):
-            window = [*window, float(x)][-cfg.window :]
+        live = sorted(window)  # kept in order: a value goes out and one comes in
+        sum_ = math.fsum(window)
+        for ts, x in zip(pdf["ts"], pdf["x"].astype(float), strict=True):
+            window.append(x)
+            insort(live, x)
+            sum_ += x
+            if len(window) > cfg.window:
+                gone = window.pop(0)
+                del live[bisect_left(live, gone)]
+                sum_ -= gone
             if ref is None or len(window) < 50:
                 out.append((key[0], ts, len(window), None, None, False))
                 continue
-            live = np.sort(window)
-            at = np.concatenate([ref, live])
-            ks = np.abs(np.searchsorted(ref, at, "right") / len(ref) - np.searchsorted(live, at, "right") / len(live)).max()
-            z = (live.mean() - ref.mean()) / (ref.std() + 1e-9) * np.sqrt(len(live))
-            lam = np.sqrt(len(ref) * len(live) / (len(ref) + len(live))) * ks
-            p = 1.0 if lam < 0.2 else min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * np.exp(-2 * j * j * lam * lam) for j in range(1, 26))))
-            out.append((key[0], ts, len(window), z, ks, bool(p < cfg.ks_p_threshold or abs(z) > cfg.mean_z_threshold)))
+            now = np.array(live)
+            at = np.concatenate([ref, now])
+            ks = np.abs(np.searchsorted(ref, at, "right") / len(ref) - np.searchsorted(now, at, "right") / len(now)).max()
+            z = (sum_ / len(now) - ref.mean()) / (ref.std() + 1e-9) * np.sqrt(len(now))
+            far = abs(z) > cfg.mean_z_threshold or p_value(float(ks), len(now), len(ref)) < cfg.ks_p_threshold
+            out.append((key[0], ts, len(window), z, ks, bool(far)))
         state.update((window,))
         yield pd.DataFrame(out, columns=["symbol", "ts", "rows", "z", "ks", "drift"])
 
