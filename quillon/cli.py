@@ -12,7 +12,7 @@ from quillon.params import interval, load_overrides
 from quillon.plans import research
 from quillon.session import session
 from quillon.sources import bars as B
-from quillon.streaming import live
+from quillon.streaming import live, shadow
 
 
 def _bars(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -54,7 +54,7 @@ def shadow(spark: SparkSession, args: argparse.Namespace) -> None:
     bars = live.streaming_bars(spark.readStream.schema(schema).parquet(args.ticks), interval(args.interval))
     model = MetaModel.load(args.model) if args.model else None
     settings = _settings(args)
-    live.shadow_ledger(bars, args.bars, f"{args.out}/ledger", f"{args.out}/checkpoint", settings, model, once=args.once).awaitTermination()
+    shadow.shadow_ledger(bars, args.bars, f"{args.out}/ledger", f"{args.out}/checkpoint", settings, model, once=args.once).awaitTermination()
 
 
 def main(argv: list[str] | None = None) -> None:

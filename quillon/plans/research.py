@@ -59,31 +59,39 @@ def last_trades(ledger: DataFrame, n: int = 500) -> DataFrame:
 REFERENCE_RETURNS = 1000
 
 
-def shadow_step(bars: DataFrame, s: Settings | None = None, model: meta.MetaModel | None = None, runner: RunnerConfig | None = None, drift: DriftConfig | None = None) -> DataFrame:
-    """What the last bar of each symbol says: symbol, ts, side, score, mode, prob, price, atr, vol_64, action.
-
-    Symbols with fewer bars or complete feature rows than ``runner`` asks for are left out. The model's
-    threshold sets the side to 0. Action: "halt-drift" where the last returns drift from the
-    REFERENCE_RETURNS before them, else "paper_fill" for a side and "none" without.
+def shadow_step(
+    bars: DataFrame, s: Settings | None = None, model: meta.MetaModel | None = None, runner: RunnerConfig | None = None, drift: DriftConfig | None = None,
+    judged: DataFrame | None = None,
+) -> DataFrame:
+    """What the last bar of each symbol says, or each of the bars ``judged`` (symbol, ts): symbol, ts, side, score,
+    mode, prob, price, atr, atr_pct, vol_64, action.
+
+    Symbols with fewer bars or complete feature rows than ``runner`` asks for are left out, and so are judged bars
+    without complete features. The model's threshold sets the side to 0. Action: "halt-drift" where the last
+    returns at the bar drift from the REFERENCE_RETURNS before them, else "paper_fill" for a side and "none" without.
     """
     s, runner, drift = s or Settings(), runner or RunnerConfig(), drift or DriftConfig()
     enough = bars.groupBy("symbol").count().filter(F.col("count") >= runner.min_bars).select("symbol")
     table = signal_table(bars.join(enough, "symbol", "left_semi"), s)
     complete = table.groupBy("symbol").count().filter(F.col("count") >= runner.min_feature_rows).select("symbol")
-    table = table.join(complete, "symbol", "left_semi")
-    now = last_rows(table)
+    table = table.join(complete, "symbol", "left_semi").withColumn("n", row_no())
+    now = last_rows(table) if judged is None else table.join(judged.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
     scored = model.probabilities(now) if model else now.withColumn("prob", F.lit(None).cast("double"))
     least = model.params.threshold if model else 0.0
-    age = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
-    returns = table.select("symbol", "ts", F.col("log_ret").alias("x")).withColumn("age", age)
-    before = returns.filter((F.col("age") > drift.window) & (F.col("age") <= drift.window + REFERENCE_RETURNS))
-    drifts = risk.drift(before.drop("age"), returns.filter(F.col("age") <= drift.window).drop("age"), drift).select("symbol", "drift")
+    # each judged bar with the returns up to it, as a symbol of its own
+    reach = drift.window + REFERENCE_RETURNS
+    of_bar = F.concat_ws("/", "symbol", "e").alias("symbol")
+    near = labels.band_join(now.select("symbol", (F.col("n") - reach + 1).alias("e")), table.select("symbol", "n", F.col("log_ret").alias("x"), F.col("ts")), reach - 1)
+    late = F.col("n") > F.col("e") + REFERENCE_RETURNS - 1
+    before, recent = (near.filter(c).select(of_bar, "ts", "x") for c in (~late, late))
+    drifts = risk.drift(before, recent, drift).select(F.col("symbol").alias("bar"), "drift")
     side = F.when(F.col("prob") < least, 0).otherwise(F.col("primary_side"))
-    out = scored.join(drifts, "symbol", "left").withColumn("side", side)
+    own = scored.withColumn("bar", F.concat_ws("/", "symbol", F.col("n") - reach + 1))
+    out = own.join(drifts, "bar", "left").withColumn("side", side)
     action = F.when(F.coalesce("drift", F.lit(False)), "halt-drift").when(F.col("side") != 0, "paper_fill").otherwise("none")
     return out.select(
         "symbol", "ts", F.col("side").cast("int").alias("side"), F.col("primary_score").alias("score"), F.col("primary_mode").cast("int").alias("mode"), "prob",
-        F.col("close").alias("price"), F.col("atr_14").alias("atr"), "vol_64", action.alias("action"),
+        F.col("close").alias("price"), F.col("atr_14").alias("atr"), "atr_pct", "vol_64", action.alias("action"),
     )
 
 

@@ -100,7 +100,9 @@ def append_bars(new: DataFrame, path: str) -> None:
     there stays: a cache is only appended to, whereas ``merge_bars`` prefers the new bars."""
     spark = new.sparkSession
     try:
-        old = spark.read.parquet(path).select("symbol", "ts")
+        # only the new symbols' folders and what can be as late as the new bars is read
+        span = new.agg(F.min("ts"), F.collect_set("symbol")).first()
+        old = read_bars(spark, path, span[1], span[0]).select("symbol", "ts")
         new = new.join(old, ["symbol", "ts"], "left_anti")
     except Exception as error:  # noqa: BLE001  the first call finds no cache
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
