@@ -6,6 +6,8 @@ thresholds to have events of every kind. Doubles are rounded alike on both sides
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -35,7 +37,8 @@ from quillon.plans.sqltext import (
     zscore,
 )
 from quillon.sources import bars as B
-from quillon.storage import stage
+from quillon.sources import klines
+from quillon.storage import shared_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,6 +114,19 @@ def q04_event_hour_bars(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hourly(spark, d), 4, "open", "high", "low", "close", "volume")
 
 
+@as_in("q04_event_hour_bars")
+def q07_kline_source(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars of the events, kept as raw pages and paged through by the kline source."""
+    klines.register(spark)
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    bars = stage(hourly(spark, d), "hourly")
+    klines.write_pages(bars, path)
+    first, last, symbols = bars.agg(F.min("ts"), F.max("ts"), F.collect_set("symbol")).first()
+    ms = lambda t: str(int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1000))
+    options = {"folder": path, "symbols": ",".join(sorted(symbols)), "interval": "60", "start": ms(first), "end": ms(last + dt.timedelta(hours=1)), "pause": "0", "wait": "0.1"}
+    return rounded(spark.read.format("klines").options(**options).load(), 4, "open", "high", "low", "close", "volume")
+
+
 @query(f"{EVENT_BARS} SELECT symbol, ts, open, high, low, close, volume, turnover FROM bars")
 def q05_api_page_normaliser(spark: SparkSession, d: str) -> DataFrame:
     """Bars as raw pages of 200 rows, newest first, and back."""
