@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
+import os
+import sys
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +52,7 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
     research.train_meta(_bars(spark, args), _settings(args)).save(args.out)
 
 
-def shadow(spark: SparkSession, args: argparse.Namespace) -> None:
+def shadow_loop(spark: SparkSession, args: argparse.Namespace) -> None:
     """Adds the bars of new tick files to the cache and appends paper fills to the ledger; places no orders."""
     schema = "symbol string, ts timestamp, price double, volume double, turnover double, tie bigint"
     bars = live.streaming_bars(spark.readStream.schema(schema).parquet(args.ticks), interval(args.interval))
@@ -57,12 +61,16 @@ def shadow(spark: SparkSession, args: argparse.Namespace) -> None:
     shadow.shadow_ledger(bars, args.bars, f"{args.out}/ledger", f"{args.out}/checkpoint", settings, model, once=args.once).awaitTermination()
 
 
-def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="quillon")
-    commands = parser.add_subparsers(required=True)
-    for run in (fetch, backtest, optimize, train, shadow):
-        p = commands.add_parser(run.__name__, help=run.__doc__)
-        p.set_defaults(run=run)
+COMMANDS = {f.__name__: f for f in (fetch, backtest, optimize, train, shadow_loop)}
+log = logging.getLogger("quillon")
+
+
+def parser() -> argparse.ArgumentParser:
+    out = argparse.ArgumentParser(prog="quillon")
+    commands = out.add_subparsers(required=True, dest="command")
+    for name, run in COMMANDS.items():
+        p = commands.add_parser(name.removesuffix("_loop"), help=run.__doc__)
+        p.set_defaults(run=name)
         p.add_argument("--bars", help="bar cache")
         p.add_argument("--ticks")
         p.add_argument("--symbols", nargs="*")
@@ -73,9 +81,38 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--seed", type=int, default=42)
         p.add_argument("--once", action="store_true")
         p.add_argument("--out")
-    args = parser.parse_args(argv)
-    args.run(session("quillon"), args)
+    return out
+
+
+def main(argv: list[str] | None = None) -> None:
+    args = parser().parse_args(argv)
+    COMMANDS[args.run](session("quillon"), args)
+
+
+def dispatch(env: Mapping[str, str] = os.environ) -> int:
+    """Runs the command that RUN_MODE names, with its options from QUILLON_BARS, QUILLON_TICKS and so on, for containers: exit code
+    0, 1 after an error, 2 for an unknown mode, 130 when interrupted."""
+    mode = env.get("RUN_MODE", "").strip().lower()
+    known = [n.removesuffix("_loop") for n in COMMANDS]
+    if mode not in known:
+        log.error("unknown RUN_MODE %r; known: %s", mode, ", ".join(known))
+        return 2
+    argv = [mode, *(["--once"] if env.get("QUILLON_ONCE", "").lower() in ("1", "true", "yes") else [])]
+    for name in ("bars", "ticks", "interval", "params", "model", "trials", "seed", "out"):
+        if value := env.get(f"QUILLON_{name.upper()}"):
+            argv += [f"--{name}", value]
+    if symbols := [s.strip().upper() for s in env.get("QUILLON_SYMBOLS", "").split(",") if s.strip()]:
+        argv += ["--symbols", *symbols]
+    try:
+        main(argv)
+    except KeyboardInterrupt:
+        log.warning("interrupted")
+        return 130
+    except Exception:  # noqa: BLE001  the exit code says so
+        log.exception("%s failed", mode)
+        return 1
+    return 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(dispatch() if len(sys.argv) == 1 and "RUN_MODE" in os.environ else main())

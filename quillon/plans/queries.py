@@ -880,6 +880,12 @@ def q70_grid_group_means(spark: SparkSession, d: str) -> DataFrame:
     return research.viability(_cells(spark, d))
 
 
+@query(f"{_CELLS} SELECT CAST(grouping_id(profile, tf_min) AS INT) AS level, coalesce(profile, 'all') AS profile, coalesce(CAST(tf_min AS VARCHAR), 'all') AS tf_min, count(*) AS cells, {_MEANS} FROM ce GROUP BY ROLLUP (profile, tf_min)")
+def q86_rollup_report(spark: SparkSession, d: str) -> DataFrame:
+    every = {c: F.coalesce(F.col(c).cast("string"), F.lit("all")) for c in ("profile", "tf_min")}
+    return research.rollup_report(_cells(spark, d)).withColumns(every)
+
+
 @query(f"""{_CELLS} SELECT count(*) AS cells, CAST(sum(n_trades) AS BIGINT) AS trades, CAST(count_if(equity_pct > 0) AS BIGINT) AS profitable, CAST(count_if(profit_factor > 1.2) AS BIGINT) AS pf_ok, CAST(count_if(sharpe > 0.8) AS BIGINT) AS sharpe_ok,
   CAST(count_if(max_dd > -0.3) AS BIGINT) AS mdd_ok, round(avg(sharpe), 6) AS mean_sharpe, round(median(sharpe), 6) AS median_sharpe FROM ce""")
 def q71_health_counts(spark: SparkSession, d: str) -> DataFrame:

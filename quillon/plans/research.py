@@ -238,6 +238,15 @@ def report(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(*(F.round(F.avg(x), 3).alias(c) for c, x in means.items()))
 
 
+def rollup_report(cells: DataFrame) -> DataFrame:
+    """The report's means by profile and timeframe, by profile and over all, in one aggregation: level (0, 1 or 3, the grouping
+    id), profile and tf_min (NULL where summed over), cells, means. A profile that is NULL itself is told apart by the level."""
+    pf = F.when(F.abs("profit_factor") < float("inf"), F.col("profit_factor"))
+    means = {"n_trades": F.col("n_trades"), "sharpe": F.col("sharpe"), "pf": pf, "win": F.col("win_rate"), "mdd": F.col("max_dd"), "eq_pct": F.col("equity_pct")}
+    level = F.grouping_id().cast("int").alias("level")
+    return cells.rollup("profile", "tf_min").agg(level, F.count(F.lit(1)).alias("cells"), *(F.round(F.avg(x), 3).alias(c) for c, x in means.items()))
+
+
 def viability(cells: DataFrame) -> DataFrame:
     """The report by profile and timeframe with a flag: live-ready, avoid or none."""
     df = report(cells, ["profile", "tf_min"])
