@@ -438,18 +438,20 @@ def keep_one(docs: DataFrame, join: Join | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: one row of each component, of those with its smallest doc_id; of
     several rows with that doc_id the one whose text comes first in an order by hash. Rows without a
     doc_id stay. All columns and no others, whatever their names; an empty table stays empty."""
-    own, place = free_name(docs, "own"), free_name(docs, "place")
+    own, place, n, first = (free_name(docs, c) for c in ("own", "place", "n", "first"))
     found = near_duplicates(docs, join).filter("doc_id IS NOT NULL")
-    found = materialize(found.select(F.col("doc_id").alias(own), "component_id"), workspace(docs.sparkSession, "found"))
-    drop = found.filter(F.col(own) != F.col("component_id")).select(own).distinct()
-    stays = docs.withColumn(own, F.col("doc_id").cast("bigint")).join(drop, own, "left_anti")
-    # few or no doc_ids are repeated; only their rows are sorted
-    repeated_ids = found.groupBy(own).count().filter("count > 1").select(own)
-    first = Window.partitionBy(own).orderBy(F.xxhash64("text"), "text")
-    among = stays.join(repeated_ids, own, "left_semi").withColumn(place, F.row_number().over(first))
-    single = stays.join(repeated_ids, own, "left_anti")
+    ids = found.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias(n), F.min("component_id").alias(first))
+    odd = materialize(ids.filter((F.col(own) != F.col(first)) | (F.col(n) > 1)), workspace(docs.sparkSession, "odd"))
+    # texts are dealt once, whatever the size of the other side, which grows with them
+    joined = docs.withColumn(own, F.col("doc_id").cast("bigint")).join(odd.hint("merge"), own, "left")
+    stays = joined.filter(F.col(first).isNull() | (F.col(own) == F.col(first)))
     columns = [quoted(c) for c in docs.columns]
-    return single.select(*columns).unionByName(among.filter(F.col(place) == 1).select(*columns))
+    if not odd.filter((F.col(own) == F.col(first)) & (F.col(n) > 1)).limit(1).count():
+        return stays.select(*columns)
+    # few doc_ids are repeated; only their rows are sorted
+    by_text = Window.partitionBy(own).orderBy(F.xxhash64("text"), "text")
+    among = stays.filter(F.col(n) > 1).withColumn(place, F.row_number().over(by_text)).filter(F.col(place) == 1)
+    return stays.filter(F.col(n).isNull() | (F.col(n) == 1)).select(*columns).unionByName(among.select(*columns))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
