@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.common import quoted
+
 OPEN = "### "
 NAMED = ":\n"
 CLOSE = "</turn>\n"
@@ -110,7 +112,8 @@ def _exploded(df: DataFrame, turns: Column) -> DataFrame:
 
 
 def canonical_turns(df: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a table in any known layout."""
+    """conv_id, turn, role, text of a table in any known layout. Nulls stay, rows that are repeated give their turns as often, an
+    empty table gives none, and columns that no layout knows don't matter."""
     found = mapping_of(df.schema)
     if found.turns is None:
         return df.select(
@@ -158,19 +161,21 @@ def canonical_json(df: DataFrame, record: str = "record") -> DataFrame:
 
     Each record's known fields select its mapping; fields that no layout knows don't count, and those
     that a mapping calls optional may be missing. Records that aren't JSON or fit no layout, or several,
-    give no turns; ``rejected_json`` returns them.
+    give no turns; ``rejected_json`` returns them. Repeated rows give their turns as often, rows without a conv_id
+    theirs without one, and an empty table none. Other columns, whatever their names, don't matter.
     """
-    shaped, turns, typed = _matched(df, record), F.lit(None), {}
+    shaped, turns, typed = _matched(df.select("conv_id", quoted(record).alias("record")), "record"), F.lit(None), {}
     for i, m in enumerate(_JSON):
         mine = F.col("__layout") == i
-        typed[f"__r{i}"] = F.from_json(F.when(mine, F.col(record)), m.json_type)
+        typed[f"__r{i}"] = F.from_json(F.when(mine, F.col("record")), m.json_type)
         turns = F.when(mine, F.expr(m.turns.format(r=f"__r{i}."))).otherwise(turns)
     return _exploded(shaped.withColumns(typed), turns)
 
 
 def rejected_json(df: DataFrame, record: str = "record") -> DataFrame:
-    """The rows of ``df`` that give ``canonical_json`` no layout."""
-    return _matched(df, record).filter("__layout IS NULL").select(*df.columns)
+    """The rows of ``df`` that give ``canonical_json`` no layout, with all their columns, whatever their names."""
+    packed = df.select(F.struct(*map(quoted, df.columns)).alias("row"), quoted(record).alias("record"))
+    return _matched(packed, "record").filter("__layout IS NULL").select(*(F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 # --- template ------------------------------------------------------------------------------------

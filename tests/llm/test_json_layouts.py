@@ -26,3 +26,14 @@ def test_json_layouts(spark):
         (4, 0): user, (4, 1): reply(None), (5, 0): user, (5, 1): reply(None),
     }
     assert {r["conv_id"] for r in chat.rejected_json(df).collect()} == {6, 7, 8, 9, 10}
+
+
+def test_names_of_the_table_do_not_clash(spark):
+    names = ("__v", "__found", "__layout", "__r0", "row", "a.b")
+    rows = [(i, r, *(f"{n}{i}" for n in names)) for i, r in enumerate(RECORDS)]
+    df = spark.createDataFrame(rows, "conv_id bigint, `rec.ord` string, " + ", ".join(f"`{n}` string" for n in names))
+    rejected = chat.rejected_json(df, "rec.ord")
+    assert rejected.columns == df.columns
+    assert {tuple(r) for r in rejected.collect()} == {rows[i] for i in (6, 7, 8, 9, 10)}
+    assert chat.canonical_json(df, "rec.ord").count() == 11
+    assert chat.canonical_json(df.limit(0), "rec.ord").count() == chat.rejected_json(df.limit(0), "rec.ord").count() == 0
