@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.windows import bfill, by_time, compounded, ffill, ratio, row_no
+from quillon.operators import machines
 from quillon.operators import recursions as R
 from quillon.operators.labels import band_join
 from quillon.params import BacktestConfig
@@ -77,9 +78,12 @@ def resolve_barriers(plan: DataFrame, bars: DataFrame, cfg: BacktestConfig) -> D
     return done.select(*keys, best["n"].alias("exit_n"), best["ret"].alias("gross_ret"), best["label"].alias("barrier"))
 
 
-def one_position(resolved: DataFrame, order: str = "e") -> DataFrame:
+def one_position(resolved: DataFrame, order: str = "e", streamed: bool = False) -> DataFrame:
     """The trades that begin after the one taken before has ended, by symbol. Works on the small table
-    of candidates, not on bars."""
+    of candidates, not on bars; ``streamed`` if a symbol's candidates don't fit in memory."""
+    if streamed:
+        taken = machines.run(resolved.select("symbol", F.col(order).cast("bigint").alias("e"), F.col("exit_n").cast("bigint").alias("exit_n")), "e", machines.OnePosition)
+        return resolved.join(taken.select("symbol", F.col("e").alias(order)), ["symbol", order])
     slim = resolved.select("symbol", F.col(order).alias("ts"), "exit_n")
     taken = R.per_symbol(slim, lambda p: {"taken": R.one_at_a_time(p["ts"], p["exit_n"])}, {"taken": "boolean"})
     return resolved.join(taken.filter("taken").select("symbol", F.col("ts").alias(order)), ["symbol", order])

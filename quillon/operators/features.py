@@ -27,6 +27,7 @@ from quillon.functions.windows import (
     rolling,
     zscore,
 )
+from quillon.operators import machines
 from quillon.operators import recursions as R
 from quillon.params import FeatureParams
 from quillon.storage import stage
@@ -218,8 +219,11 @@ def add_regime_score(df: DataFrame, trend_th: float = 22.0, range_th: float = 18
 PIVOTS = "symbol string, ts timestamp_ntz, confirmed timestamp_ntz, price double, kind int"
 
 
-def zigzag_pivots(bars: DataFrame, mult: float = 3.0, atr: str = "atr_14") -> DataFrame:
-    """Pivots (symbol, ts, confirmed, price, kind) of moves of more than ``mult`` ATR. Needs ``atr``."""
+def zigzag_pivots(bars: DataFrame, mult: float = 3.0, atr: str = "atr_14", streamed: bool = False) -> DataFrame:
+    """Pivots (symbol, ts, confirmed, price, kind) of moves of more than ``mult`` ATR. Needs ``atr``. ``streamed``: a symbol's
+    rows needn't fit in memory."""
+    if streamed:
+        return machines.run(bars.select("symbol", "ts", "high", "low", "close", (bfill(F.col(atr)) * mult).alias("move")), "ts", machines.Zigzag)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", ignore_index=True)

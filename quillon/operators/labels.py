@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.windows import by_time, bfill, ffill, rolling, row_no
+from quillon.operators import machines
 from quillon.operators import recursions as R
 from quillon.operators.features import log_return
 
@@ -36,10 +37,10 @@ def dollar_bars(bars: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
-def cusum_events(bars: DataFrame, h: float | None = None, lookback: int = 100, mult: float = 2.0, threshold: Column | None = None) -> DataFrame:
+def cusum_events(bars: DataFrame, h: float | None = None, lookback: int = 100, mult: float = 2.0, threshold: Column | None = None, streamed: bool = False) -> DataFrame:
     """(symbol, ts) where the cumulated log return passes the threshold: ``h``, or the column
     ``threshold``, or ``mult`` times its rolling deviation. Missing thresholds are taken from the
-    rows before, else (which looks ahead) from those after."""
+    rows before, else (which looks ahead) from those after. ``streamed``: a symbol's rows needn't fit in memory."""
     df = bars.select("*", log_return().alias("__r")).filter("__r IS NOT NULL")
     if h is not None:
         own = F.lit(float(h))
@@ -48,6 +49,8 @@ def cusum_events(bars: DataFrame, h: float | None = None, lookback: int = 100, m
     else:
         own = bfill(rolling(F.stddev_samp, F.col("__r"), lookback, 20) * mult)
     df = df.select("symbol", "ts", "__r", own.alias("__h"))
+    if streamed:
+        return machines.run(df.withColumnsRenamed({"__r": "r", "__h": "h"}), "ts", machines.Cusum)
     flagged = R.per_symbol(df, lambda p: {"event": R.cusum_flags(p["__r"], p["__h"])}, {"event": "int"})
     return flagged.filter("event = 1").select("symbol", "ts")
 

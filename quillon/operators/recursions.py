@@ -72,13 +72,13 @@ def frac_diff(x, d: float, threshold: float = 1e-5) -> np.ndarray:
     return out
 
 
-def cusum_flags(returns, thresholds) -> np.ndarray:
+def cusum_flags(returns, thresholds, carry: list[float] | None = None) -> np.ndarray:
     """1 where the sum of returns since the last event on a side, floored at 0, passes the threshold.
 
     Both sides run on; only the side that passes starts again, and the upper one is looked at first.
-    Missing returns change nothing.
+    Missing returns change nothing. ``carry`` holds both sums before the first row, and then those after the last.
     """
-    up = down = 0.0
+    up, down = carry or (0.0, 0.0)
     out = np.zeros(len(returns), np.int32)
     for i, (r, h) in enumerate(zip(returns, thresholds, strict=True)):
         if r != r:
@@ -88,6 +88,8 @@ def cusum_flags(returns, thresholds) -> np.ndarray:
             up, out[i] = 0.0, 1
         elif down < -h:
             down, out[i] = 0.0, 1
+    if carry is not None:
+        carry[:] = [up, down]
     return out
 
 
@@ -116,13 +118,15 @@ def skip_after(fired, n: int) -> np.ndarray:
     return out
 
 
-def one_at_a_time(entry, leave) -> np.ndarray:
-    """True for the intervals [entry, leave] that begin after the last one taken has ended, in order."""
+def one_at_a_time(entry, leave, carry: list[int] | None = None) -> np.ndarray:
+    """True for the intervals [entry, leave] that begin after the last one taken has ended, in order. ``carry`` holds its end."""
     out = np.zeros(len(entry), bool)
-    free = -1
+    free = carry[0] if carry else -1
     for i, (a, b) in enumerate(zip(entry, leave, strict=True)):
         if a > free:
             out[i], free = True, b
+    if carry is not None:
+        carry[0] = free
     return out
 
 

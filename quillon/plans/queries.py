@@ -806,6 +806,26 @@ def q65_daily_vol_asof_1d(spark: SparkSession, d: str) -> DataFrame:
     return rounded(labels.daily_volatility(hourly(spark, d)), 6, "target_vol")
 
 
+# --- the same by machines that stream a symbol's rows ------------------------------------------------
+
+
+@as_in("q28_zigzag")
+def q28_zigzag_streamed(spark: SparkSession, d: str) -> DataFrame:
+    return features.zigzag_pivots(features.add_atr(hourly(spark, d)), 1.0, streamed=True)
+
+
+@as_in("q42_cusum_events")
+def q42_cusum_events_streamed(spark: SparkSession, d: str) -> DataFrame:
+    return labels.cusum_events(vwap(spark, d), streamed=True)
+
+
+@as_in("q58_single_position_trades")
+def q58_single_position_streamed(spark: SparkSession, d: str) -> DataFrame:
+    bars, rows = _resolved(spark, d)
+    df = backtest.trade_ledger(backtest.one_position(rows, streamed=True), bars.select("symbol", "n", "ts", "close"), _CFG)
+    return df.select("symbol", "entry_time", "exit_time", "side", "mode", "barrier", F.round("net_ret", 7).alias("net_ret"), F.round("size_frac", 6).alias("size_frac"), F.round("equity_after", 2).alias("equity_after"))
+
+
 # --- the same by blocks of time: no task holds a symbol --------------------------------------------
 
 #: Bars of a block in these queries; far fewer than the default, so that series have many blocks.
