@@ -10,6 +10,7 @@ from quillon.operators import machines
 from quillon.operators import recursions as R
 from quillon.operators.labels import band_join
 from quillon.params import BacktestConfig
+from quillon.storage import stage
 
 
 def gate_events(events: DataFrame, bars: DataFrame, signals: DataFrame, cfg: BacktestConfig, proba: DataFrame | None = None) -> DataFrame:
@@ -182,16 +183,19 @@ def default_atr(bars: DataFrame) -> DataFrame:
 
 def run_backtest(bars: DataFrame, events: DataFrame, signals: DataFrame, cfg: BacktestConfig | None = None, proba: DataFrame | None = None, atr: DataFrame | None = None) -> dict[str, DataFrame]:
     """trades, equity and stats of events (symbol, ts) on bars, with signals (symbol, ts, side, mode) and
-    atr (symbol, ts, atr_frac); see the operators above. Events in the last two bars are skipped."""
+    atr (symbol, ts, atr_frac); see the operators above. Events in the last two bars are skipped. Numbered bars, outcomes and
+    the ledger are written once."""
     cfg = cfg or BacktestConfig()
     atr = default_atr(bars) if atr is None else atr
     df = bars.select("symbol", "ts", "close").join(atr.select("symbol", "ts", "atr_frac"), ["symbol", "ts"], "left")
     filled: Column = F.coalesce(ffill(F.col("atr_frac")), bfill(F.col("atr_frac")))
     last = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    df = df.select("symbol", "ts", "close", row_no().alias("n"), F.greatest(filled, F.lit(1e-4)).alias("atr_frac"), last.alias("rows"))
+    df = stage(df.select("symbol", "ts", "close", row_no().alias("n"), F.greatest(filled, F.lit(1e-4)).alias("atr_frac"), last.alias("rows")), "numbered")
     gated = gate_events(events, bars, signals, cfg, proba).join(df.select("symbol", "ts", F.col("n").alias("e"), "atr_frac", "rows"), ["symbol", "ts"])
     plan = barrier_plan(gated.filter(F.col("e") < F.col("rows") - 2).drop("rows", "ts"), cfg)
     numbered = df.select("symbol", "n", "ts", "close")
-    ledger = trade_ledger(one_position(resolve_barriers(plan, numbered, cfg)), numbered, cfg)
+    # each of these is read several times
+    resolved = stage(resolve_barriers(plan, numbered, cfg), "resolved")
+    ledger = stage(trade_ledger(one_position(resolved), numbered, cfg), "ledger")
     curve = equity_curve(ledger, numbered, cfg)
     return {"trades": ledger, "equity": curve, "stats": performance(curve, ledger, cfg)}

@@ -620,6 +620,7 @@ def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Numbered bars and, on each that has a side by the 20-bar mean, that side, a mode (0, 1 or 2) and a
     scaled range as ATR."""
     bars = _sides(vwap(spark, d)).withColumn("n", W.row_no()).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+    bars = stage(bars, "numbered")  # read by the plan, the paths, the ledger and the curve
     atr = F.greatest((F.col("high") - F.col("low")) / F.col("close") / 40, F.lit(1e-4))
     rows = bars.filter("primary_side <> 0 AND n < rows - 2")
     mode = F.col("n") % 3
@@ -669,7 +670,7 @@ td AS MATERIALIZED (SELECT *, 10000 * exp(sum(ln(1 + size * net)) OVER (PARTITIO
 def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     bars, rows = _resolved(spark, d)
     numbered_bars = bars.select("symbol", "n", "ts", "close")
-    return numbered_bars, backtest.trade_ledger(backtest.one_position(rows), numbered_bars, _CFG)
+    return numbered_bars, backtest.trade_ledger(backtest.one_position(stage(rows, "resolved")), numbered_bars, _CFG)
 
 
 @query(f"{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE} SELECT symbol, t0 AS entry_time, t9 AS exit_time, side, mode, barrier, round(net, 7) AS net_ret, round(size, 6) AS size_frac, round(eq, 2) AS equity_after FROM td")
