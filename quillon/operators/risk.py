@@ -76,6 +76,7 @@ def open_reasons(wanted: DataFrame, held: DataFrame, returns: DataFrame, halted:
     near = wanted.join(near, F.col("symbol") == F.col("a")).filter("side = held_side").groupBy("symbol", "side").agg(F.min("b").alias("__near"))
     df = wanted.join(near, ["symbol", "side"], "left").join(value_at_risk(returns), "symbol", "left")
     df = df.join(held.select("symbol", F.lit(True).alias("__open")).distinct(), "symbol", "left")
+    # users match on these reasons (fixed values)
     reason = (
         F.when(F.lit(halted), "halted")
         .when(F.lit(n_held >= lim.max_concurrent_positions), "max concurrent positions")

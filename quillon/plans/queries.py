@@ -735,7 +735,7 @@ def q52_correlation_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strategies(spark: SparkSession, d: str) -> DataFrame:
-    """Returns of the suppliers' nations as strategies: deterministic, one for each month and nation."""
+    """Returns of the classes of supplier keys as strategies: deterministic, one for each month and nation."""
     li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_shipdate", "l_extendedprice", "l_discount", "l_suppkey")
     t = ((F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1).cast("bigint")
     return li.groupBy(t.alias("t"), (F.col("l_suppkey") % 6).cast("string").alias("strategy")).agg((F.round(F.avg(F.col("l_extendedprice") * (0.5 - 10 * F.col("l_discount"))), 2) / 100000).alias("ret"))

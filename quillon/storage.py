@@ -39,6 +39,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes the stages that this ``temporary`` block, or code outside of any, has written so far; results that read
+    them must be done with."""
+    made = _made.get()
+    while made:
+        target = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Stages that are written inside the block, by this thread, are removed at its end."""
@@ -46,7 +55,5 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _made.get():
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        release(spark)
         _made.reset(token)

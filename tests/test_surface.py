@@ -1,12 +1,13 @@
 """Tables of progress, numbers and settings as they are shown, and the dispatcher's exit codes."""
 
 import json
+import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon import cli
+from quillon import cli, storage
 from quillon.functions import display
 from quillon.streaming import live, progress
 
@@ -46,6 +47,17 @@ def test_numbers_and_secrets(spark):
     assert [r[0] for r in shown] == ["ab…****gh", "******", "", "INFO", None]
 
 
+def test_stages_are_removed_on_release(spark):
+    with storage.temporary(spark):
+        path = storage.stage(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+        with storage.temporary(spark):
+            inner = storage.stage(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and not os.path.exists(inner)
+        storage.release(spark)
+        assert not os.path.exists(path)
+
+
 def test_dispatcher_exit_codes(monkeypatch, tmp_path):
     ran = []
     monkeypatch.setattr(cli, "session", lambda *a, **k: None)
