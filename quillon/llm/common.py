@@ -81,7 +81,8 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "4m", rows: int = 1000) -> Iterator[None]:
     """While plans are made in this block, rows go to Python in batches of this size at most, so that
-    neither side holds many whole texts at once. The session's own settings come back at its end."""
+    neither side holds many whole texts at once. The session's own settings come back at its end; plans that other threads
+    of the session make meanwhile get these batches too, which changes no results."""
     own = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
     before = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():

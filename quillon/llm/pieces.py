@@ -155,8 +155,8 @@ def encode(docs: DataFrame, model_file: str = MODEL, decode: bool = False) -> Da
     decoded, the text read back from token_ids.
 
     Whole texts are encoded, whatever their length; null and empty texts have no tokens and decode
-    to an empty text. Columns that already have these names are replaced. The model file is sent to
-    the executors.
+    to an empty text. Rows that are repeated are encoded as often, equal texts alike, and an empty table gives no rows. Columns
+    that already have these names are replaced. The model file is sent to the executors.
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(model_file)

@@ -257,7 +257,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score at least THRESHOLD; no shuffle of texts."""
+    """The rows of ``docs`` that score at least THRESHOLD; no shuffle of texts.
+
+    Null and empty texts are scored like others, rows without a doc_id too, and repeated rows alike; all columns and no others come
+    back, whatever their names, and an empty table stays empty.
+    """
     stats = materialize(measure(docs), workspace(docs.sparkSession, "stats"))
     model = train(stats, labels)
 
