@@ -927,10 +927,10 @@ _TRIALS, _VARIANCE = 20, 0.01
 c AS (SELECT r.symbol, avg(power(log_ret - mean, 2)) AS m2, avg(power(log_ret - mean, 3)) AS m3, avg(power(log_ret - mean, 4)) AS m4 FROM r JOIN m USING (symbol) WHERE log_ret IS NOT NULL GROUP BY r.symbol),
 d AS (SELECT symbol, n, mean / sd AS sr, m3 / power(m2, 1.5) AS skew, m4 / (m2 * m2) AS kurt FROM m JOIN c USING (symbol)),
 z AS (SELECT symbol, sr, sr * sqrt(n - 1) / s AS z0, (sr - {validation.expected_best(_TRIALS, _VARIANCE)!r}) * sqrt(n - 1) / s AS z1 FROM (SELECT *, sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-9)) AS s FROM d))
-SELECT symbol, round(sr, 6) AS sr, round({_normal_cdf('z0')}, 6) AS psr, round({_normal_cdf('z1')}, 6) AS dsr FROM z""")
+SELECT symbol, round(sr, 10) AS sr, round({_normal_cdf('z0')}, 10) AS psr, round({_normal_cdf('z1')}, 10) AS dsr FROM z""")
 def q72_psr_dsr(spark: SparkSession, d: str) -> DataFrame:
     found = validation.sharpe_probabilities(_returns(spark, d), _TRIALS, _VARIANCE)
-    return found.select("symbol", *(F.round(c, 6).alias(c) for c in ("sr", "psr", "dsr")))
+    return found.select("symbol", *(F.round(c, 10).alias(c) for c in ("sr", "psr", "dsr")))
 
 
 @query(f"""{VWAP}, {_CAND}, {_RESOLVE}, {_SINGLE}, tn AS MATERIALIZED (SELECT row_number() OVER (ORDER BY symbol, e) - 1 AS i, net FROM td), nn AS (SELECT count(*) AS n FROM tn),
