@@ -307,8 +307,9 @@ class Machine:
 # --- documents and counts ------------------------------------------------------------------------
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("copies", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("n_pairs", pa.int64())])
-_SWEPT_SQL = "batch binary, docs binary, links binary, keys array<bigint>, holders array<bigint>"
-_SWEPT = pa.schema([("batch", pa.binary()), ("docs", pa.binary()), ("links", pa.binary()), ("keys", pa.list_(pa.int64())), ("holders", pa.list_(pa.int64()))])
+_SWEPT_SQL = "batch binary, n_links bigint, docs binary, links binary, keys array<bigint>, holders array<bigint>"
+_SWEPT = pa.schema([("batch", pa.binary()), ("n_links", pa.int64()), ("docs", pa.binary()), ("links", pa.binary()), ("keys", pa.list_(pa.int64())), ("holders", pa.list_(pa.int64()))])
+_LINKS = pa.schema([("place", pa.uint32()), ("times", pa.uint32())])
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -321,11 +322,15 @@ def dealt(events: DataFrame) -> DataFrame:
     return events.repartition(shuffle_parts(events.sparkSession), *by).sortWithinPartitions(*by, "at", "side")
 
 
+def _swept(docs: pa.RecordBatch, links: pa.RecordBatch, keys: np.ndarray, holders: np.ndarray) -> pa.RecordBatch:
+    row = [[uuid.uuid4().bytes], [links.num_rows + docs.num_rows], [dump(docs)], [dump(links)], [keys], [holders]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _SWEPT, strict=True)], schema=_SWEPT)
+
+
 def sweep(events: DataFrame, a: Coder, b: Coder) -> DataFrame:
-    """(batch, docs, links, keys, holders): packed documents with their sums; of each document its distinct links, as
+    """(batch, n_links, docs, links, keys, holders): packed documents with their sums; of each document its distinct links, as
     places in ``keys`` with the number of times; and for each key (A id * 65536 + B id) the documents that hold it."""
     names = shipped(events.sparkSession, a), shipped(events.sparkSession, b)
-    pairs = pa.schema([("place", pa.uint32()), ("times", pa.uint32())])
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
         each = [k for _, k, _ in held]
@@ -333,9 +338,8 @@ def sweep(events: DataFrame, a: Coder, b: Coder) -> DataFrame:
         holders = np.bincount(place, np.repeat([d.copies for d, _, _ in held], [len(k) for k in each]), len(keys)).astype(np.int64)
         docs = [(d.doc_id, d.copies, d.n_a, d.n_b, d.n_groups, d.n_links, d.digest.hexdigest() if d.n_groups else "", len(k)) for d, k, _ in held]
         body = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*docs, strict=True), _DOC, strict=True)], schema=_DOC)
-        links = pa.RecordBatch.from_arrays([pa.array(place.astype(np.uint32)), pa.array(np.concatenate([t for _, _, t in held]).astype(np.uint32))], schema=pairs)
-        row = [[uuid.uuid4().bytes], [dump(body)], [dump(links)], [keys.astype(np.int64)], [holders]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _SWEPT, strict=True)], schema=_SWEPT)
+        links = pa.RecordBatch.from_arrays([pa.array(place.astype(np.uint32)), pa.array(np.concatenate([t for _, _, t in held]).astype(np.uint32))], schema=_LINKS)
+        return _swept(body, links, keys.astype(np.int64), holders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -365,6 +369,43 @@ def sweep(events: DataFrame, a: Coder, b: Coder) -> DataFrame:
     return dealt(events).mapInArrow(run, _SWEPT_SQL)
 
 
+def filled(swept: DataFrame, path: str) -> DataFrame:
+    """The batches with about BATCH_LINKS links each, written to ``path``, where the tasks that made them had far fewer. A batch asks once
+    for each of its keys, so that the questions follow from the links and not from the number of tasks."""
+    found = swept.agg(F.sum("n_links").alias("links"), F.count(F.lit(1)).alias("batches")).first()
+    full = -(-(found["links"] or 0) // BATCH_LINKS)
+    if found["batches"] <= 2 * full:
+        return swept
+
+    def joined(held: list[tuple]) -> pa.RecordBatch:
+        docs, links, each, holders = zip(*held, strict=True)
+        keys, place = np.unique(np.concatenate(each), return_inverse=True)
+        first = np.cumsum([0, *map(len, each)])
+        places = np.concatenate([place[i + x["place"].to_numpy()] for i, x in zip(first[:-1], links, strict=True)])
+        times = np.concatenate([x["times"].to_numpy() for x in links])
+        body = pa.Table.from_batches(docs).combine_chunks().to_batches()[0]
+        both = pa.RecordBatch.from_arrays([pa.array(places.astype(np.uint32)), pa.array(times)], schema=_LINKS)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, place, np.concatenate(holders))
+        return _swept(body, both, keys, sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        held: list[tuple] = []
+        n = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append((undump(batch["docs"][i].as_py()), undump(batch["links"][i].as_py()), *(batch[c][i].values.to_numpy() for c in ("keys", "holders"))))
+                n += batch["n_links"][i].as_py()
+                if n >= BATCH_LINKS:
+                    yield joined(held)
+                    held, n = [], 0
+        if held:
+            yield joined(held)
+
+    return materialize(swept.coalesce(full).mapInArrow(run, _SWEPT_SQL), path)
+
+
 def pair_counts(swept: DataFrame) -> DataFrame:
     """(key, count, best): in how many documents of all a pair is linked, and whether no pair of its A id is in more."""
     each = swept.select(F.explode(F.arrays_zip("keys", "holders")).alias("x"))
@@ -385,7 +426,7 @@ def align(docs: DataFrame, a: Coder = A, b: Coder = B) -> DataFrame:
     at = workspace(spark, "alignment")
     with small_batches(spark, "1m", 1000):
         events = end_events(docs, a, 0).unionByName(end_events(docs, b, 1))
-        swept = materialize(sweep(events, a, b), f"{at}/swept")
+        swept = filled(materialize(sweep(events, a, b), f"{at}/swept"), f"{at}/filled")
         counts = materialize(pair_counts(swept), f"{at}/counts")
     of_batch = swept.select("batch", F.explode("keys").alias("key")).join(counts, "key")
     none = {c: F.lit(None).cast("binary") for c in ("docs", "links")}

@@ -94,6 +94,22 @@ def test_align_is_the_plain_one(spark, monkeypatch):
     assert alignment.align(docs.limit(0)).count() == 0
 
 
+def test_batches_follow_from_the_links_not_from_the_tasks(spark, monkeypatch):
+    rows = [(i, f"{i % 7} the same words and {t or ''}") for i, t in enumerate([*corpus(60), *ODD])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked, own = [], alignment.pair_counts
+    monkeypatch.setattr(alignment, "pair_counts", lambda swept: asked.append((swept.count(), swept.agg(F.sum(F.size("keys"))).first()[0])) or own(swept))
+    few = Counter(map(tuple, alignment.align(docs).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        many = Counter(map(tuple, alignment.align(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert many == few and sum(few.values()) == len(rows)
+    assert asked[0] == asked[1] and asked[0][0] == 1
+
+
 def test_groups_are_the_plain_ones(spark):
     texts = ["Some words, aligned", None, "日本語 x", "  "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
