@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from quillon.params import MetaParams
 
-#: Bins of a feature, and rows of a training task: few tasks, as an exchange between them takes about a second.
+#: Bins of a feature, and rows and binned values of a training task: few tasks, as an exchange between them takes about a second.
 BINS = 255
-TASK_ROWS = 500_000
+TASK_ROWS = 3_000_000
+TASK_VALUES = 30_000_000
+#: Binned values that are added up at once.
+CHUNK = 1 << 18
 #: Least sum of second derivatives in a leaf (a fixed value).
 LEAST_HESSIAN = 1e-3
 TREES = "tree int, node int, feature int, threshold double, left int, right int, value double, gain double, rows bigint"
@@ -70,32 +73,41 @@ def leaf_value(total: np.ndarray, p: MetaParams) -> float:
 
 
 class _Grower:
-    """A task's part of the rows and the trees so far."""
+    """A task's part of the rows and the trees so far. A row is kept as its codes (a byte a feature), label, weight, margin and place in
+    a leaf's list, some 30 bytes besides the codes; all else is made for CHUNK values at a time."""
 
     def __init__(self, codes: np.ndarray, y: np.ndarray, w: np.ndarray, width: int, p: MetaParams, together):
         self.codes, self.y, self.w, self.p, self.together = codes, y, w, p, together
         self.n_features, self.width = codes.shape[1], width
         self.margin = np.zeros(len(y))
-        self.flat = codes.astype(np.int32) + np.arange(self.n_features, dtype=np.int32) * np.int32(width)
+        self.first = np.arange(self.n_features) * width
+        self.step = max(1, CHUNK // max(1, self.n_features))
 
     def sums(self, parts: list[np.ndarray]) -> list[np.ndarray]:
         """The sums over all tasks, for each of the row lists ``parts``."""
-        size, out = self.n_features * self.width, []
-        for rows in parts:
-            at = self.flat[rows].ravel()
-            by = lambda v: np.bincount(at, np.repeat(v, self.n_features), size)  # noqa: B023, E731
-            out.append(np.stack([by(self.g[rows]), by(self.h[rows]), by(np.ones(len(rows)))], axis=-1))
-        return list(self.together(np.stack(out)).reshape(len(parts), self.n_features, self.width, 3))
+        size = self.n_features * self.width
+        out = np.zeros((len(parts), size, 3))
+        for total, rows in zip(out, parts, strict=True):
+            for i in range(0, len(rows), self.step):
+                own = rows[i : i + self.step]
+                at = (self.codes[own] + self.first).ravel()
+                chance, w = 1 / (1 + np.exp(-self.margin[own])), self.w[own]
+                for k, v in enumerate((w * (chance - self.y[own]), w * chance * (1 - chance))):
+                    total[:, k] += np.bincount(at, np.repeat(v, self.n_features), size)
+                total[:, 2] += np.bincount(at, minlength=size)
+        return list(self.together(out).reshape(len(parts), self.n_features, self.width, 3))
+
+    def halves(self, rows: np.ndarray, s: Split) -> tuple[np.ndarray, np.ndarray]:
+        goes = np.concatenate([np.zeros(0, bool), *(self.codes[rows[i : i + CHUNK], s.feature] <= s.bin for i in range(0, len(rows), CHUNK))])
+        return rows[goes], rows[~goes]
 
     def tree(self, number: int) -> list[tuple]:
         """Nodes (node, feature, bin, left, right, value, gain, rows) of the next tree, which is added to the margins."""
         p = self.p
-        chance = 1 / (1 + np.exp(-self.margin))
-        self.g, self.h = self.w * (chance - self.y), self.w * chance * (1 - chance)
         used = np.zeros(self.n_features, bool)
         rng = np.random.default_rng([p.seed, number])
         used[rng.permutation(self.n_features)[: max(1, round(self.n_features * p.colsample_bytree))]] = True
-        rows, depth, total, nodes = {0: np.arange(len(self.y))}, {0: 0}, {}, {}
+        rows, depth, total, nodes = {0: np.arange(len(self.y), dtype=np.uint32)}, {0: 0}, {}, {}
         split: dict[int, Split | None] = {}
         halves: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sums = {0: self.sums([rows[0]])[0]}
@@ -108,9 +120,7 @@ class _Grower:
             if node not in known:
                 ask = [n for _, n in queue if n not in known]
                 for n in ask:
-                    s = split[n]
-                    goes = self.codes[rows[n], s.feature] <= s.bin
-                    halves[n] = rows[n][goes], rows[n][~goes]
+                    halves[n] = self.halves(rows.pop(n), split[n])
                 # the smaller half is summed, the other is what is left
                 small = [0 if split[n].left[2] <= split[n].right[2] else 1 for n in ask]
                 for n, k, found in zip(ask, small, self.sums([halves[n][k] for n, k in zip(ask, small, strict=True)]), strict=True):
@@ -126,7 +136,9 @@ class _Grower:
                 split[child] = None if deep else best_split(own, used, p)
                 if split[child]:
                     heapq.heappush(queue, (-split[child].gain, child))
-            del rows[node], sums[node]
+            del sums[node]
+        # leaves that were halved for nothing
+        rows |= {n: np.concatenate(both) for n, both in halves.items()}
         out = []
         for n in range(made):
             if n in nodes:
@@ -150,13 +162,18 @@ def train(rows: DataFrame, features: Sequence[str], label: str, weight: str, p:
     spark = rows.sparkSession
     edges = bin_edges(rows, features) if edges is None else edges
     width = max((len(e) for e in edges), default=0) + 1
-    parts = max(1, min(-(-n_rows // TASK_ROWS), spark.sparkContext.defaultParallelism))
+    wanted = max(-(-n_rows // TASK_ROWS), -(-n_rows * len(edges) // TASK_VALUES))
+    parts = max(1, min(wanted, spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
-        held = [b for b in batches if b.num_rows]
-        column = lambda i: np.concatenate([np.zeros(0), *(b.column(i).to_numpy(zero_copy_only=False) for b in held)])
-        codes = np.column_stack([np.searchsorted(e, column(i)).astype(np.uint8) for i, e in enumerate(edges)])
+        held = bytearray(), bytearray(), bytearray()
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held[0].extend(np.column_stack([np.searchsorted(e, c).astype(np.uint8) for e, c in zip(edges, columns, strict=False)]).tobytes())
+            held[1].extend(columns[-2].astype(np.uint8).tobytes())
+            held[2].extend(columns[-1].astype(float).tobytes())
+        codes, y, w = (np.frombuffer(x, kind) for x, kind in zip(held, (np.uint8, np.uint8, float), strict=True))
 
         def together(own: np.ndarray) -> np.ndarray:
             if parts == 1:
@@ -164,7 +181,7 @@ def train(rows: DataFrame, features: Sequence[str], label: str, weight: str, p:
             every = context.allGather(base64.b64encode(own.tobytes()).decode())
             return sum(np.frombuffer(base64.b64decode(x)).reshape(own.shape) for x in every)
 
-        grower = _Grower(codes, column(len(edges)), column(len(edges) + 1), width, p, together)
+        grower = _Grower(codes.reshape(len(y), len(edges)), y, w, width, p, together)
         for t in range(p.n_estimators):
             tree = grower.tree(t)
             if context.partitionId() == 0:

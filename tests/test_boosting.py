@@ -63,6 +63,26 @@ def test_trees_are_the_plain_ones(spark, monkeypatch, task_rows):
     assert model.trees[model.trees["feature"].isna()].groupby("tree").size().tolist() == leaves
 
 
+def test_a_task_keeps_few_bytes_a_row_and_adds_up_in_chunks(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n, p = 600_000, MetaParams(n_estimators=2, num_leaves=6, colsample_bytree=1.0)
+    codes, w = rng.integers(0, 50, (n, 4), np.uint8), rng.random(n) + 0.5
+    y = (codes[:, 1] + rng.integers(0, 60, n) > 55).astype(float)
+    tracemalloc.start()
+    grower = boosting._Grower(codes, y, w, 50, p, lambda own: own)
+    trees = [grower.tree(t) for t in range(2)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * n
+    monkeypatch.setattr(boosting, "CHUNK", 1 << 30)  # all at once
+    whole = boosting._Grower(codes, y, w, 50, p, lambda own: own)
+    for a, b in zip(trees, [whole.tree(t) for t in range(2)], strict=True):
+        assert [x[:5] + x[7:] for x in a] == [x[:5] + x[7:] for x in b]
+    np.testing.assert_allclose(grower.margin, whole.margin, rtol=1e-9)
+
+
 def test_depth_limit_and_regularisation(spark):
     x, y = data()
     df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y int")
