@@ -145,6 +145,23 @@ def test_frac_diff_at_the_own_threshold_has_values(spark):
         np.testing.assert_allclose(ffd[len(w) - 1 :], want, atol=1e-4)
 
 
+def test_rounds_before_the_first_densities_do_not_wait(spark, monkeypatch):
+    import threading
+
+    points = [p for first, n in ((0, 6), (6, 2)) for p in plans.tpe.propose(None, [plans.tpe.Range(*r) for r in plans.research.SPACE], 42 + first, n)]
+    last = threading.Event()
+
+    def objective(bars, point):
+        if point == points[7]:
+            last.set()
+        waited = last.wait(20) if point == points[0] else True
+        return {"value": float(points.index(point)) if waited else -1.0, "n_folds": 0}
+
+    monkeypatch.setattr(plans.research, "objective", objective)
+    got = plans.research.search(spark, None, 8).orderBy("trial").collect()
+    assert [r["value"] for r in got] == [float(i) for i in range(8)]  # the same points in the same order
+
+
 def test_search_keeps_the_order_of_trials(spark, monkeypatch):
     monkeypatch.setattr(plans.research, "objective", lambda bars, point: {"value": point["frac_d"], "n_folds": 0})
     got = plans.research.search(spark, None, 20, sampler="random").orderBy("trial").collect()
